@@ -140,7 +140,7 @@ def cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> Da
     counts = None
     for name, (value, grid) in RULES.items():
         v = F.coalesce(value(m), F.lit(0.0))
-        tail = sum((F.when(v > c, 1).otherwise(0) for c in grid), F.lit(0))
+        tail = F.size(F.filter(F.array(*map(F.lit, grid)), lambda c, v=v: v > c))
         one = passed.select("stratum", F.lit(name).alias("rule"), tail.alias("over"), "good")
         counts = one if counts is None else counts.unionByName(one)
     counts = counts.groupBy("stratum", "rule", "over").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("poor"))

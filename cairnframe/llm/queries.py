@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality
 from .common import table
 
 QUERIES: dict = {
+    "op3_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 ORACLE_SQL: dict[str, str] = {}
