@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, quality
+from . import mixing, packing, quality
 from .common import table
 
 QUERIES: dict = {
+    "op8_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
     "op3_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
 }
