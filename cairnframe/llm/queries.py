@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, secrets
+from . import mixing, packing, quality, secrets, toxicity
 from .common import table
 
 QUERIES: dict = {
+    "op7_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_secret_scans": lambda spark, d: secrets.query(table(spark, d, "documents")),
     "op8_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
     "op3_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
