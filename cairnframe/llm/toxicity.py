@@ -1,14 +1,17 @@
 """Toxicity as an ordinal grade: a cumulative-link model over sparse word features.
 
 P(grade > k) = sigmoid(score - theta_k), with one weight per word shared by all ordered
-thresholds theta_0 < theta_1 < ... The expected severity is the sum of these probabilities. The
-model is fitted by accelerated proximal gradient steps with an L1 penalty, which leaves weights
-to few words, so that long documents gather no noise. Fitting takes a sample of labelled rows of
-bounded size; scoring takes every row and its whole text.
+thresholds theta_0 < theta_1 < ... The expected severity is the sum of these probabilities.
+Features are words and beginnings of words, by how often they occur. Those that are not clearly
+more widespread in rows graded above 0 are left out before the fit, so that neither rare words
+are learned by heart nor long documents gather noise. The model is fitted by accelerated
+proximal gradient steps with an L1 penalty. Fitting takes a sample of labelled rows of bounded size;
+scoring takes every row and its whole text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,9 +26,26 @@ from pyspark.sql import types as T
 from .common import stored
 
 _WORD = re.compile(r"\w+")
-#: Labelled rows that a fit takes of each class, about; and the words it knows at most, the most widespread first.
-ROWS_PER_CLASS, MOST_WORDS, LEAST_DOCS = 5_000, 50_000, 3
-STEPS, PENALTY = 300, 2e-4
+#: Labelled rows that a fit takes of each class, about; the features it knows at most, the clearest first; and how many standard errors a feature's share of positive rows must lie above that of others.
+ROWS_PER_CLASS, MOST_FEATURES, LEAST_Z = 5_000, 20_000, 5.0
+STEPS, PENALTY = 400, 2e-4
+#: Lengths of word beginnings that are features.
+BEGINNINGS = (4, 5, 6, 7, 8)
+
+
+def features(text: str | None, known: dict | None = None) -> dict[str, float]:
+    """Words, and beginnings of longer words marked by "^", with log1p of their number per hundred words; of ``known`` ones if given."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    found: dict[str, int] = {}
+    for w, n in words.items():
+        if known is None or w in known:
+            found[w] = found.get(w, 0) + n
+        for k in BEGINNINGS:
+            if len(w) > k and (known is None or (b := "^" + w[:k]) in known):
+                b = "^" + w[:k]
+                found[b] = found.get(b, 0) + n
+    per = 100 / (words.total() + 50)
+    return {f: math.log1p(n * per) for f, n in found.items()}
 
 
 @dataclass
@@ -35,9 +55,8 @@ class Model:
 
     def above(self, text: str | None) -> np.ndarray:
         """P(grade > k) for each k; null is the empty text."""
-        counts = Counter(_WORD.findall((text or "").lower()))
-        found = counts.keys() & self.weights.keys()
-        score = sum(self.weights[w] * np.log1p(counts[w]) for w in sorted(found))
+        found = features(text, self.weights)
+        score = math.fsum(self.weights[f] * x for f, x in found.items())
         return 1 / (1 + np.exp(np.clip(self.thetas - score, -50, 50)))
 
 
@@ -85,50 +104,56 @@ def _sample(labelled: DataFrame, per_class: int) -> DataFrame:
     return labelled.join(F.broadcast(sizes), F.col("positive") == F.col("of")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * float(1 << 30)).select("text", "positive", "grade")
 
 
-def fit(labelled: DataFrame, per_class: int = ROWS_PER_CLASS, most_words: int = MOST_WORDS) -> Model:
+def fit(labelled: DataFrame, per_class: int = ROWS_PER_CLASS, most_features: int = MOST_FEATURES) -> Model:
     """labelled: text, and grade (int from 0; null takes no part) or, with only two grades known, 0 and 1.
 
-    With grades 0 and 1 alone, the upper half of the positive rows, by the number of words that
-    are several times as widespread in them as in others, are taken as grade 2. Without rows of both
+    With grades 0 and 1 alone, the half of the positive rows with the more of the features that
+    tell them from others is taken as grade 2. Without rows of both
     a grade 0 and one above, the model finds nothing.
     """
     rows = labelled.where(F.col("grade").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), (F.col("grade") > 0).alias("positive"), F.col("grade").cast("int").alias("grade"))
     rows = stored(_sample(stored(rows, "labelled"), per_class), "sample")
 
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Counter(w for x in batch.column("text").to_pylist() for w in set(_WORD.findall(x.lower())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    common = rows.select("text").mapInArrow(vocabulary, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    words = [r.word for r in common.orderBy(F.desc("n"), "word").limit(most_words).collect()]
+            found = {False: Counter(), True: Counter()}
+            for x, positive in zip(batch.column("text").to_pylist(), batch.column("positive").to_pylist(), strict=True):
+                found[positive].update(features(x).keys())
+            for positive, c in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([positive] * len(c), pa.bool_()), pa.array(list(c.values()), pa.int64())], names=["feature", "positive", "n"])
+
+    totals = rows.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q")).first()
+    if not totals.p or not totals.q:
+        return Model({}, np.array([50.0]))
+    counts = rows.select("text", "positive").mapInArrow(spread, "feature string, positive boolean, n long")
+    counts = counts.groupBy("feature").agg(*[F.sum(F.when(F.col("positive") == x, F.col("n")).otherwise(0)).alias(c) for x, c in ((True, "a"), (False, "b"))])
+    all_of = (F.col("a") + F.col("b")) / float(totals.p + totals.q)
+    error = F.sqrt(all_of * (1 - all_of) * (1 / totals.p + 1 / totals.q))
+    z = F.when(error > 0, (F.col("a") / float(totals.p) - F.col("b") / float(totals.q)) / error)
+    clear = counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(most_features)
+    words = [r.feature for r in clear.select("feature", "z").collect()]
     at = {w: i for i, w in enumerate(words)}
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols, counts = [], []
-            for x in batch.column("text").to_pylist():
-                c = Counter(w for w in _WORD.findall(x.lower()) if w in at)
-                cols.append(np.array([at[w] for w in c], dtype=np.int32).tobytes())
-                counts.append(np.array(list(c.values()), dtype=np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(cols, pa.binary()), pa.array(counts, pa.binary())], names=["grade", "cols", "counts"])
-
-    got = rows.select("grade", "text").mapInArrow(features, "grade int, cols binary, counts binary").collect()  # bounded by per_class
+            each = [features(x, at) for x in batch.column("text").to_pylist()]
+            cols = [np.array([at[f] for f in x], dtype=np.int32).tobytes() for x in each]
+            values = [np.array(list(x.values()), dtype=float).tobytes() for x in each]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(cols, pa.binary()), pa.array(values, pa.binary())], names=["grade", "cols", "x"])
+
+    got = rows.select("grade", "text").mapInArrow(known_features, "grade int, cols binary, x binary").collect()  # bounded by per_class
     grades = np.array([r.grade for r in got], dtype=np.int64)
     if not words or not (grades == 0).any() or not (grades > 0).any():
         return Model({}, np.array([50.0]))
     each = [np.frombuffer(r.cols, np.int32) for r in got]
     rows_at = np.repeat(np.arange(len(got)), [len(x) for x in each])
     cols = np.concatenate(each)
-    values = np.log1p(np.concatenate([np.frombuffer(r.counts, np.int32) for r in got]).astype(float))
+    values = np.concatenate([np.frombuffer(r.x, float) for r in got])
     if grades.max() == 1:
-        positive = grades[rows_at] == 1
-        in_pos, in_neg = np.bincount(cols[positive], minlength=len(words)), np.bincount(cols[~positive], minlength=len(words))
-        telling = (in_pos + 0.5) / ((grades == 1).sum() + 1) > 8 * (in_neg + 0.5) / ((grades == 0).sum() + 1)
-        hits = np.bincount(rows_at, telling[cols], len(got))
+        hits = np.bincount(rows_at, values, len(got))
         grades = grades + ((grades == 1) & (hits > np.median(hits[grades == 1])))
     sizes = np.bincount(grades)
-    w, thetas = fit_cumulative(rows_at, cols, values, grades, len(words), np.where(grades > 0, 0.5 / max(1, sizes[1:].sum()), 0.5 / sizes[0]))
+    w, thetas = fit_cumulative(rows_at, cols, values, grades, len(words), np.where(grades > 0, 0.35 / max(1, sizes[1:].sum()), 0.65 / sizes[0]))
     return Model({words[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}, thetas)
 
 
