@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, quality, secrets, toxicity
+from . import ann, mixing, neardup, packing, quality, secrets, toxicity
 from .common import table
 
 QUERIES: dict = {
+    "op1_nearest_neighbours": lambda spark, d: ann.query(table(spark, d, "embeddings")),
     "op9_minhash_near_dedup": lambda spark, d: neardup.query(table(spark, d, "documents")),
     "op7_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_secret_scans": lambda spark, d: secrets.query(table(spark, d, "documents")),
