@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, neardup, packing, quality, secrets, toxicity
+from . import ann, mixing, neardup, packing, quality, secrets, toxicity, warc
 from .common import table
 
 QUERIES: dict = {
+    "op5_warc": lambda spark, d: warc.query(table(spark, d, "pages")),
     "op1_nearest_neighbours": lambda spark, d: ann.query(table(spark, d, "embeddings")),
     "op9_minhash_near_dedup": lambda spark, d: neardup.query(table(spark, d, "documents")),
     "op7_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
@@ -14,4 +15,6 @@ QUERIES: dict = {
     "op3_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.ORACLE_SQL,
+}
