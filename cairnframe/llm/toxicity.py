@@ -97,22 +97,15 @@ def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade
     return w / np.maximum(scale, 0.02), np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
 
 
-def _sample(labelled: DataFrame, per_class: int) -> DataFrame:
-    """About per_class rows of each class at most, taken by a hash of the text."""
-    share = F.col("most").cast("double") / F.col("n")
-    sizes = labelled.groupBy("positive").agg(F.count("*").alias("n")).withColumn("most", F.lit(per_class)).withColumnRenamed("positive", "of")
-    return labelled.join(F.broadcast(sizes), F.col("positive") == F.col("of")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * float(1 << 30)).select("text", "positive", "grade")
-
-
-def fit(labelled: DataFrame, per_class: int = ROWS_PER_CLASS, most_features: int = MOST_FEATURES) -> Model:
-    """labelled: text, and grade (int from 0; null takes no part) or, with only two grades known, 0 and 1.
+def fit(labelled: DataFrame, most_features: int = MOST_FEATURES) -> Model:
+    """labelled: a sample of bounded size, text and grade (int from 0; null takes no part).
 
     With grades 0 and 1 alone, the half of the positive rows with the more of the features that
     tell them from others is taken as grade 2. Without rows of both
     a grade 0 and one above, the model finds nothing.
     """
     rows = labelled.where(F.col("grade").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), (F.col("grade") > 0).alias("positive"), F.col("grade").cast("int").alias("grade"))
-    rows = stored(_sample(stored(rows, "labelled"), per_class), "sample")
+    rows = stored(rows, "sample")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +134,7 @@ def fit(labelled: DataFrame, per_class: int = ROWS_PER_CLASS, most_features: int
             values = [np.array(list(x.values()), dtype=float).tobytes() for x in each]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(cols, pa.binary()), pa.array(values, pa.binary())], names=["grade", "cols", "x"])
 
-    got = rows.select("grade", "text").mapInArrow(known_features, "grade int, cols binary, x binary").collect()  # bounded by per_class
+    got = rows.select("grade", "text").mapInArrow(known_features, "grade int, cols binary, x binary").collect()  # bounded as the sample is
     grades = np.array([r.grade for r in got], dtype=np.int64)
     if not words or not (grades == 0).any() or not (grades > 0).any():
         return Model({}, np.array([50.0]))
@@ -172,10 +165,18 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """text and grade of labelled rows; a key that is labelled twice has its highest grade."""
-    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("labelled_key")).agg(F.max(label).cast("int").alias("grade"))
-    return docs.select(F.col(key).alias("own_key"), "text").join(marks, F.col("own_key") == F.col("labelled_key")).select("text", "grade")
+def labelled_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", per_class: int = ROWS_PER_CLASS) -> DataFrame:
+    """text and grade of about per_class rows at most with a grade of 0 and as many above, taken by a hash of their key.
+
+    A key that is labelled twice has its highest grade. The keys are sampled before they meet
+    the documents, so that their number is bounded and only their texts leave the scan.
+    """
+    marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("labelled_key")).agg(F.max(label).cast("int").alias("grade"))
+    marks = stored(marks, "labels")
+    sizes = marks.agg(F.count_if(F.col("grade") > 0).alias("p"), F.count_if(F.col("grade") <= 0).alias("q")).first()
+    share = F.when(F.col("grade") > 0, F.lit(per_class / max(1, sizes.p))).otherwise(F.lit(per_class / max(1, sizes.q)))
+    sample = stored(marks.where(F.pmod(F.xxhash64("labelled_key"), F.lit(1 << 30)) < share * float(1 << 30)), "sampled-labels")
+    return docs.select(F.col(key).alias("own_key"), "text").join(F.broadcast(sample), F.col("own_key") == F.col("labelled_key")).select("text", "grade")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
