@@ -127,6 +127,10 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
 PRICE = 10
 
 
+def _under(v: Column):
+    return lambda cutoff: cutoff < v
+
+
 def cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Safe cutoffs: a row per stratum with a column per rule (null: none is proven safe, the rule stands aside).
 
@@ -140,7 +144,7 @@ def cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> Da
     counts = None
     for name, (value, grid) in RULES.items():
         v = F.coalesce(value(m), F.lit(0.0))
-        tail = F.size(F.filter(F.array(*map(F.lit, grid)), lambda c, v=v: v > c))
+        tail = F.size(F.filter(F.array(*map(F.lit, grid)), _under(v)))
         one = passed.select("stratum", F.lit(name).alias("rule"), tail.alias("over"), "good")
         counts = one if counts is None else counts.unionByName(one)
     counts = counts.groupBy("stratum", "rule", "over").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("poor"))

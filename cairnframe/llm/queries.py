@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, neardup, packing, quality, secrets, sharding, toxicity, warc
+from . import ann, license_scan, mixing, neardup, packing, quality, secrets, sharding, toxicity, warc
 from .common import table
 
 QUERIES: dict = {
+    "op2_license_scans": lambda spark, d: license_scan.query(table(spark, d, "documents")),
     "op4_sharding": lambda spark, d: sharding.query(table(spark, d, "documents")),
     "op5_warc": lambda spark, d: warc.query(table(spark, d, "pages")),
     "op1_nearest_neighbours": lambda spark, d: ann.query(table(spark, d, "embeddings")),
@@ -17,6 +18,7 @@ QUERIES: dict = {
     "op10_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scans": license_scan.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
 }
