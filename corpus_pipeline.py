@@ -1,5 +1,64 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: toxic documents go, one of each group of near-duplicates stays, secrets are masked, sources are mixed to their targets, and the result is packed into sequences.
+
+A stage takes (spark, docs, sf_dir), docs a stored table, and gives back rows with the columns of
+docs; the last gives pieces of sequences. Stages find their decisions' rows by the place that a
+row has in the stored table, which is the same at every read of the same files.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairnframe.llm import mixing, neardup, packing, secrets, toxicity
+from cairnframe.llm.common import stored, table
+
+_PLACE = "__place_in_table"
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the model, fitted on those labelled, finds toxic."""
+    model = toxicity.fit(toxicity.labelled_texts(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model, keep_text=True).where(~F.col("toxic")).select("row.*")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document, by doc_id, of each group of near-duplicates."""
+    gone = stored(neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("place").alias("gone")), "gone")
+    placed = docs.withColumn(_PLACE, F.monotonically_increasing_id())
+    return placed.join(gone, F.col(_PLACE) == F.col("gone"), "left_anti").drop(_PLACE)
+
+
+def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mask for what the secret scan reports, and n_chars of the new text."""
+    found = secrets.scan(docs, keep_text=True)
+    clean = found.withColumn("masked", secrets.masked(F.col("row.text"), F.col("spans")))
+    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("masked")}
+    return clean.select(*[F.when(F.size("spans") > 0, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    placed = docs.withColumn(_PLACE, F.monotonically_increasing_id())
+    taken = mixing.mix(placed.select("source", "text", _PLACE)).where(F.col("copies") > 0).select(F.col("row")[_PLACE].alias("taken"), "copies")
+    copies = placed.join(stored(taken, "copies"), F.col(_PLACE) == F.col("taken"))
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences, as op3_packing gives them."""
+    return packing.query(docs)
+
+
+STAGES = [("toxicity", toxic_out), ("near_dedup", one_of_each), ("secret_scans", secrets_masked), ("mixing", mixed), ("packing", packed)]
+
+#: Fitted models, sketches and tokens are beyond SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over the documents of sf_dir, each but the last written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
