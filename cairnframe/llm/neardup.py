@@ -6,7 +6,7 @@ random registers, and a register holds the shingle that arrives first. A text's
 they are past its latest register. Texts whose registers agree in a band are candidates and are
 verified on the shingles themselves.
 
-Equal texts count once. Within a bucket the texts are first verified against one centre; as only
+Equal texts count once. Within a bucket the texts are first verified against one centre, that with most candidates; as only
 classes are asked for, further pairs are needed only between texts of a bucket that those links
 left in different classes, so that large groups of copies never form all their pairs.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored
-from .components import components
+from cairnframe.operators.components import components
 
 WORDS, LEAST = 5, 0.8
 #: At 0.8, all of 25 bands of 5 miss a pair once in 20,000.
@@ -148,8 +148,8 @@ def fold(values: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b) of digests, those whose texts are similar enough."""
-    side = lambda s: texts.select(F.col("digest").alias(s), F.col("elements").alias(f"{s}_elements"), F.col("counts").alias(f"{s}_counts"))
+    """Of pairs (a, b) of nodes, those whose texts are similar enough."""
+    side = lambda s: texts.select(F.col("node").alias(s), F.col("elements").alias(f"{s}_elements"), F.col("counts").alias(f"{s}_counts"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{s}_{c}" for s in "ab" for c in ("elements", "counts")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             ok = [similarity(u32(a), u32(x) if x else None, u32(b), u32(y) if y else None) >= least - 1e-12 for a, x, b, y in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST, n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> DataFrame:
@@ -170,42 +170,55 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     place, which alone is kept. Rows whose text is null or holds no words are classes of their own.
     """
     table = stored(signed(docs, text, key, n_bands, rows, width), "signed")
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("place").alias("place"))).alias("head")
-    distinct = table.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.first("bands").alias("bands"))
-    bucketed = stored(distinct.select("digest", F.explode("bands").alias("band")), "bands")
-    buckets = bucketed.groupBy("band").agg(F.min("digest").alias("centre"), F.count("*").alias("n")).where(F.col("n") > 1)
-    members = stored(bucketed.join(stored(buckets, "buckets"), "band"), "members")
-    pairs = stored(members.where(F.col("digest") != F.col("centre")).select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
-    # Shingles of candidates alone, once per text.
-    wanted = stored(members.select(F.col("digest").alias("wanted")).distinct(), "candidates")
-    texts = stored(table.join(wanted, F.col("digest") == F.col("wanted"), "left_semi").groupBy("digest").agg(F.first("elements").alias("elements"), F.first("counts").alias("counts")), "candidate-texts")
+    # A node per distinct text, named by its first place.
+    head = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("place").alias("place"))).alias("head")
+    heads = table.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("place").alias("node"), head, F.count("*").alias("n"), F.first("bands").alias("bands"))
+    heads = stored(heads, "heads")
+    bucketed = stored(heads.select("node", F.explode("bands").alias("band")), "bands")
+    buckets = stored(bucketed.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1), "buckets")
+    members = stored(bucketed.join(buckets, "band"), "members")
+    # A bucket's centre is the text that meets most others over all buckets: among copies of one text, that is the text itself.
+    degrees = stored(members.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
+    members = stored(members.join(degrees, "node").select("band", "node", "degree"), "ranked-members")
+    centres = stored(members.groupBy("band").agg((-F.max(F.struct("degree", (-F.col("node")).alias("node")))["node"]).alias("centre")), "centres")
+    met = stored(members.select("band", "node").join(centres, "band"), "met")
+    pairs = stored(met.where(F.col("node") != F.col("centre")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
+    texts = _texts(table, degrees)
     links = stored(_verified(pairs, texts, least), "links")
     labels = components(links)
 
     # Buckets whose texts are still in different classes: pairs between classes that were not tried. One end is outside the bucket's largest class.
-    labelled = members.join(labels, F.col("digest") == F.col("node"), "left").select("band", "centre", "digest", F.coalesce("label", "digest").alias("label"))
-    labelled = stored(labelled, "labelled-members")
-    mixed = stored(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("band"), "mixed")
-    open_members = stored(labelled.join(mixed, "band"), "open-members")
-    sizes = open_members.groupBy("band", "label").agg(F.count("*").alias("n"))
-    largest = stored(sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest")), "largest")
-    outside = open_members.join(largest, "band").where(F.col("label") != F.col("largest"))
-    left = outside.where(F.col("digest") != F.col("centre")).select("band", F.col("digest").alias("a"), F.col("label").alias("label_a"), "largest")
-    right = open_members.where(F.col("digest") != F.col("centre")).select("band", F.col("digest").alias("b"), F.col("label").alias("label_b"))
+    labelled = stored(met.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("band", "centre", "node", F.coalesce("label", "node").alias("label")), "labelled-members")
+    sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.count("*").alias("classes")).where(F.col("classes") > 1)
+    rest = stored(labelled.where(F.col("node") != F.col("centre")).join(stored(largest, "largest"), "band"), "open-members")
+    left = rest.where(F.col("label") != F.col("largest")).select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), "largest")
+    right = rest.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
     cross = left.join(right, "band").where((F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b"))))
-    more = stored(_verified(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, least), "more-links")
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = stored(_verified(stored(cross, "cross"), texts, least), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    heads = table.where(F.col("digest").isNotNull()).groupBy("digest").agg(first, F.count("*").alias("n"))
-    named = heads.join(labels, F.col("digest") == F.col("node"), "left").select("digest", "head", "n", F.coalesce("label", "digest").alias("label"))
-    named = stored(named, "named")
-    tops = named.groupBy("label").agg(F.min("head").alias("top"), F.sum("n").alias("size")).where(F.col("size") > 1)
-    classes = stored(named.join(stored(tops, "tops"), "label").select(F.col("digest").alias("of"), "top"), "classes")
+    named = stored(heads.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("digest", "head", "n", F.coalesce("label", "node").alias("label")), "named")
+    tops = stored(named.groupBy("label").agg(F.min("head").alias("top"), F.sum("n").alias("size")).where(F.col("size") > 1), "tops")
+    classes = stored(named.join(tops, "label").select(F.col("digest").alias("of"), "top"), "classes")
     out = table.select("id", "place", "digest").join(classes, F.col("digest") == F.col("of"), "left")
     head_place = F.coalesce(F.col("top.place"), F.col("place"))
     return out.select("id", "place", head_place.alias("class_place"), F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("class_id"), (head_place == F.col("place")).alias("kept"))
 
 
+#: Cells of the coarse filter: a broadcast of at most so many integers, whatever the input's size.
+CELLS = 1 << 18
+
+
+def _texts(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, elements and counts of the wanted nodes, most others being sifted out before the shuffle by a hash of bounded range."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).cast("int")
+    coarse = stored(wanted.select(cell("node").alias("cell")).distinct(), "cells")
+    sifted = table.select(F.col("place").alias("node"), "elements", "counts").withColumn("at", cell("node")).join(F.broadcast(coarse), F.col("at") == F.col("cell"), "left_semi").drop("at")
+    return stored(sifted.join(wanted.select("node"), "node", "left_semi"), "candidate-texts")
+
+
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id", "kept")
