@@ -70,31 +70,45 @@ def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade
     scale = np.maximum(1e-9, np.sqrt(np.bincount(cols, values**2, n_cols) / n))
     values = values / np.maximum(scale, 0.02)[cols]
     case = grade_weights / grade_weights.sum()
-    w, raw = np.zeros(n_cols), np.concatenate([[1.0], np.zeros(k - 1)])
-    at_w, at_raw, t = w, raw, 1.0
-    bound = np.bincount(rows, values**2, n)
-    rate = 4.0 / max(1.0, float((bound * case).sum() + 1))
-    for _ in range(steps):
-        thetas = np.cumsum(np.concatenate([at_raw[:1], np.exp(at_raw[1:])]))
-        score = np.bincount(rows, at_w[cols] * values, n)
+    i = np.arange(n)
+
+    def loss(w: np.ndarray, raw: np.ndarray, with_gradient: bool = True):
+        thetas = np.cumsum(np.concatenate([raw[:1], np.exp(np.clip(raw[1:], -20, 20))]))
+        score = np.bincount(rows, w[cols] * values, n)
         s = 1 / (1 + np.exp(np.clip(thetas[None, :] - score[:, None], -50, 50)))
         s = np.concatenate([np.ones((n, 1)), s, np.zeros((n, 1))], axis=1)
-        i = np.arange(n)
         up, down = s[i, grades], s[i, grades + 1]
         p = np.maximum(up - down, 1e-12)
+        f = -(case * np.log(p)).sum()
+        if not with_gradient:
+            return f
         d_up, d_down = up * (1 - up), down * (1 - down)
         d_score = -case * (d_up - d_down) / p
         d_theta = np.bincount(grades, case * d_up / p, k + 1)[1:] - np.bincount(grades, case * d_down / p, k + 1)[:-1]
         tail = np.cumsum(d_theta[::-1])[::-1]
-        d_raw = np.concatenate([tail[:1], tail[1:] * np.exp(at_raw[1:])])
-        d_w = np.bincount(cols, d_score[rows] * values, n_cols)
-        new = at_w - rate * d_w
-        new = np.sign(new) * np.maximum(0, np.abs(new) - rate * penalty)
-        new_raw = at_raw - rate * d_raw
+        return f, np.bincount(cols, d_score[rows] * values, n_cols), np.concatenate([tail[:1], tail[1:] * np.exp(np.clip(raw[1:], -20, 20))])
+
+    w, raw = np.zeros(n_cols), np.concatenate([[1.0], np.zeros(k - 1)])
+    at_w, at_raw, t, curve, last = w, raw, 1.0, 1.0, np.inf
+    for _ in range(steps):
+        f, d_w, d_raw = loss(at_w, at_raw)
+        while True:  # the step shortens until the quadratic bound holds
+            new = at_w - d_w / curve
+            new = np.sign(new) * np.maximum(0, np.abs(new) - penalty / curve)
+            new_raw = at_raw - d_raw / curve
+            dw, dr = new - at_w, new_raw - at_raw
+            f_new = loss(new, new_raw, with_gradient=False)
+            if f_new <= f + d_w @ dw + d_raw @ dr + curve / 2 * (dw @ dw + dr @ dr) + 1e-12 or curve > 1e12:
+                break
+            curve *= 2
+        whole = f_new + penalty * np.abs(new).sum()
+        if whole > last:  # momentum overshot: start it anew from the best point
+            at_w, at_raw, t, last = w, raw, 1.0, np.inf
+            continue
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         at_w, at_raw = new + (t - 1) / t_new * (new - w), new_raw + (t - 1) / t_new * (new_raw - raw)
-        w, raw, t = new, new_raw, t_new
-    return w / np.maximum(scale, 0.02), np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
+        w, raw, t, last, curve = new, new_raw, t_new, whole, curve * 0.95
+    return w / np.maximum(scale, 0.02), np.cumsum(np.concatenate([raw[:1], np.exp(np.clip(raw[1:], -20, 20))]))
 
 
 def fit(labelled: DataFrame, most_features: int = MOST_FEATURES) -> Model:
