@@ -22,7 +22,7 @@ VIEWS: dict[str, str] = {
     "box": """SELECT p_partkey AS id, p_partkey * 37 % 500 AS x0, p_partkey * 37 % 500 + p_size AS x1, p_partkey * 91 % 500 AS y0, p_partkey * 91 % 500 + p_size AS y1, p_brand AS brand FROM part""",
     "pixel": """SELECT l_linenumber AS img, l_orderkey % 64 AS y, l_partkey % 64 AS x, max(l_orderkey % 256) AS r, max(l_partkey % 256) AS g, max(l_suppkey * 7 % 256) AS b FROM lineitem GROUP BY l_linenumber, l_orderkey % 64, l_partkey % 64""",
     "tri": """SELECT l_linenumber AS mesh, l_orderkey * 100000 + l_partkey AS tid, l_orderkey % 97 AS a, l_partkey % 97 AS b, l_suppkey % 97 AS c FROM lineitem""",
-    "vertex": """SELECT l_linenumber AS mesh, l_orderkey % 97 AS vid, CAST(max(l_quantity) AS DOUBLE) AS x, CAST(max(l_partkey % 50) AS DOUBLE) AS y, CAST(max(l_suppkey % 20) AS DOUBLE) AS z FROM lineitem GROUP BY l_linenumber, l_orderkey % 97""",
+    "vertex": """SELECT l_linenumber AS mesh, l_orderkey % 97 AS vid, CAST(max(l_quantity) AS DOUBLE) AS x, CAST(max(l_partkey % 50) AS DOUBLE) AS y, CAST(max(l_orderkey % 97 * 7 % 20) AS DOUBLE) AS z FROM lineitem GROUP BY l_linenumber, l_orderkey % 97""",
     # Small triangles over a floor, seen from above.
     "facet": """SELECT p_partkey AS id, CAST(p_partkey * 37 % 200 AS DOUBLE) AS ax, CAST(p_partkey * 91 % 200 AS DOUBLE) AS ay, CAST(p_size AS DOUBLE) AS az,
         CAST(p_partkey * 37 % 200 + p_size % 7 + 1 AS DOUBLE) AS bx, CAST(p_partkey * 91 % 200 AS DOUBLE) AS "by", CAST(p_size AS DOUBLE) AS bz,
