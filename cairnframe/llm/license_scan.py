@@ -3,8 +3,8 @@
 Units are a document as a whole, its paragraphs, its lines and its sentences, so that a notice is found
 inside other text. Two bounds leave few units to compare, neither of which loses a match. A
 Dice coefficient of t needs sizes within a factor of t / (2 - t) of one another, and at least
-that share of the template's bigrams; so with enough of every template's bigrams holding one of a few
-anchor words, a text without any anchor word matches nothing.
+that share of the template's bigrams; so of any of them that are one more than may be missed, a text that matches
+holds one.
 """
 
 from __future__ import annotations
@@ -59,24 +59,32 @@ def fewest(size: int, least: float) -> int:
 
 
 def anchors(templates: list[tuple[str, str]], least: float) -> list[str]:
-    """Words of which every match of every template holds one: a greedy choice until more bigrams of each template hold one than a match may miss."""
-    need = []
-    for _, text in templates:
-        b = bigrams(text)
-        need.append(([x.split(" ") for x in b], len(b) - fewest(len(b), least) + 1))
+    """Bigrams of which every match of every template holds one: of each template one more than a match may miss, those that serve several templates first, and long ones before short."""
+    need = [(b := bigrams(text), len(b) - fewest(len(b), least) + 1) for _, text in templates]
     found: list[str] = []
-    common = {"the", "of", "or", "to", "is", "and", "in", "this", "a", "by", "under", "with", "you", "may", "be", "are", "at", "on", "it", "if", "not", "an", "as", "any", "without"}
     while True:
-        short = [(b, n - sum(any(w in found for w in x) for x in b)) for b, n in need]
         gains: dict[str, int] = {}
-        for b, n in short:
-            if n > 0:
-                rest = [x for x in b if not any(w in found for w in x)]
-                for w in {w for x in rest for w in x}:
-                    gains[w] = gains.get(w, 0) + min(n, sum(w in x for x in rest))
+        for b, n in need:
+            if sum(x in found for x in b) < n:
+                for x in b:
+                    if x not in found:
+                        gains[x] = gains.get(x, 0) + 1
         if not gains:
             return sorted(found)
-        found.append(max(sorted(gains), key=lambda w: (w not in common, gains[w])))
+        found.append(max(sorted(gains), key=lambda x: (len(x) > 8, gains[x], len(x))))
+
+
+def may_match(text: Column, templates: list[tuple[str, str]], least: float) -> Column:
+    """Whether an anchor occurs in the normalised text; false for null."""
+
+    def any_of(plain: Column) -> Column:
+        met = F.lit(False)
+        for x in anchors(templates, least):
+            met = met | plain.contains(x)
+        return met
+
+    # In a lambda the normalised text is a variable, which all conditions share.
+    return F.coalesce(F.transform(F.array(F.regexp_replace(F.lower(text), _SEPARATOR, " ")), any_of)[0], F.lit(False))
 
 
 def _bigrams(unit: Column) -> Column:
@@ -92,15 +100,14 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     Null and empty texts hold no licence; a text of one word has no bigrams. Repeated rows are scanned one by one.
     """
     kept = [c for c in docs.columns if c != text]
-    anchor = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(anchors(templates, least)) + r")(?=$|[^\p{L}\p{N}])"
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text")).where(F.lower("text").rlike(anchor))
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text")).where(may_match(F.col(text), templates, least))
     sets = [(name, bigrams(t)) for name, t in templates]
     bound = lambda n: (fewest(n, least), math.floor(n * (2 - least) / least + 1e-9))
     low, high = min(bound(len(b))[0] for _, b in sets), max(bound(len(b))[1] for _, b in sets)
     named = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("unit"))
     units = F.concat(*[F.transform(F.array(F.col("text")) if parts is None else F.split("text", parts, -1), named(kind)) for kind, parts in UNITS.items()])
-    # A unit without an anchor word goes before its bigrams are formed.
-    split = rows.withColumn("place", F.monotonically_increasing_id()).select("row", "place", F.inline(units)).where(F.lower("unit").rlike(anchor))
+    # A unit without an anchor goes before its bigrams are formed.
+    split = rows.withColumn("place", F.monotonically_increasing_id()).select("row", "place", F.inline(units)).where(may_match(F.col("unit"), templates, least))
     grams = split.select("row", "place", "kind", _bigrams(F.col("unit")).alias("grams")).where(F.size("grams").between(low, high))
 
     def scored(b: list[str]) -> Column:

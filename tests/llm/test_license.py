@@ -1,3 +1,4 @@
+import random
 import re
 
 from cairnframe.llm import license_scan as scan
@@ -37,10 +38,12 @@ def test_agrees_with_brute_force(spark):
 
 
 def test_anchors_lose_no_match():
-    words = set(scan.anchors(scan.TEMPLATES, scan.LEAST))
+    rng, found = random.Random(0), scan.anchors(scan.TEMPLATES, scan.LEAST)
     for _, t in scan.TEMPLATES:
         b = scan.bigrams(t)
-        assert sum(not words & set(x.split(" ")) for x in b) < scan.fewest(len(b), scan.LEAST)
+        for _ in range(300):
+            kept = rng.sample(b, scan.fewest(len(b), scan.LEAST))
+            assert any(a in kept for a in found)
 
 
 def test_empty_table(spark):
