@@ -21,4 +21,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_license_scans": license_scan.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
+    "op6_secret_scans": secrets.ORACLE_SQL,
 }

@@ -120,3 +120,35 @@ def query(docs: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     counts = [of(names.index(k)).alias(f"n_{k}") for k in BASE]
     return found.select("row.doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def oracle_sql(scope: int = SCOPE) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    names = list(KINDS)
+    scans = []
+    for i, (name, (pattern, group, least, _, _)) in enumerate(KINDS.items()):
+        fits = f"length(regexp_extract(match, {quoted(pattern)}, {group})) >= {least}" if group else f"length(match) >= {least}"
+        if name == "blob":
+            fits += " AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[a-z]')"
+        scans.append(f"""SELECT place, {i} AS kind, pos, length(gap) AS gap, length(match) AS length, {fits} AS fits FROM (
+  SELECT place, generate_subscripts(m, 1) AS pos, unnest(m) AS match, unnest(g[:len(m)]) AS gap FROM (SELECT place, regexp_extract_all(text, {quoted(pattern)}) AS m, regexp_split_to_array(text, {quoted(pattern)}) AS g FROM d))""")
+    of = {r: ", ".join(str(i) for i, k in enumerate(names) if KINDS[k][3] == r) for r in ROLES}
+    weak = ", ".join(str(i) for i, k in enumerate(names) if KINDS[k][4])
+    near = lambda r: f"coalesce(s - max(CASE WHEN kind IN ({of[r]}) AND NOT covered THEN e END) OVER back <= {scope}, FALSE) OR coalesce(min(CASE WHEN kind IN ({of[r]}) AND NOT covered THEN s END) OVER ahead - e <= {scope}, FALSE)"
+    windows = "WINDOW back AS (PARTITION BY place ORDER BY s, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ahead AS (PARTITION BY place ORDER BY s, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    list_of = lambda where: f"coalesce(string_agg(CASE kind {' '.join(f'WHEN {i} THEN {quoted(k)}' for i, k in enumerate(names))} END || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE {where}), '')"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, k in enumerate(names) if k in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, coalesce(text, '') AS text FROM documents),
+p AS ({' UNION ALL '.join(scans)}),
+n AS (SELECT place, kind, fits, length, sum(gap + length) OVER (PARTITION BY place, kind ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM p),
+c AS (SELECT place, kind, e - length AS s, e FROM n WHERE fits),
+v AS (SELECT *, kind IN ({weak}) AND (coalesce(max(CASE WHEN kind NOT IN ({weak}) THEN e END) OVER back > s, FALSE) OR coalesce(min(CASE WHEN kind NOT IN ({weak}) THEN s END) OVER ahead < e, FALSE)) AS covered FROM c {windows}),
+l AS (SELECT *, {near('identifier')} AS near_identifier, {near('secret')} AS near_secret FROM v {windows}),
+r AS (SELECT * FROM l WHERE kind NOT IN ({weak}) OR (NOT covered AND CASE WHEN kind IN ({of['identifier']}) THEN near_secret WHEN kind IN ({of['secret']}) THEN near_identifier ELSE near_identifier AND near_secret END))
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256({list_of(f'kind < {len(BASE)}')}) AS base_sha256, {list_of('kind IS NOT NULL')} AS spans
+FROM d LEFT JOIN r USING (place) GROUP BY place
+"""
+
+
+ORACLE_SQL = oracle_sql()
