@@ -192,9 +192,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.count("*").alias("classes")).where(F.col("classes") > 1)
     rest = stored(labelled.where(F.col("node") != F.col("centre")).join(stored(largest, "largest"), "band"), "open-members")
-    left = rest.where(F.col("label") != F.col("largest")).select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), "largest")
-    right = rest.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    cross = left.join(right, "band").where((F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b"))))
+    rest = stored(rest.join(_own_parts(rest.select("node").distinct(), texts), "node"), "weighed-members")
+    left = rest.where(F.col("label") != F.col("largest")).select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), "largest", F.col("weight").alias("x"), F.col("own").alias("own_x"), F.col("most").alias("most_x"))
+    right = rest.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("weight").alias("y"), F.col("own").alias("own_y"), F.col("most").alias("most_y"))
+    apart = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b")))
+    # A shingle that no other of these texts has is in no intersection: with X the sum of x, index <= (X - own_x) / (X + own_y / most_y).
+    bound = F.least((F.col("x") - F.col("own_x")) / (F.col("x") + F.col("own_y") / F.col("most_y")), (F.col("y") - F.col("own_y")) / (F.col("y") + F.col("own_x") / F.col("most_x")))
+    cross = left.join(right, "band").where(apart & (bound >= least - 1e-9))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = stored(_verified(stored(cross, "cross"), texts, least), "more-links")
     if not more.isEmpty():
@@ -208,6 +212,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     return out.select("id", "place", head_place.alias("class_place"), F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("class_id"), (head_place == F.col("place")).alias("kept"))
 
 
+def _own_parts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of each node: weight, the sum of its counts; own, that of the shingles that no other of the nodes has; and most, its largest count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingle = [np.frombuffer(x, np.int32) for x in batch.column("elements").to_pylist()]
+            count = [np.frombuffer(c, np.int32) if c else np.ones(len(x), np.int32) for c, x in zip(batch.column("counts").to_pylist(), shingle, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(shingle, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))], names=["node", "shingle", "count"])
+
+    arrays = stored(texts.join(nodes, "node", "left_semi").mapInArrow(run, "node long, shingle array<int>, count array<int>"), "open-texts")
+    single = arrays.select("node", F.inline(F.arrays_zip("shingle", "count"))).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("of"), F.min("count").alias("c")).where(F.col("n") == 1)
+    own = single.groupBy("of").agg(F.sum("c").alias("own"))
+    whole = arrays.select("node", F.aggregate("count", F.lit(0).cast("long"), lambda s, x: s + x).alias("weight"), F.array_max("count").alias("most"))
+    return whole.join(own, F.col("node") == F.col("of"), "left").select("node", "weight", F.coalesce("own", F.lit(0)).alias("own"), "most")
+
+
 #: Cells of the coarse filter: a broadcast of at most so many integers, whatever the input's size.
 CELLS = 1 << 18
 
