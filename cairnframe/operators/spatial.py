@@ -44,9 +44,13 @@ def self_pairs(boxes: DataFrame, **options) -> DataFrame:
 
 def interval_lookup(points: DataFrame, intervals: DataFrame, cell: float) -> DataFrame:
     """The first interval (by ord) that holds each point, ends included: points (id, at) with ord, null where none does."""
-    spread = intervals.select("ord", "lo", "hi", F.explode(_cells("lo", "hi", cell)).alias("cell"))
-    hits = points.withColumn("at_cell", F.floor(F.col("at") / cell)).join(spread, (F.col("at_cell") == F.col("cell")) & F.col("at").between(F.col("lo"), F.col("hi")), "left")
-    return hits.groupBy("id", "at").agg(F.min("ord").alias("ord"))
+    # Equal intervals and equal points meet once, so the pairs depend on the values there are, not on the rows.
+    first = intervals.groupBy("lo", "hi").agg(F.min("ord").alias("ord"))
+    spread = first.select("ord", "lo", "hi", F.explode(_cells("lo", "hi", cell)).alias("cell"))
+    places = points.select("at").distinct().withColumn("at_cell", F.floor(F.col("at") / cell))
+    held = places.join(spread, (F.col("at_cell") == F.col("cell")) & F.col("at").between(F.col("lo"), F.col("hi"))).groupBy("at").agg(F.min("ord").alias("ord"))
+    return points.select("id", "at").distinct().join(held, "at", "left").select("id", "at", "ord")
+
 
 
 def nearest(points: DataFrame, others: DataFrame, radius: float, k: int = 1) -> DataFrame:

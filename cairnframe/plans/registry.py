@@ -206,7 +206,7 @@ _add(
     reach AS (SELECT mesh, vid AS root, vid FROM vertex UNION SELECT r.mesh, r.root, un.q FROM reach r JOIN un ON un.mesh = r.mesh AND un.p = r.vid), i AS (SELECT mesh, vid, min(root) AS island FROM reach GROUP BY 1, 2)
     SELECT mesh, island, count(*) AS vertices FROM i GROUP BY 1, 2""",
     "tri", "vertex",
-)(lambda t, v: mesh.islands(v, t.where("a % 24 = b % 24 AND b % 24 = c % 24")).groupBy("mesh", "island").agg(F.count("*").alias("vertices")))
+)(lambda t, v: mesh.islands(v, t).groupBy("mesh", "island").agg(F.count("*").alias("vertices")))
 # Welding at a tolerance.
 _add(
     "welded",
@@ -254,7 +254,7 @@ _add(
     "interval_lookup",
     "SELECT p.id, p.x AS at, min(i.id) AS ord FROM customer_at p LEFT JOIN box i ON p.x BETWEEN i.x0 AND i.x1 AND i.id % 40 = 0 GROUP BY 1, 2",
     "customer_at", "box",
-)(lambda p, i: spatial.interval_lookup(p.select("id", F.col("x").alias("at")), i.where("id % 40 = 0").select(F.col("id").alias("ord"), F.col("x0").alias("lo"), F.col("x1").alias("hi")), 50.0))
+)(lambda p, i: spatial.interval_lookup(p.select("id", F.col("x").alias("at")), i.select(F.col("id").alias("ord"), F.col("x0").alias("lo"), F.col("x1").alias("hi")), 50.0))
 _add(
     "rectangle_union",
     """WITH xs AS (SELECT DISTINCT brand, unnest([x0, x1]) AS x FROM box), st AS (SELECT *, lead(x) OVER (PARTITION BY brand ORDER BY x) AS nx FROM xs),
