@@ -113,9 +113,9 @@ def _packed(counts: np.ndarray) -> bytes:
     return b"" if (counts == 1).all() else np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes()
 
 
-def signed(docs: DataFrame, text: str, key: str, n_bands: int, rows: int, width: int) -> DataFrame:
-    """A row per document: id, place, digest, bands, and its shingles (folded to 32 bits) and counts as bytes; nulls where it has no words."""
-    source = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("place"), F.col(text).alias("text"))
+def signed(docs: DataFrame, text: str, key: str, n_bands: int, rows: int, width: int, place: str | None = None) -> DataFrame:
+    """A row per document: id, place (of the column ``place``, if there is one), digest, bands, and its shingles (folded to 32 bits) and counts as bytes; nulls where it has no words."""
+    source = docs.select(F.col(key).alias("id"), (F.monotonically_increasing_id() if place is None else F.col(place)).alias("place"), F.col(text).alias("text"))
     schema = T.StructType([source.schema["id"], *T._parse_datatype_string("place long, digest binary, bands array<long>, elements binary, counts binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,14 +162,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST, n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> DataFrame:
-    """A row per row of docs: id, place (its number in the stored input), class_place, class_id and kept.
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST, n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS, place: str | None = None) -> DataFrame:
+    """A row per row of docs: id, place (the column of that name, unique and never null; None: a number given here), class_place, class_id and kept.
 
     A class is a connected component of rows linked by a similarity of ``least`` or more; rows
     with the same words are alike. Its id is that of its first row by id (nulls last), then
     place, which alone is kept. Rows whose text is null or holds no words are classes of their own.
     """
-    table = stored(signed(docs, text, key, n_bands, rows, width), "signed")
+    table = stored(signed(docs, text, key, n_bands, rows, width, place), "signed")
     # A node per distinct text, named by its first place.
     head = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("place").alias("place"))).alias("head")
     heads = table.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("place").alias("node"), head, F.count("*").alias("n"), F.first("bands").alias("bands"))

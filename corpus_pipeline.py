@@ -1,8 +1,8 @@
 """The corpus pipeline: toxic documents go, one of each group of near-duplicates stays, secrets are masked, sources are mixed to their targets, and the result is packed into sequences.
 
 A stage takes (spark, docs, sf_dir), docs a stored table, and gives back rows with the columns of
-docs; the last gives pieces of sequences. Stages find their decisions' rows by the place that a
-row has in the stored table, which is the same at every read of the same files.
+docs; the last gives pieces of sequences. Stages find their decisions' rows by a number that is
+written into the table first, so that it does not hang on how a read splits the files.
 """
 
 from __future__ import annotations
@@ -22,10 +22,15 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep_text=True).where(~F.col("toxic")).select("row.*")
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs with a unique number per row, written once: both sides of a join by it read the same numbers."""
+    return stored(docs.withColumn(_PLACE, F.monotonically_increasing_id()), "placed")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document, by doc_id, of each group of near-duplicates."""
-    gone = stored(neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("place").alias("gone")), "gone")
-    placed = docs.withColumn(_PLACE, F.monotonically_increasing_id())
+    placed = _placed(docs)
+    gone = stored(neardup.near_duplicates(placed, place=_PLACE).where(~F.col("kept")).select(F.col("place").alias("gone")), "gone")
     return placed.join(gone, F.col(_PLACE) == F.col("gone"), "left_anti").drop(_PLACE)
 
 
@@ -39,7 +44,7 @@ def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    placed = docs.withColumn(_PLACE, F.monotonically_increasing_id())
+    placed = _placed(docs)
     taken = mixing.mix(placed.select("source", "text", _PLACE)).where(F.col("copies") > 0).select(F.col("row")[_PLACE].alias("taken"), "copies")
     copies = placed.join(stored(taken, "copies"), F.col(_PLACE) == F.col("taken"))
     return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
