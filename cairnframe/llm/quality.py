@@ -3,16 +3,19 @@
 Per document a few plain measures are taken over the whole text. Fixed base rules reject the
 worst; for each further rule a cutoff is learned per stratum from labelled documents, so that
 the share of good documents that it rejects is provably small: a cutoff counts as safe if the
-exact binomial test rejects "its false rejection rate is over the rule's share of alpha". Cutoffs
+exact binomial test rejects "its false rejection rate is over its share of alpha". Cutoffs
 of a rule are tried from the loosest to the strictest and the walk stops at the first that is not
-proven safe (fixed-sequence testing, which needs no correction within the walk); over rules and
-strata the level is divided (Bonferroni). Of the safe cutoffs, all of which hold together with the
+proven safe (fixed-sequence testing, which needs no correction within the walk). This is done in
+two ways, each with half of the level: a walk per rule, alpha and level divided over the rules,
+for which a stratum needs many labels; and one walk over the cutoffs of all rules, with the whole
+alpha for what they reject together. Over strata the level is divided (Bonferroni). Of the safe cutoffs, all of which hold together with the
 stated probability, that with the most poor documents caught, less PRICE times the good ones lost,
 is taken; ties go to the loosest.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -131,6 +134,56 @@ def _under(v: Column):
     return lambda cutoff: cutoff < v
 
 
+def _proven(share: float, level: float):
+    """Whether k false rejections of n good documents prove at ``level`` that the rate is not over ``share``."""
+
+    @F.pandas_udf("boolean")
+    def proven(k: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([binomial_cdf(int(a), int(b), share) <= level for a, b in zip(k, n, strict=True)], dtype=bool)
+
+    return proven
+
+
+def _cutoff(name: str, step: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, RULES[name][1])), step + 1).alias(name)
+
+
+def _by_rule(tried: DataFrame, alpha: float, level: float) -> DataFrame:
+    """A walk per rule, each with its part of alpha and level: a row per stratum with a column per rule."""
+    walk = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    safe = tried.withColumn("safe", _proven(alpha / len(RULES), level / len(RULES))("k", "n").cast("int")).withColumn("so_far", F.min("safe").over(walk))
+    gain = F.struct((F.col("caught") - PRICE * F.col("k")).alias("gain"), (-F.col("step")).alias("loose"))
+    best = safe.where("so_far = 1").groupBy("stratum").agg(*[(-F.max(F.when(F.col("rule") == name, gain))["loose"]).alias(name) for name in RULES])
+    return best.select("stratum", *[_cutoff(name, F.col(name)) for name in RULES])
+
+
+def _by_path(tried: DataFrame, passed: DataFrame, alpha: float, level: float) -> DataFrame:
+    """One walk over the cutoffs of all rules, the union of their false rejections tested against the whole alpha: columns as of _by_rule().
+
+    The path of a stratum is ordered by the share of good documents of the *other* strata that a
+    cutoff rejects, then by step, so it does not depend on the good documents that it is tested on.
+    """
+    every = Window.partitionBy("rule", "step")
+    cost = (F.sum("k").over(every) - F.col("k")) / F.greatest(F.lit(1), F.sum("n").over(every) - F.col("n"))
+    path = tried.withColumn("cost", cost).withColumn("at", F.row_number().over(Window.partitionBy("stratum").orderBy("cost", "step", "rule")))
+    path = stored(path.select("stratum", "rule", "step", "at"), "path")
+    places = path.groupBy("stratum").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("rule") == name, F.struct("step", "at")))), lambda x: x["at"]).alias(name) for name in RULES])
+    places = stored(places.withColumnRenamed("stratum", "path_of"), "path-places")
+    # A document fails from the first place of the path on at which one of the rules rejects it.
+    fails = [F.when(F.col("over")[name] > 0, F.element_at(F.col(name), F.lit(len(grid) + 1) - F.col("over")[name])) for name, (_, grid) in RULES.items()]
+    first = passed.join(places, F.col("stratum") == F.col("path_of")).select("stratum", F.least(*fails).alias("at"), "good")
+    counts = first.groupBy("stratum", "at").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("poor"))
+    up_to = Window.partitionBy("stratum").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("n").over(Window.partitionBy("stratum"))
+    walked = counts.withColumn("total", total).where("at IS NOT NULL").select("stratum", "at", F.col("total").alias("n"), F.sum("n").over(up_to).alias("k"), F.sum("poor").over(up_to).alias("caught"))
+    safe = walked.withColumn("safe", _proven(alpha, level)("k", "n").cast("int")).withColumn("so_far", F.min("safe").over(up_to))
+    gain = F.struct((F.col("caught") - PRICE * F.col("k")).alias("gain"), (-F.col("at")).alias("loose"))
+    best = safe.where("so_far = 1").groupBy(F.col("stratum").alias("own")).agg((-F.max(gain)["loose"]).alias("until"))
+    kept = path.join(best, (F.col("stratum") == F.col("own")) & (F.col("at") <= F.col("until")))
+    steps = kept.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, F.col("step"))).alias(name) for name in RULES])
+    return steps.select("stratum", *[_cutoff(name, F.col(name)) for name in RULES])
+
+
 def cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Safe cutoffs: a row per stratum with a column per rule (null: none is proven safe, the rule stands aside).
 
@@ -138,16 +191,12 @@ def cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> Da
     stratum loses more than alpha of its good documents to all rules together. Rows with a null
     label, and those that the base rules reject, take no part.
     """
-    passed = labelled.where(F.col("good").isNotNull() & ~base_failed(F.col("measured")))
     m = F.col("measured")
     # The number of cutoffs that a value exceeds: a histogram by it holds all that the tests need.
-    counts = None
-    for name, (value, grid) in RULES.items():
-        v = F.coalesce(value(m), F.lit(0.0))
-        tail = F.size(F.filter(F.array(*map(F.lit, grid)), _under(v)))
-        one = passed.select("stratum", F.lit(name).alias("rule"), tail.alias("over"), "good")
-        counts = one if counts is None else counts.unionByName(one)
-    counts = counts.groupBy("stratum", "rule", "over").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("poor"))
+    over = [F.size(F.filter(F.array(*map(F.lit, grid)), _under(F.coalesce(value(m), F.lit(0.0))))).alias(name) for name, (value, grid) in RULES.items()]
+    passed = stored(labelled.where(F.col("good").isNotNull() & ~base_failed(m)).select("stratum", F.struct(*over).alias("over"), "good"), "rule-places")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col("over")[name].alias("over")) for name in RULES]))
+    counts = passed.select("stratum", each.alias("x"), "good").groupBy("stratum", "x.rule", "x.over").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("poor"))
     counts = stored(counts, "rule-counts")
     strata = max(1, counts.select("stratum").distinct().count())
     # A value over the cutoff of a step is over those of all later (lower) steps: over size - step of them or more.
@@ -156,17 +205,17 @@ def cutoffs(labelled: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> Da
     spread = counts.withColumn("total", total).withColumn("step", F.explode(F.sequence(F.lit(0), size - 1)))
     fails = F.col("over") >= size - F.col("step")
     tried = spread.groupBy("stratum", "rule", "step").agg(F.max("total").alias("n"), *[F.sum(F.when(fails, F.col(c)).otherwise(0)).alias(to) for c, to in (("n", "k"), ("poor", "caught"))])
-    share, level = alpha / len(RULES), delta / len(RULES) / strata
-
-    @F.pandas_udf("boolean")
-    def proven(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([binomial_cdf(int(a), int(b), share) <= level for a, b in zip(k, n, strict=True)], dtype=bool)
-
-    walk = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    safe = tried.withColumn("safe", proven("k", "n").cast("int")).withColumn("so_far", F.min("safe").over(walk))
-    gain = F.struct((F.col("caught") - PRICE * F.col("k")).alias("gain"), (-F.col("step")).alias("loose"))
-    best = safe.where("so_far = 1").groupBy("stratum").agg(*[(-F.max(F.when(F.col("rule") == name, gain))["loose"]).alias(name) for name in RULES])
-    return best.select("stratum", *[F.element_at(F.array(*map(F.lit, g)), F.col(name) + 1).alias(name) for name, (_, g) in RULES.items()])
+    tried = stored(tried, "rule-steps")
+    level = delta / 2 / strata
+    ways = [_by_rule(tried, alpha, level).withColumn("way", F.lit(1)), _by_path(tried, passed, alpha, level).withColumn("way", F.lit(0))]
+    ways = stored(ways[0].unionByName(ways[1]), "ways")
+    # Both ways hold; the better on the labels is taken.
+    rejects = [F.col("over")[name] > F.coalesce(F.size(F.filter(F.array(*map(F.lit, grid)), _under(F.col(name)))), F.lit(len(grid))) for name, (_, grid) in RULES.items()]
+    rejected = passed.join(ways.withColumnRenamed("stratum", "own"), F.col("stratum") == F.col("own")).where(functools.reduce(Column.__or__, rejects))
+    gains = rejected.groupBy("stratum", "way").agg((F.count_if(~F.col("good")) - PRICE * F.count_if("good")).alias("gain"))
+    named = ways.join(gains, ["stratum", "way"], "left")
+    best = named.groupBy("stratum").agg(F.max(F.struct(F.coalesce("gain", F.lit(0)).alias("gain"), "way", *RULES)).alias("best"))
+    return best.select("stratum", *[F.col("best")[name].alias(name) for name in RULES])
 
 
 def judged(measured: DataFrame, labelled: DataFrame, stratum: str, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
