@@ -1,14 +1,16 @@
 """Mixing sources to target weights by entropy balancing.
 
 Of all ways to weigh documents that give each source its target number of words, the one nearest
-to the base rates in relative entropy tilts them exponentially. Its convex dual is solved by
-Newton steps. A document's constraints are the words of its source alone, so the sums per source
-that Spark aggregates are all that gradient and Hessian need: the steps run on them, source by
-source, wherever the rows of the sources are. The rates are then rounded into whole copies.
+to the base rates in relative entropy tilts them exponentially: a document's rate is exp(l * words
+/ scale) with one l per source, or the limit where that is lower. Its convex dual is solved by Newton steps; Spark sums words * rate
+and words^2 * rate per source for each of them. A document's rate depends on its source and words
+alone, so the sums run over counts of sizes. The rates are then rounded into whole copies.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +20,7 @@ from .common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-NEWTON_STEPS = 40
+NEWTON_STEPS, MOST_STEPS = 40, 100
 #: Documents rounded together, and the size up to which they make up for what longer ones missed.
 BLOCK, SHORT = 512, 256
 
@@ -59,6 +61,43 @@ def tilt(size: Column, target: Column) -> Column:
     return F.when((size > 0) & (target > 0), F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))).otherwise(F.lit(0.0))
 
 
+def _tilted(size: Column, tilt_: Column, scale: Column, most: float) -> Column:
+    """A document's rate; 0 without words, or where its source has no tilt."""
+    return F.when((size > 0) & tilt_.isNotNull(), F.exp(F.least(F.lit(math.log(most)), tilt_ * size / scale))).otherwise(F.lit(0.0))
+
+
+def tilts(counts: DataFrame, goals: DataFrame, most: float) -> DataFrame:
+    """source, tilt and scale such that the rates give each source its target; a null tilt stands for no words or no target.
+
+    counts: own (source), size, n documents of it; goals: source and target, which is at most
+    ``most`` times the source's words. Newton steps on the logarithm of the words taken, kept between the bounds found;
+    at a tilt of scale * log(most) all documents are at the limit.
+    """
+    words = counts.where(F.col("size") > 0).groupBy("own").agg(F.sum(F.col("n") * F.col("size")).cast("double").alias("words"), F.sum(F.col("n") * F.col("size").cast("double") * F.col("size")).alias("squares"))
+    now = goals.select("source", "target").join(words, F.col("source").eqNullSafe(F.col("own"))).where(F.col("target") > 0)
+    now = now.withColumn("scale", F.col("squares") / F.col("words")).withColumn("hi", F.col("scale") * math.log(most)).withColumn("lo", F.lit(None).cast("double"))
+    full = F.col("target") >= F.col("words") * (most * (1 - 1e-12))
+    # The rate that all would have if it were one is the first guess.
+    guess = F.least(F.col("hi"), F.log(tilt(F.col("words"), F.col("target"))))
+    state = ["source", "target", "scale", "tilt", "lo", "hi"]
+    now = stored(now.withColumn("tilt", F.when(full, F.col("hi")).otherwise(guess)).select(*state), "tilts")
+    for _ in range(MOST_STEPS):
+        rate = _tilted(F.col("size"), F.col("tilt"), F.col("scale"), most)
+        free = F.col("tilt") * F.col("size") / F.col("scale") < math.log(most)
+        taken = F.col("n") * F.col("size") * rate
+        met = counts.join(now, F.col("source").eqNullSafe(F.col("own"))).groupBy(*state)
+        met = met.agg(F.sum(taken).alias("first"), F.sum(F.when(free, taken * F.col("size") / F.col("scale")).otherwise(0.0)).alias("second"))
+        off = F.abs(F.col("first") / F.col("target") - 1) > 1e-9
+        met = stored(met.withColumn("off", off).withColumn("lo", F.when(F.col("first") < F.col("target"), F.col("tilt")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("first") > F.col("target"), F.col("tilt")).otherwise(F.col("hi"))), "newton")
+        if met.where("off").isEmpty():
+            break
+        newton = F.col("tilt") + F.log(F.col("target") / F.col("first")) * F.col("first") / F.col("second")
+        inside = (F.col("second") > 0) & (F.col("first") > 0) & (newton < F.col("hi")) & (F.col("lo").isNull() | (newton > F.col("lo")))
+        halved = F.when(F.col("lo").isNull(), F.col("tilt") - F.greatest(F.lit(1.0), F.abs("tilt"))).otherwise((F.col("lo") + F.col("hi")) / 2)
+        now = met.withColumn("tilt", F.when(~F.col("off"), F.col("tilt")).otherwise(F.when(inside, newton).otherwise(halved))).select(*state)
+    return now.select("source", "tilt", "scale")
+
+
 def _rounded(rows: DataFrame, part: str) -> DataFrame:
     """rows (source, size, rate, chance, n_source) with copies.
 
@@ -70,9 +109,11 @@ def _rounded(rows: DataFrame, part: str) -> DataFrame:
     rows = rows.withColumn("block", block).withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("fraction", F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + 1e-9)))
     per = Window.partitionBy("source", "block").orderBy(F.desc("size"), "chance", "place")
     start = F.pmod(F.xxhash64("source", "block", F.lit(part)), F.lit(1 << 20)) / float(1 << 20)
-    # Fractions are equal within a source and part, so sums are products: no order of addition matters.
-    k = F.row_number().over(per)
-    extra = F.floor(k * F.col("fraction") + start) - F.floor((k - 1) * F.col("fraction") + start)
+    # Fractions are summed as whole multiples of 2^-32: no order of addition matters.
+    one = 1 << 32
+    part_ = F.round(F.col("fraction") * one).cast("long")
+    until = F.sum(part_).over(per.rowsBetween(Window.unboundedPreceding, 0)) + F.floor(start * one)
+    extra = F.floor(until / one) - F.floor((until - part_) / one)
     return rows.withColumn("copies", (F.col("whole") + extra).cast("long"))
 
 
@@ -90,20 +131,23 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.when(F.col("size") > SHORT, F.col("size")).otherwise(0)).alias("long_size"), F.count("*").alias("n_source"))
     sums = stored(sums, "source-sizes")
     goals = stored(targets(sums.select("source", "source_size"), weights, share, most), "targets")
-    goals = goals.withColumn("rate", F.least(F.lit(float(most)), tilt(F.col("source_size"), F.col("target"))))
-    goals = stored(goals.join(sums.select(F.col("source").alias("own"), "n_source", "long_size"), F.col("source").eqNullSafe(F.col("own"))).drop("own"), "rates")
+    counts = stored(sized.groupBy(F.col("source").alias("own"), "size").agg(F.count("*").alias("n")), "size-counts")
+    goals = stored(goals.join(sums.select(F.col("source").alias("own"), "n_source", "long_size"), F.col("source").eqNullSafe(F.col("own"))).drop("own"), "goals")
 
-    def with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
-        return rows.join(rates.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
+    def with_rates(rows: DataFrame, found: DataFrame) -> DataFrame:
+        found = found.withColumnRenamed("source", "tilted")
+        rates = stored(goals.join(found, F.col("source").eqNullSafe(F.col("tilted")), "left").drop("tilted").withColumnRenamed("source", "own"), "rates")
+        both = rows.join(rates, F.col("source").eqNullSafe(F.col("own"))).drop("own")
+        return both.withColumn("rate", _tilted(F.col("size"), F.col("tilt"), F.col("scale"), float(most)))
 
     # Long documents first; the short ones are then balanced anew to what those left of the target.
-    long = stored(_rounded(with_rates(sized.where(F.col("size") > SHORT), goals), "long"), "long")
+    long = stored(_rounded(with_rates(sized.where(F.col("size") > SHORT), tilts(counts, goals, float(most))), "long"), "long")
     taken = long.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got")).withColumnRenamed("source", "taker")
     rest = goals.join(taken, F.col("source").eqNullSafe(F.col("taker")), "left").drop("taker")
     left, short_size = F.greatest(F.lit(0.0), F.col("target") - F.coalesce(F.col("got"), F.lit(0))), F.col("source_size") - F.col("long_size")
     # What the rest cannot hold is kept out of the dual, whose solution would be over the limit.
-    rest = stored(rest.withColumn("rate", tilt(short_size, F.least(left, short_size * F.lit(float(most))))).drop("got"), "short-rates")
-    short = _rounded(with_rates(sized.where(F.col("size") <= SHORT), rest.withColumn("rate", F.least(F.lit(float(most)), "rate"))), "short")
+    rest = stored(rest.select("source", F.least(left, short_size * F.lit(float(most))).alias("target")), "rest")
+    short = _rounded(with_rates(sized.where(F.col("size") <= SHORT), tilts(counts.where(F.col("size") <= SHORT), rest, float(most))), "short")
     columns = ["row", "source", "size", "source_size", "target", "rate", "copies"]
     return long.select(*columns).unionByName(short.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0).cast("long"))).select(*columns))
 
