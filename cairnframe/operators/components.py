@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnframe.storage import stored
+from cairnframe.storage import discard, stored
 
 
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -24,7 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     """node and label, its component's smallest node, for the nodes of ``edges`` (a, b) other than the smallest themselves. Loops and repeated edges do no harm."""
     now = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
-        now = stored(_star(stored(_star(now, True), "large"), False), "small")
+        large = stored(_star(now, True), "large")
+        small = stored(_star(large, False), "small")
+        discard(now, large)
+        now = small
         # Done when all is stars: every node has one label, and labels have none.
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up")).distinct())
         if ends.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty():
