@@ -6,9 +6,11 @@ random registers, and a register holds the shingle that arrives first. A text's
 they are past its latest register. Texts whose registers agree in a band are candidates and are
 verified on the shingles themselves.
 
-Equal texts count once. Within a bucket the texts are first verified against one centre, that with most candidates; as only
-classes are asked for, further pairs are needed only between texts of a bucket that those links
-left in different classes, so that large groups of copies never form all their pairs.
+Equal texts count once. As only classes are asked for, the texts of a bucket are first verified
+against one centre, that with most candidates. What is then still apart is not compared pair by
+pair: two texts that are alike share either enough of their centre, which the sizes of what each
+has of it bound, or shingles that the centre lacks. The first is a join on the centre of the few texts whose
+bound leaves them open, the second one on those shingles, rarest first, as far as a link needs them.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import discard, stored
 from cairnframe.operators.components import components
 
 WORDS, LEAST = 5, 0.8
@@ -110,13 +112,18 @@ def similarity(a: np.ndarray, x: np.ndarray | None, b: np.ndarray, y: np.ndarray
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    return b"" if (counts == 1).all() else np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes()
+    return b"" if (counts == 1).all() else np.minimum(counts, 0x7FFFFFFF).astype(np.int32).tobytes()
+
+
+def _mark(text: str) -> Column:
+    """A number that equal texts share."""
+    return F.xxhash64(F.col(text))
 
 
 def signed(docs: DataFrame, text: str, key: str, n_bands: int, rows: int, width: int, place: str | None = None) -> DataFrame:
-    """A row per document: id, place (of the column ``place``, if there is one), digest, bands, and its shingles (folded to 32 bits) and counts as bytes; nulls where it has no words."""
-    source = docs.select(F.col(key).alias("id"), (F.monotonically_increasing_id() if place is None else F.col(place)).alias("place"), F.col(text).alias("text"))
-    schema = T.StructType([source.schema["id"], *T._parse_datatype_string("place long, digest binary, bands array<long>, elements binary, counts binary").fields])
+    """A row per document: id, place (of the column ``place``, if there is one), mark, and the digest of its words and the bands, null where it has none."""
+    source = docs.select(F.col(key).alias("id"), (F.monotonically_increasing_id() if place is None else F.col(place)).alias("place"), _mark(text).alias("mark"), F.col(text).alias("text"))
+    schema = T.StructType([source.schema["id"], *T._parse_datatype_string("place long, mark long, digest binary, bands array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -129,37 +136,163 @@ def signed(docs: DataFrame, text: str, key: str, n_bands: int, rows: int, width:
                 if full:
                     for i, row in zip(full, bands(signatures([each[i][1:] for i in full], n_bands * rows), rows), strict=True):
                         found[i] = row
-                folded = [None if d is None else fold(v, c) for d, v, c in each]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("place"), pa.array([e[0] for e in each], pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array([f and f[0] for f in folded], pa.binary()), pa.array([f and f[1] for f in folded], pa.binary())],
-                    names=["id", "place", "digest", "bands", "elements", "counts"],
-                )
+                columns = [*[batch.column(c) for c in ("id", "place", "mark")], pa.array([e[0] for e in each], pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def fold(values: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Shingles as sorted 32-bit values, with their counts."""
-    short = (values >> _U(32)).astype(np.uint32)  # in order, as the values are
-    if len(short) > 1 and (short[1:] == short[:-1]).any():
-        starts = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-        short, counts = short[starts], np.add.reduceat(counts, starts)
-    return short.tobytes(), _packed(counts)
+#: Cells of the coarse filter, a bit each: a broadcast of at most CELLS / 64 words, whatever the input's size.
+CELLS = 1 << 22
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose texts are similar enough."""
+def sifted(rows: DataFrame, value: Column, wanted: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts: those whose ``value`` (long) may be one of wanted's column ``name``, and those where it is none, which need no join."""
+    cell = F.pmod(F.col(name), F.lit(CELLS))
+    words = wanted.select((cell / 64).cast("int").alias("word"), F.pmod(cell, F.lit(64)).cast("int").alias("bit"))
+    words = stored(words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "cells")
+    at = F.pmod(value, F.lit(CELLS))
+    found = rows.withColumn("cell_word", (at / 64).cast("int")).withColumn("cell_bit", F.pmod(at, F.lit(64)).cast("int"))
+    found = found.join(F.broadcast(words), F.col("cell_word") == F.col("word"), "left").withColumn("there", F.coalesce(F.expr("getbit(bits, cell_bit) = 1"), F.lit(False)))
+    return found.where("there").select(rows.columns), found.where("NOT there").select(rows.columns)
+
+
+def _texts(docs: DataFrame, text: str, width: int, nodes: DataFrame) -> DataFrame:
+    """node, elements (sorted shingles) and counts, as bytes, of nodes (node, digest, mark), from the documents that have a node's words."""
+    source = sifted(docs.select(_mark(text).alias("mark"), F.col(text).alias("text")), F.col("mark"), nodes, "mark")[0].select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), 512):
+                with np.errstate(over="ignore"):
+                    each = [e for x in whole.slice(start, 512).column("text").to_pylist() if (e := shingles(x, width))[0] is not None]
+                columns = [pa.array(x, pa.binary()) for x in ([e[0] for e in each], [e[1].tobytes() for e in each], [_packed(e[2]) for e in each])]
+                yield pa.RecordBatch.from_arrays(columns, names=["words", "elements", "counts"])
+
+    once = source.mapInArrow(run, "words binary, elements binary, counts binary").groupBy("words").agg(F.first("elements").alias("elements"), F.first("counts").alias("counts"))
+    return stored(once.join(nodes.hint("merge"), F.col("words") == F.col("digest")).select("node", "elements", "counts"), "candidate-texts")
+
+
+def _pairs(met: DataFrame, texts: DataFrame, one: str, two: str) -> DataFrame:
     side = lambda s: texts.select(F.col("node").alias(s), F.col("elements").alias(f"{s}_elements"), F.col("counts").alias(f"{s}_counts"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{s}_{c}" for s in "ab" for c in ("elements", "counts")])
+    return met.select(one, two).join(side(one).hint("merge"), one).join(side(two).hint("merge"), two)
+
+
+def _of(batch: pa.RecordBatch, name: str) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """Elements and counts (None: all 1) of the texts of one side."""
+    both = zip(batch.column(f"{name}_elements").to_pylist(), batch.column(f"{name}_counts").to_pylist(), strict=True)
+    return [(np.frombuffer(e, _U), np.frombuffer(c, np.int32) if c else None) for e, c in both]
+
+
+#: Of a text and its centre: weight, the sum of its counts; distinct, the number of its shingles; common and shared, the same of those that the centre has; most, its largest count; top, the weight of shared ones of that count; lacking, the largest count of a shingle that the centre lacks.
+STATS = ("weight", "distinct", "common", "shared", "most", "top", "lacking")
+
+
+def judged(met: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """met (node, centre) with ``alike``, whether the texts are similar enough, and STATS of the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(f"{s}_{c}").to_pylist() for s in "ab" for c in ("elements", "counts")]
-            u32 = lambda raw: np.frombuffer(raw, np.uint32)
-            ok = [similarity(u32(a), u32(x) if x else None, u32(b), u32(y) if y else None) >= least - 1e-12 for a, x, b, y in zip(*columns, strict=True)]
+            alike, stats = [], []
+            for (a, x), (b, y) in zip(_of(batch, "node"), _of(batch, "centre"), strict=True):
+                alike.append(similarity(a, x, b, y) >= least - 1e-12)
+                count = np.ones(len(a), np.int64) if x is None else x.astype(np.int64)
+                there = np.isin(a, b, assume_unique=True)
+                most = count.max()
+                stats.append((count.sum(), len(a), count[there].sum(), there.sum(), most, count[there & (count == most)].sum(), count[~there].max(initial=0)))
+            found = np.array(stats, dtype=np.int64).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre"), pa.array(alike, pa.bool_()), *[pa.array(found[:, i]) for i in range(len(STATS))]], names=["node", "centre", "alike", *STATS])
+
+    return _pairs(met, texts, "node", "centre").mapInArrow(run, "node long, centre long, alike boolean, " + ", ".join(f"{s} long" for s in STATS))
+
+
+def lacked(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, centre, shingle and count: a row per shingle of the node that its centre lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements, counts = [np.zeros(0, _U)], [np.zeros(0, np.int32)]
+            for (a, x), (b, _) in zip(_of(batch, "node"), _of(batch, "centre"), strict=True):
+                there = np.isin(a, b, assume_unique=True)
+                elements.append(a[~there])
+                counts.append(np.ones(len(elements[-1]), np.int32) if x is None else x[~there])
+            which = np.repeat(np.arange(len(batch)), [len(e) for e in elements[1:]])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(which), batch.column("centre").take(which), pa.array(np.concatenate(elements).view(np.int64)), pa.array(np.concatenate(counts))], names=["node", "centre", "shingle", "count"])
+
+    return _pairs(met, texts, "node", "centre").mapInArrow(run, "node long, centre long, shingle long, count int")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose texts are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similarity(*p, *q) >= least - 1e-12 for p, q in zip(_of(batch, "a"), _of(batch, "b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return _pairs(pairs, texts, "a", "b").mapInArrow(run, "a long, b long")
+
+
+def _most_alike(x: str, others_distinct: Column, others_most: Column, shared: Column, extra: Column) -> Column:
+    """A bound of the similarity of a text (STATS prefixed with ``x``) to one of which at most ``shared`` of its shingles are: those of its centre, and ``extra`` that the centre lacks.
+
+    For a shingle d of both, with counts x_d and y_d, its term of the index is at most x_d / (weight + n * x_d / y_d), with n, at least,
+    the number of the other's shingles that the text has not.
+    """
+    c = lambda name: F.col(f"{x}{name}")
+    n = F.greatest(F.lit(0), others_distinct - shared)
+    part = F.least(c("weight"), c("common") + extra * c("lacking"))
+    top = F.least(part, c("top"))
+    return top / (c("weight") + n * c("most") / others_most) + (part - top) / (c("weight") + n / others_most)
+
+
+def _pair_bound(extra: Column) -> Column:
+    """Of nodes a and b that met one centre (STATS prefixed with a_ and b_) and share ``extra`` shingles that it lacks."""
+    shared = F.least("a_shared", "b_shared") + extra
+    return F.least(_most_alike("a_", F.col("b_distinct"), F.col("b_most"), shared, extra), _most_alike("b_", F.col("a_distinct"), F.col("a_most"), shared, extra))
+
+
+def _open(table: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of table (of judged()), the nodes of centres whose class doesn't hold all that met them, with label, outside (not in the centre's class), and of the centre's nodes fewest (the least ``distinct``) and largest (``most``)."""
+    of = lambda c: labels.select(F.col("node").alias(f"{c}_of"), F.col("label").alias(f"{c}_label"))
+    named = table.join(of("node").hint("merge"), F.col("node") == F.col("node_of"), "left").join(of("centre").hint("merge"), F.col("centre") == F.col("centre_of"), "left")
+    named = named.withColumn("label", F.coalesce("node_label", "node")).withColumn("outside", F.col("label") != F.coalesce("centre_label", "centre"))
+    named = stored(named.select("node", "centre", "label", "outside", *STATS), "labelled")
+    ends = named.groupBy(F.col("centre").alias("of")).agg(F.min("distinct").alias("fewest"), F.max("most").alias("largest"), F.max("outside").alias("any"), F.count("*").alias("n")).where(F.col("any") & (F.col("n") > 1))
+    return stored(named.join(ends.hint("merge"), F.col("centre") == F.col("of")).drop("of", "any", "n"), "open")
+
+
+def _apart(rows: DataFrame, on: list[str], extra: Column, least: float) -> DataFrame:
+    """Pairs (a, b) of rows that agree in ``on``, are of different classes, one or both of them outside their centre's, and within the bound."""
+    side = lambda s: rows.select(*on, *[F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in on])
+    once = ~F.col("b_outside") | (F.col("a_node") < F.col("b_node"))
+    both = side("a").where("a_outside").join(side("b").hint("merge"), on)
+    return both.where((F.col("a_label") != F.col("b_label")) & once & (_pair_bound(extra) >= least - 1e-9)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+
+def cross_pairs(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes of open_ that may be alike although their centre did not unite them."""
+    rest = F.col("fewest") - F.col("shared")
+    by_size = open_.where(_most_alike("", F.col("fewest"), F.col("largest"), F.col("shared"), F.lit(0)) >= least - 1e-9)
+    by_size = _apart(by_size.select("centre", "node", "label", "outside", *STATS), ["centre"], F.lit(0), least)
+
+    # Shingles beside the centre's that two classes or more have.
+    beside = stored(lacked(open_, texts).join(open_.select(F.col("node").alias("n_"), F.col("centre").alias("c_"), "label").hint("merge"), (F.col("node") == F.col("n_")) & (F.col("centre") == F.col("c_"))).drop("n_", "c_"), "beside")
+    known = beside.groupBy(F.col("centre").alias("of"), F.col("shingle").alias("s")).agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").drop("x", "y")
+    lists = beside.join(known.hint("merge"), (F.col("centre") == F.col("of")) & (F.col("shingle") == F.col("s"))).groupBy(F.col("node").alias("n_"), F.col("centre").alias("c_")).agg(F.array_sort(F.collect_list(F.struct("n", "shingle", "count"))).alias("list"))
+    some = open_.join(lists.hint("merge"), (F.col("node") == F.col("n_")) & (F.col("centre") == F.col("c_"))).drop("n_", "c_")
+    # A link needs so much weight of them; a pair is met at the first that both have, which has that much from it on.
+    need = (least * (F.col("weight") + rest / F.col("largest")) - F.col("common")) / (1 + least / F.col("largest"))
+    step = lambda acc, x: F.struct((acc["left"] - x["count"]).alias("left"), F.when(acc["left"] >= F.col("need"), acc["keep"] + 1).otherwise(acc["keep"]).alias("keep"))
+    total = F.aggregate("list", F.lit(0).cast("long"), lambda a, x: a + x["count"])
+    prefix = F.aggregate("list", F.struct(F.col("total").alias("left"), F.lit(0).alias("keep")), step)["keep"]
+    some = some.withColumn("need", need - 1e-6).withColumn("total", total).withColumn("others", F.transform("list", lambda x: x["shingle"])).withColumn("prefix", prefix)
+    some = stored(some.select("centre", "node", "label", "outside", *STATS, "others", F.explode(F.slice("others", 1, F.col("prefix"))).alias("shingle")), "beside-index")
+    both = F.array_intersect("a_others", "b_others")
+    by_shingle = _apart(some.withColumn("first", F.col("shingle")), ["centre", "shingle"], F.when(both[0] == F.col("a_first"), F.size(both)), least)
+    found = stored(by_size.unionByName(by_shingle).distinct(), "cross")
+    discard(beside, some)
+    return found
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST, n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS, place: str | None = None) -> DataFrame:
@@ -167,78 +300,42 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
 
     A class is a connected component of rows linked by a similarity of ``least`` or more; rows
     with the same words are alike. Its id is that of its first row by id (nulls last), then
-    place, which alone is kept. Rows whose text is null or holds no words are classes of their own.
+    place, which alone is kept. Rows whose text is null or holds no words are classes of their own. docs is read
+    twice and must give the same texts.
     """
     table = stored(signed(docs, text, key, n_bands, rows, width, place), "signed")
     # A node per distinct text, named by its first place.
     head = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("place").alias("place"))).alias("head")
-    heads = table.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("place").alias("node"), head, F.count("*").alias("n"), F.first("bands").alias("bands"))
+    heads = table.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("place").alias("node"), head, F.count("*").alias("n"), F.first("bands").alias("bands"), F.min("mark").alias("mark"))
     heads = stored(heads, "heads")
-    bucketed = stored(heads.select("node", F.explode("bands").alias("band")), "bands")
-    buckets = stored(bucketed.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1), "buckets")
-    members = stored(bucketed.join(buckets, "band"), "members")
+    bucketed = heads.select("node", F.explode("bands").alias("band"))
+    buckets = bucketed.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    members = stored(bucketed.join(buckets.hint("merge"), "band"), "members")
     # A bucket's centre is the text that meets most others over all buckets: among copies of one text, that is the text itself.
-    degrees = stored(members.groupBy("node").agg(F.sum("size").alias("degree")), "degrees")
-    members = stored(members.join(degrees, "node").select("band", "node", "degree"), "ranked-members")
-    centres = stored(members.groupBy("band").agg((-F.max(F.struct("degree", (-F.col("node")).alias("node")))["node"]).alias("centre")), "centres")
-    met = stored(members.select("band", "node").join(centres, "band"), "met")
-    pairs = stored(met.where(F.col("node") != F.col("centre")).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
-    texts = _texts(table, degrees)
-    links = stored(_verified(pairs, texts, least), "links")
+    degrees = stored(members.groupBy(F.col("node").alias("of")).agg(F.sum("size").alias("degree")), "degrees")
+    ranked = stored(members.join(degrees.hint("merge"), F.col("node") == F.col("of")).select("band", "node", "degree"), "ranked-members")
+    centres = ranked.groupBy("band").agg((-F.max(F.struct("degree", (-F.col("node")).alias("node")))["node"]).alias("centre"))
+    met = stored(ranked.join(centres.hint("merge"), "band").where(F.col("node") != F.col("centre")).select("node", "centre").distinct(), "met")
+    nodes = stored(heads.select("node", "digest", "mark").join(degrees.hint("merge"), F.col("node") == F.col("of"), "left_semi"), "candidates")
+    discard(members, ranked, degrees)
+    texts = _texts(docs, text, width, nodes)
+    tried = stored(judged(met, texts, least), "judged")
+    links = tried.where("alike").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     labels = components(links)
-
-    # Buckets whose texts are still in different classes: pairs between classes that were not tried. One end is outside the bucket's largest class.
-    labelled = stored(met.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("band", "centre", "node", F.coalesce("label", "node").alias("label")), "labelled-members")
-    sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.count("*").alias("classes")).where(F.col("classes") > 1)
-    rest = stored(labelled.where(F.col("node") != F.col("centre")).join(stored(largest, "largest"), "band"), "open-members")
-    rest = stored(rest.join(_own_parts(rest.select("node").distinct(), texts), "node"), "weighed-members")
-    left = rest.where(F.col("label") != F.col("largest")).select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), "largest", F.col("weight").alias("x"), F.col("own").alias("own_x"), F.col("most").alias("most_x"))
-    right = rest.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("weight").alias("y"), F.col("own").alias("own_y"), F.col("most").alias("most_y"))
-    apart = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("largest")) | (F.col("a") < F.col("b")))
-    # A shingle that no other of these texts has is in no intersection: with X the sum of x, index <= (X - own_x) / (X + own_y / most_y).
-    bound = F.least((F.col("x") - F.col("own_x")) / (F.col("x") + F.col("own_y") / F.col("most_y")), (F.col("y") - F.col("own_y")) / (F.col("y") + F.col("own_x") / F.col("most_x")))
-    cross = left.join(right, "band").where(apart & (bound >= least - 1e-9))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(_verified(stored(cross, "cross"), texts, least), "more-links")
+    open_ = _open(tried, labels)
+    more = stored(verified(cross_pairs(open_, texts, least), texts, least), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    named = stored(heads.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("digest", "head", "n", F.coalesce("label", "node").alias("label")), "named")
-    tops = stored(named.groupBy("label").agg(F.min("head").alias("top"), F.sum("n").alias("size")).where(F.col("size") > 1), "tops")
-    classes = stored(named.join(tops, "label").select(F.col("digest").alias("of"), "top"), "classes")
-    out = table.select("id", "place", "digest").join(classes, F.col("digest") == F.col("of"), "left")
+    named = stored(heads.join(labels.withColumnRenamed("node", "of").hint("merge"), F.col("node") == F.col("of"), "left").select("digest", "head", "n", F.coalesce("label", "node").alias("label")), "named")
+    discard(heads, met, nodes, texts, tried, open_, more)
+    tops = named.groupBy(F.col("label").alias("of")).agg(F.min("head").alias("top"), F.sum("n").alias("size")).where(F.col("size") > 1)
+    classes = stored(named.join(tops.hint("merge"), F.col("label") == F.col("of")).select(F.col("digest").alias("of"), "top"), "classes")
+    discard(named)
+    out = table.select("id", "place", "digest").join(classes.hint("merge"), F.col("digest") == F.col("of"), "left")
     head_place = F.coalesce(F.col("top.place"), F.col("place"))
     return out.select("id", "place", head_place.alias("class_place"), F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("class_id"), (head_place == F.col("place")).alias("kept"))
 
 
-def _own_parts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of each node: weight, the sum of its counts; own, that of the shingles that no other of the nodes has; and most, its largest count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shingle = [np.frombuffer(x, np.int32) for x in batch.column("elements").to_pylist()]
-            count = [np.frombuffer(c, np.int32) if c else np.ones(len(x), np.int32) for c, x in zip(batch.column("counts").to_pylist(), shingle, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(shingle, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))], names=["node", "shingle", "count"])
-
-    arrays = stored(texts.join(nodes, "node", "left_semi").mapInArrow(run, "node long, shingle array<int>, count array<int>"), "open-texts")
-    single = arrays.select("node", F.inline(F.arrays_zip("shingle", "count"))).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("of"), F.min("count").alias("c")).where(F.col("n") == 1)
-    own = single.groupBy("of").agg(F.sum("c").alias("own"))
-    whole = arrays.select("node", F.aggregate("count", F.lit(0).cast("long"), lambda s, x: s + x).alias("weight"), F.array_max("count").alias("most"))
-    return whole.join(own, F.col("node") == F.col("of"), "left").select("node", "weight", F.coalesce("own", F.lit(0)).alias("own"), "most")
-
-
-#: Cells of the coarse filter: a broadcast of at most so many integers, whatever the input's size.
-CELLS = 1 << 18
-
-
-def _texts(table: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, elements and counts of the wanted nodes, most others being sifted out before the shuffle by a hash of bounded range."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).cast("int")
-    coarse = stored(wanted.select(cell("node").alias("cell")).distinct(), "cells")
-    sifted = table.select(F.col("place").alias("node"), "elements", "counts").withColumn("at", cell("node")).join(F.broadcast(coarse), F.col("at") == F.col("cell"), "left_semi").drop("at")
-    return stored(sifted.join(wanted.select("node"), "node", "left_semi"), "candidate-texts")
-
-
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id", "kept")

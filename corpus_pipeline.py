@@ -13,29 +13,29 @@ from pyspark.sql import functions as F
 from cairnframe.llm import mixing, neardup, packing, secrets, toxicity
 from cairnframe.llm.common import stored, table
 
-_PLACE = "__place_in_table"
-
-
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the model, fitted on those labelled, finds toxic."""
+    """Without the documents that the model, fitted on those labelled, finds toxic; null and empty texts stay, and repeated rows are judged alike."""
     model = toxicity.fit(toxicity.labelled_texts(docs, table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model, keep_text=True).where(~F.col("toxic")).select("row.*")
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """docs with a unique number per row, written once: both sides of a join by it read the same numbers."""
-    return stored(docs.withColumn(_PLACE, F.monotonically_increasing_id()), "placed")
+    """The rows of docs as a struct ``row`` with a unique ``place``, written once: both sides of a join by it read the same numbers."""
+    return stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("place")), "placed")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by doc_id, of each group of near-duplicates."""
+    """The first document, by doc_id (null last), of each group of near-duplicates; of repeated rows one stays, texts that are null or without words all do."""
     placed = _placed(docs)
-    gone = stored(neardup.near_duplicates(placed, place=_PLACE).where(~F.col("kept")).select(F.col("place").alias("gone")), "gone")
-    return placed.join(gone, F.col(_PLACE) == F.col("gone"), "left_anti").drop(_PLACE)
+    found = neardup.near_duplicates(placed.select("row.doc_id", "row.text", "place"), place="place")
+    gone = stored(found.where(~F.col("kept")).select(F.col("place").alias("gone")), "gone")
+    maybe, not_gone = neardup.sifted(placed, F.col("place"), gone, "gone")
+    stay = maybe.join(gone.hint("merge"), F.col("place") == F.col("gone"), "left_anti")
+    return stay.unionByName(not_gone).select("row.*")
 
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mask for what the secret scan reports, and n_chars of the new text."""
+    """All documents, with a mask for what the secret scan reports, and n_chars of the new text; null texts stay null."""
     found = secrets.scan(docs, keep_text=True)
     clean = found.withColumn("masked", secrets.masked(F.col("row.text"), F.col("spans")))
     new = {"text": F.col("masked"), "n_chars": F.length("masked").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("masked")}
@@ -43,11 +43,13 @@ def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; without words, not at all. Repeated rows are taken each on its own."""
     placed = _placed(docs)
-    taken = mixing.mix(placed.select("source", "text", _PLACE)).where(F.col("copies") > 0).select(F.col("row")[_PLACE].alias("taken"), "copies")
-    copies = placed.join(stored(taken, "copies"), F.col(_PLACE) == F.col("taken"))
-    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    mix = mixing.mix(placed.select("row.source", "row.text", "place"))
+    taken = stored(mix.where(F.col("copies") > 0).select(F.col("row.place").alias("taken"), "copies"), "copies")
+    # Nearly all rows are taken, so the texts are shuffled at every size.
+    copies = placed.join(taken.hint("merge"), F.col("place") == F.col("taken"))
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
