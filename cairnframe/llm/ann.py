@@ -2,7 +2,9 @@
 
 Equal vectors are one point of a graph, so that a vector that many rows share neither breaks the
 graph apart nor fills one shard; a point carries the smallest ids of its rows, as many as a result can
-hold. A shard's graph is one row of a stored index. Queries meet the shards in blocks.
+hold. A shard holds vectors of lengths within a factor of two, so that in none a long vector
+swamps the others; its graph is one row of a stored index. Queries meet the shards in blocks. What a graph
+finds is ranked by inner products in double precision of the original vectors.
 """
 
 from __future__ import annotations
@@ -11,20 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import hnsw
 from .common import stored
 
-#: Points of a shard, about; queries of a block, about; and the breadth of a search.
-SHARD, BLOCK, EF = 8192, 1024, 128
+#: Points of a shard, about: a part of its table in MOST_SHARDS, within these bounds; queries of a block, about; and the breadth of a search.
+SHARD, LARGEST_SHARD, MOST_SHARDS, BLOCK, EF = 8192, 131_072, 64, 1024, 128
 SALTS = 32
 
 
 def usable(df: DataFrame, vector: str, dim: int | None) -> DataFrame:
-    """Rows whose vector is there, of length ``dim`` (None: the commonest, ties to the shortest), finite in every component, and not zero."""
+    """Rows whose vector is there, of length ``dim`` (None: the commonest, ties to the shortest; others have no inner product with them), finite in every component, and not zero."""
     v = F.col(vector)
     if dim is None:
         top = df.where(v.isNotNull()).groupBy(F.size(v).alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
@@ -47,12 +49,26 @@ def points(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     return few.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("members"))
 
 
+def _octave(vector: str) -> Column:
+    """The power of two at or below the length of a vector that is not zero."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))
+    return F.floor(F.log2(largest) + F.log2(squares) / 2).cast("int")
+
+
 def index(found: DataFrame, shard_rows: int = SHARD, m: int = hnsw.M, ef: int = hnsw.EF_BUILD) -> DataFrame:
     """A row per shard of ``found`` (of points()): shard, its vectors, members and the graph's neighbour arrays by layer, as bytes."""
-    found = stored(found, "points")
-    shards = max(1, -(-found.count() // shard_rows))
+    found = stored(found.withColumn("octave", _octave("vector")), "points")
+    sizes = found.groupBy("octave").agg(F.count("*").alias("n")).orderBy("octave").collect()  # as many as a double has exponents, at most
+    rows = max(shard_rows, min(LARGEST_SHARD, sum(r.n for r in sizes) // MOST_SHARDS))
+    parts, start = [], 0
+    for r in sizes:
+        parts.append((r.octave, start, max(1, -(-r.n // rows))))
+        start += parts[-1][2]
+    parts = found.sparkSession.createDataFrame(parts, "of int, start int, shards int")
     spread = F.xxhash64("vector")
-    dealt = found.select(F.pmod(spread, F.lit(shards)).cast("int").alias("shard"), spread.alias("turn"), "vector", "members")
+    dealt = found.join(F.broadcast(parts), F.col("octave") == F.col("of"))
+    dealt = dealt.select((F.col("start") + F.pmod(spread, F.col("shards"))).cast("int").alias("shard"), spread.alias("turn"), "vector", "members")
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("turn").combine_chunks()
@@ -72,7 +88,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF) ->
     Ties go to the smaller id. Queries with a null id take no part; of queries with one id, each vector counts and a row its best score.
     """
     q = queries.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    q = stored(q, "queries")
+    q = stored(q.distinct(), "queries")
     blocks = max(1, -(-q.count() // BLOCK))
     shards = graphs.count()
     block = F.pmod(F.xxhash64("id", "vector"), F.lit(blocks))
@@ -90,10 +106,15 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF) ->
                 ends = ends - ends[0]
                 ids = row["queries"].values.field("id").to_numpy()
                 wanted = _matrix(row["queries"].values.field("vector"))
-                found = hnsw.search(hnsw.Graph(hnsw.lifted(vectors), links), wanted, min(n, k + 1), ef)
+                found = hnsw.search(hnsw.Graph(hnsw.lifted(vectors), links), wanted, min(n, max(ef, k + 1)))
                 which, col = np.nonzero(found >= 0)
                 point = found[which, col]
                 score = np.einsum("ij,ij->i", wanted[which], vectors[point])
+                order = np.lexsort((members[ends[point]], -score, which))
+                which, point, score = which[order], point[order], score[order]
+                first = np.searchsorted(which, which)  # the place of a query's best
+                near = np.arange(len(which)) - first <= k
+                which, point, score = which[near], point[near], score[near]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ends[point + 1] - ends[point])]).astype(np.int32)), pa.array(np.concatenate([members[ends[p] : ends[p + 1]] for p in point] or [members[:0]])))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(score), lists], names=["query_id", "score", "members"])
 

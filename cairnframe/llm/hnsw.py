@@ -22,9 +22,14 @@ class Graph:
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with one more coordinate that gives all the same length: then nearest to (q, 0) is largest inner product with q."""
-    norms = (vectors**2).sum(axis=1)
-    return np.column_stack([vectors, np.sqrt(np.maximum(0, norms.max() - norms))]).astype(np.float32)
+    """Vectors, the longest scaled to length 1, with one more coordinate that gives all the same length: then nearest to (q, 0) is largest inner product with q.
+
+    Meant for vectors whose lengths are not far apart, as beside a far longer one the rest would be all alike.
+    """
+    scaled = vectors / max(np.abs(vectors).max(initial=0.0), np.finfo(float).tiny)
+    norms = (scaled**2).sum(axis=1)
+    longest = max(norms.max(initial=0.0), np.finfo(float).tiny)
+    return np.column_stack([scaled / np.sqrt(longest), np.sqrt(np.maximum(0, 1 - norms / longest))]).astype(np.float32)
 
 
 def _distance(points: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -142,11 +147,12 @@ def descend(points: np.ndarray, upper: list[np.ndarray], queries: np.ndarray) ->
     return at
 
 
-def search(graph: Graph, queries: np.ndarray, k: int, ef: int) -> np.ndarray:
-    """Ids of the k points with the largest inner product found for each query, -1 where there are fewer."""
-    q = np.column_stack([queries, np.zeros(len(queries))]).astype(np.float32)
+def search(graph: Graph, queries: np.ndarray, ef: int) -> np.ndarray:
+    """Ids of the ef points with the largest inner product found for each query (not zero), -1 where there are fewer; the length of a query is of no account."""
+    q = queries / np.abs(queries).max(axis=1, keepdims=True)
+    q = np.column_stack([q / np.sqrt((q**2).sum(axis=1, keepdims=True)), np.zeros(len(q))]).astype(np.float32)
     found = []
     for i in range(0, len(q), BATCH):
         part = q[i : i + BATCH]
-        found.append(search_layer(graph.points, graph.links[0], part, descend(graph.points, graph.links[:0:-1], part), max(ef, k))[0][:, :k])
-    return np.concatenate(found) if found else np.zeros((0, k), np.int64)
+        found.append(search_layer(graph.points, graph.links[0], part, descend(graph.points, graph.links[:0:-1], part), ef)[0])
+    return np.concatenate(found) if found else np.zeros((0, ef), np.int64)

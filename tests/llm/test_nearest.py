@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from cairnframe.llm import ann, hnsw
 
@@ -37,6 +38,33 @@ def test_small_tables_are_searched_whole(spark):
         assert [i for _, i, _ in got[q]] == want[q]
 
 
+@pytest.mark.parametrize("norms", ["even", "spread", "outlier", "huge"])
+def test_recall_whatever_the_lengths(spark, norms):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 24))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    length = {"even": np.ones(3000), "spread": 10.0 ** rng.uniform(-3, 3, 3000), "outlier": np.where(np.arange(3000) == 7, 1e6, 1.0), "huge": np.where(np.arange(3000) % 2 == 0, 1e30, 1e25)}[norms]
+    v *= length[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.query(df).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = []
+    for q in range(0, 3000, 20):
+        true = v @ v[q]
+        true[q] = -np.inf
+        got = sorted(found[q])
+        assert len(got) == 20 and all(abs(score - true[i]) <= 1e-12 * abs(v[q]) @ abs(v[i]) for _, i, score in got)
+        hits.append(len({i for _, i, _ in got} & set(np.argsort(-true, kind="stable")[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.95
+
+
+def test_columns_of_the_operators_own_names(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i)], "x", "y") for i in range(45)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string, octave string")
+    assert ann.query(df).count() == 3 * 20
+
+
 def test_fewer_candidates_than_asked_for_and_none(spark):
     assert [i for _, i, _ in run(spark, [(0, [1.0, 0, 0, 0]), (1, [1.0, 0, 0, 0]), (2, [0.0, 1, 0, 0])])[0]] == [1, 2]
     assert run(spark, []) == {}
@@ -51,7 +79,7 @@ def test_recall_of_a_graph():
     rng = np.random.default_rng(0)
     v = rng.normal(size=(2000, 32))
     graph = hnsw.build(v)
-    found = hnsw.search(graph, v[:200], 10, 128)
+    found = hnsw.search(graph, v[:200], 128)[:, :10]
     true = np.argsort(-(v[:200] @ v.T), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, true, strict=True)]) > 0.95
     assert all(x.dtype == np.int32 for x in graph.links)
