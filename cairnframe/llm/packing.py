@@ -1,20 +1,21 @@
 """Order-preserving packing of documents into fixed-length sequences by dynamic programming.
 
 The token stream of a partition is cut into windows of at most ``size`` tokens. Windows end at
-the end of a document, at the end of a sentence, or, at a higher price, after exactly ``size``
-tokens. The cuts minimise padding (``size`` less the window's tokens; none if their number is a
-power of two) plus a price per window and per truncated document or sentence. As padding is
-linear in a window's start, the best start is a sliding-window minimum, kept in a monotone
-queue; the few starts a power of two back are looked up beside it, at document ends.
+the end of a document, at the end of a sentence, or, at a higher price, ``size`` tokens after
+one of these; where none follows for longer, also at multiples of that. The cuts minimise padding (``size`` less the
+window's tokens; none if it ends with a document and their number is a power of two) plus a price per window and per truncated document or
+sentence. As padding is linear in a window's start, the best start is a sliding-window minimum, kept in a monotone
+queue; the few starts a power of two back are looked up beside it.
 
 The rows keep the order in which the input's partitions hold them, so nothing is shuffled: hand
-over a stored table, whose partitions are the same at every retry. A partition is worked off in
-segments of bounded size; the window that a segment leaves open goes on in the next one.
+over a stored table, whose partitions are the same at every retry. Windows are put out once all
+cuts that are still open share them, so the result doesn't hang on the size of Spark's batches.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import zlib
 from collections import deque
@@ -31,69 +32,113 @@ SIZE = 2048
 END_ID = 1
 #: Prices in tokens: of any window, and of a cut after a sentence or inside one.
 WINDOW_PRICE, SENTENCE_PRICE, HARD_PRICE = 2, 3, 8
-#: Sentence ends nearer than this to the last one are no cut points of their own.
-LEAST_GAP = 32
-SEGMENT = 1 << 18
-#: Full windows in a row from a document's end that the cuts may take.
-CHAIN = 12
+#: Tokens between two looks for windows to put out, and those held back at most: beyond, the cuts that lead to the last document's end are settled.
+SEGMENT, MOST_OPEN = 1 << 16, 1 << 22
 DOC, SENTENCE, HARD = 0, 1, 2
-
-
-def cuts(docs: np.ndarray, sentences: np.ndarray, total: int, size: int = SIZE) -> list[int]:
-    """Ends of the windows, the last at ``total``: the least-cost cuts of a stream of ``total`` tokens.
-
-    docs and sentences: sorted positions (tokens before them) where documents or sentences end.
-    """
-    if total <= 0:
-        return []
-    at = np.concatenate([docs, sentences])
-    kind = np.concatenate([np.full(len(docs), DOC), np.full(len(sentences), SENTENCE)])
-    inside = (at > 0) & (at < total)
-    at, kind = at[inside], kind[inside]
-    # A window from any soft cut may be full, as may CHAIN in a row from a document's end, and all where soft cuts are further apart.
-    soft = np.unique(np.concatenate([[0], at, [total]]))
-    gaps = np.diff(soft)
-    long = np.flatnonzero(gaps > size)
-    chains = [docs + k * size for k in range(2, CHAIN + 1)]
-    full = np.concatenate([soft[:-1] + size, *chains, *[np.arange(soft[i] + size, soft[i + 1], size) for i in long]])
-    full = full[full < total]
-    at, kind = np.concatenate([at, full, [total]]), np.concatenate([kind, np.full(len(full), HARD), [DOC]])
-    order = np.lexsort((kind, at))
-    at, kind = at[order], kind[order]
-    first = np.concatenate([[True], at[1:] != at[:-1]])
-    at, kind = at[first], kind[first]
-
-    prices = (WINDOW_PRICE, WINDOW_PRICE + SENTENCE_PRICE, WINDOW_PRICE + HARD_PRICE)
-    where, best, back = [0, *at.tolist()], [0.0], [0]
-    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (cost + position, position, index), rising in the first
-    index = {0: 0}
-    powers = [1 << b for b in range(size.bit_length()) if 1 << b <= size]
-    i = 0
-    for p, k in zip(where[1:], kind.tolist(), strict=True):
-        i += 1
-        low = p - size
+PRICES = (WINDOW_PRICE, WINDOW_PRICE + SENTENCE_PRICE, WINDOW_PRICE + HARD_PRICE)
+
+
+class Cutter:
+    """The least-cost cuts of a stream of tokens, document by document. Positions are numbers of tokens before them."""
+
+    def __init__(self, size: int = SIZE, most_open: int = MOST_OPEN):
+        self.size, self.most_open = size, most_open
+        self.powers = [1 << b for b in range(size.bit_length()) if 1 << b <= size]
+        # Points where a window may end: position, least cost up to it, and the number of the point where its last window starts; the first is number ``gone``.
+        self.where, self.best, self.back, self.gone = [0], [0], [0], 0
+        self.queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (cost + position, position, number), rising in the first
+        self.index = {0: 0}  # numbers of points by position
+        self.full: deque[int] = deque([size])  # positions of full windows to come
+        self.soft = 0  # the last end of a document or sentence
+        self.end = 0
+
+    def feed(self, sentences: list[int], end: int) -> None:
+        """The next document, which ends at ``end``, with the positions where sentences end before that."""
+        full, size, soft, chained = self.full, self.size, self.soft, None
+        for p, kind in [*((p, SENTENCE) for p in sentences), (end, DOC)]:
+            while full and full[0] < p:
+                f = full.popleft()
+                self._point(f, HARD)
+                if (f - soft) % size == 0:
+                    full.append(chained := f + size)
+            if full and full[-1] == chained:  # beyond an end, or there
+                full.pop()
+            if full and full[0] == p:
+                full.popleft()
+            self._point(p, kind)
+            soft = p
+            full.append(p + size)
+        self.soft, self.end = soft, end
+
+    def _point(self, p: int, kind: int) -> None:
+        queue, low = self.queue, p - self.size
         while queue[0][1] < low:
             queue.popleft()
         cost, _, start = queue[0]
-        cost += size - p
-        if k == DOC:
-            for w in powers:
-                j = index.get(p - w)
-                if j is not None and best[j] < cost:
-                    cost, start = best[j], j
-        cost += prices[k]
-        best.append(cost)
-        back.append(start)
-        index[p] = i
+        cost += self.size - p
+        if kind == DOC:
+            for w in self.powers:
+                j = self.index.get(p - w)
+                if j is not None and self.best[j - self.gone] < cost:
+                    cost, start = self.best[j - self.gone], j
+        cost += PRICES[kind]
+        i = self.gone + len(self.where)
+        self.where.append(p)
+        self.best.append(cost)
+        self.back.append(start)
+        self.index[p] = i
         cost += p
         while queue and queue[-1][0] >= cost:
             queue.pop()
         queue.append((cost, p, i))
-    ends = []
-    while i:
-        ends.append(where[i])
-        i = back[i]
-    return ends[::-1]
+
+    def settled(self, last: bool = False) -> list[int]:
+        """Ends of the windows that all cuts still open share, but for those given before; at the last, of all."""
+        gone, where, back = self.gone, self.where, self.back
+        newest = gone + len(where) - 1
+        if last:
+            top = newest
+        else:
+            # Any later window starts at one of the points that a window from the end still reaches.
+            first = gone + bisect.bisect_left(where, self.end - self.size)
+            open_ = {i for i in range(first, newest + 1) if back[i - gone] is not None}
+            steps = sorted(open_)
+            while len(open_) > 1:
+                i = steps.pop()
+                open_.discard(i)
+                if (j := back[i - gone]) not in open_:
+                    open_.add(j)
+                    bisect.insort(steps, j)
+            top = open_.pop()
+            if self.end - where[top - gone] > self.most_open:
+                top = newest
+                while top >= first:
+                    top = back[top - gone]
+                self._only_after(top, first)
+        ends = []
+        i = top
+        while i > gone:
+            ends.append(where[i - gone])
+            i = back[i - gone]
+        self.index = {where[i - gone]: i for i in self.index.values() if i >= top and where[i - gone] >= self.end - self.size}
+        self.where, self.best, self.back, self.gone = where[top - gone :], self.best[top - gone :], back[top - gone :], top
+        return ends[::-1]
+
+    def _only_after(self, top: int, first: int) -> None:
+        """Give up the open points that are not reached through ``top``."""
+        follows, self.queue, self.index = {top}, deque(), {}
+        for i in range(top + 1, self.gone + len(self.where)):
+            if self.back[i - self.gone] in follows:
+                follows.add(i)
+                if i >= first:
+                    p = self.where[i - self.gone]
+                    cost = self.best[i - self.gone] + p
+                    while self.queue and self.queue[-1][0] >= cost:
+                        self.queue.pop()
+                    self.queue.append((cost, p, i))
+                    self.index[p] = i
+            else:
+                self.back[i - self.gone] = None
 
 
 class Encoder:
@@ -137,14 +182,6 @@ def encoder(path: str, ranks: str | None) -> Encoder:
     return Encoder(path, ranks)
 
 
-def thinned(at: np.ndarray, gap: int) -> np.ndarray:
-    """Of sorted positions, the last in each stretch of ``gap``."""
-    if not len(at):
-        return at
-    cell = at // gap
-    return at[np.concatenate([cell[1:] != cell[:-1], [True]])]
-
-
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -163,50 +200,52 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, ranks)
-        segment = Segment(size, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, with_ids)
+        open_ = Open(size, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, with_ids)
         for batch in batches:
             row = batch.column("row")
             for i, x in enumerate(batch.column("text").to_pylist()):
                 ids = np.array([*(encode(x) if x else ()), end_id], dtype=np.uint32)
-                segment.add(row, i, ids, encode.ends_sentence)
-                if segment.tokens >= SEGMENT:
-                    yield from segment.emit(last=False)
-            yield from segment.emit(last=False)  # rows of a batch are not kept beyond it, but for the open window
-        yield from segment.emit(last=True)
+                open_.add(row, i, ids, encode.ends_sentence)
+                if open_.due():
+                    yield from open_.emit()
+            open_.keep()
+        yield from open_.emit(last=True)
 
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-class Segment:
-    """Documents not yet written out, as (batch's rows, place, ids, ids written before)."""
+class Open:
+    """Documents of a partition that are not yet put out, as (batch's rows, place, ids, ids put out before)."""
 
     def __init__(self, size: int, first_id: int, with_ids: bool):
-        self.size, self.sequence, self.with_ids = size, first_id, with_ids
-        self.docs: list[tuple[pa.Array, int, np.ndarray, int]] = []
-        self.ends: list[np.ndarray] = []
-        self.tokens = 0
-
-    def add(self, row: pa.Array, i: int, ids: np.ndarray, ends_sentence: np.ndarray, done: int = 0) -> None:
-        ends = np.flatnonzero(ends_sentence[ids[done:]]) + 1
-        self.ends.append(self.tokens + thinned(ends, LEAST_GAP))
-        self.docs.append((row, i, ids, done))
-        self.tokens += len(ids) - done
-
-    def emit(self, last: bool) -> Iterator[pa.RecordBatch]:
-        """The pieces of all windows; unless last, what the final one holds stays for what follows."""
-        if not self.docs or not last and self.tokens < 4 * self.size:
+        self.cutter, self.sequence, self.with_ids = Cutter(size), first_id, with_ids
+        self.docs: deque[tuple[pa.Array, int, np.ndarray, int]] = deque()
+        self.begin = self.looked = 0
+
+    def add(self, row: pa.Array, i: int, ids: np.ndarray, ends_sentence: np.ndarray) -> None:
+        start = self.cutter.end
+        end = start + len(ids)
+        ends = (np.flatnonzero(ends_sentence[ids[:-1]]) + (start + 1)).tolist()
+        self.docs.append((row, i, ids, 0))
+        self.cutter.feed([p for p in ends if p < end], end)
+
+    def due(self) -> bool:
+        return self.cutter.end - self.looked >= SEGMENT
+
+    def keep(self) -> None:
+        """Rows that stay beyond their batch are copied, lest they hold all of it."""
+        self.docs = deque((pa.concat_arrays([r.slice(j, 1)]) if len(r) > 1 else r, 0 if len(r) > 1 else j, x, d) for r, j, x, d in self.docs)
+
+    def emit(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """The pieces of all windows that are settled."""
+        if not self.docs:
             return
-        doc_ends = np.cumsum([len(d[2]) - d[3] for d in self.docs])
-        ends = cuts(doc_ends, np.concatenate(self.ends), self.tokens, self.size)
-        if not last:
-            ends.pop()
-        rows, piece = [], []
-        ids_of: list[np.ndarray] = []
-        docs, k, left, begin = self.docs, 0, None, 0
-        row, i, ids, done = docs[0]
-        for end in ends:
+        self.looked = self.cutter.end
+        rows, piece, ids_of, begin = [], [], [], self.begin
+        for end in self.cutter.settled(last):
             offset = 0
             while begin < end:
+                row, i, ids, done = self.docs.popleft()
                 n = min(end - begin, len(ids) - done)
                 part = ids[done : done + n]
                 rows.append((row, i))
@@ -214,17 +253,10 @@ class Segment:
                 if self.with_ids:
                     ids_of.append(part)
                 done, begin, offset = done + n, begin + n, offset + n
-                if done == len(ids):
-                    k += 1
-                    if k < len(docs):
-                        row, i, ids, done = docs[k]
+                if done < len(ids):
+                    self.docs.appendleft((row, i, ids, done))
             self.sequence += 1
-        left = [] if k == len(docs) else [(row, i, ids, done), *docs[k + 1 :]]
-        keep = np.concatenate(self.ends)
-        keep = keep[keep > begin] - begin
-        # Rows that stay are copied, lest they hold their whole batch.
-        self.docs = [(pa.concat_arrays([r.slice(j, 1)]) if len(r) > 1 else r, 0 if len(r) > 1 else j, x, d) for r, j, x, d in left]
-        self.ends, self.tokens = [keep], self.tokens - begin
+        self.begin = begin
         if not rows:
             return
         arrays, at = [], 0
