@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from .common import stored
 
 _WORD = re.compile(r"\w+")
-#: Labelled rows that a fit takes of each class, about; the features it knows at most, the clearest first; and how many standard errors a feature's share of positive rows must lie above that of others.
-ROWS_PER_CLASS, MOST_FEATURES, LEAST_Z = 5_000, 20_000, 5.0
+#: Labelled rows that a fit takes of each class, about, by which all it gathers is bounded; and how many standard errors a feature's share of positive rows must lie above that of others.
+ROWS_PER_CLASS, LEAST_Z = 5_000, 5.0
 STEPS, PENALTY = 400, 2e-4
 #: Lengths of word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -111,12 +111,11 @@ def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade
     return w / np.maximum(scale, 0.02), np.cumsum(np.concatenate([raw[:1], np.exp(np.clip(raw[1:], -20, 20))]))
 
 
-def fit(labelled: DataFrame, most_features: int = MOST_FEATURES) -> Model:
+def fit(labelled: DataFrame) -> Model:
     """labelled: a sample of bounded size, text and grade (int from 0; null takes no part).
 
-    With grades 0 and 1 alone, the half of the positive rows with the more of the features that
-    tell them from others is taken as grade 2. Without rows of both
-    a grade 0 and one above, the model finds nothing.
+    Grades are those of the labels: there is a threshold for each but the lowest (labels of 0 and 1 have one). A grade
+    that no row has shares the threshold of the next. Without rows of both a grade 0 and one above, the model finds nothing.
     """
     rows = labelled.where(F.col("grade").isNotNull()).select(F.coalesce("text", F.lit("")).alias("text"), (F.col("grade") > 0).alias("positive"), F.col("grade").cast("int").alias("grade"))
     rows = stored(rows, "sample")
@@ -137,8 +136,8 @@ def fit(labelled: DataFrame, most_features: int = MOST_FEATURES) -> Model:
     all_of = (F.col("a") + F.col("b")) / float(totals.p + totals.q)
     error = F.sqrt(all_of * (1 - all_of) * (1 / totals.p + 1 / totals.q))
     z = F.when(error > 0, (F.col("a") / float(totals.p) - F.col("b") / float(totals.q)) / error)
-    clear = counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(most_features)
-    words = [r.feature for r in clear.select("feature", "z").collect()]
+    clear = counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature")
+    words = [r.feature for r in clear.select("feature", "z").collect()]  # of the sample, as bounded as it is
     at = {w: i for i, w in enumerate(words)}
 
     def known_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +155,11 @@ def fit(labelled: DataFrame, most_features: int = MOST_FEATURES) -> Model:
     rows_at = np.repeat(np.arange(len(got)), [len(x) for x in each])
     cols = np.concatenate(each)
     values = np.concatenate([np.frombuffer(r.x, float) for r in got])
-    if grades.max() == 1:
-        hits = np.bincount(rows_at, values, len(got))
-        grades = grades + ((grades == 1) & (hits > np.median(hits[grades == 1])))
+    present, grades = np.unique(np.maximum(grades, 0), return_inverse=True)
     sizes = np.bincount(grades)
     w, thetas = fit_cumulative(rows_at, cols, values, grades, len(words), np.where(grades > 0, 0.35 / max(1, sizes[1:].sum()), 0.65 / sizes[0]))
+    # Grade g is above threshold k if its rank among those present is.
+    thetas = thetas[np.searchsorted(present[1:], np.arange(1, present[-1] + 1))]
     return Model({words[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}, thetas)
 
 
@@ -182,15 +181,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
 def labelled_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", per_class: int = ROWS_PER_CLASS) -> DataFrame:
     """text and grade of about per_class rows at most with a grade of 0 and as many above, taken by a hash of their key.
 
-    A key that is labelled twice has its highest grade. The keys are sampled before they meet
-    the documents, so that their number is bounded and only their texts leave the scan.
+    A key that is labelled twice has its highest grade; of rows that share a labelled key, one is taken (the first text in
+    order). The keys are sampled before they meet the documents, so that their number is bounded and only their texts leave the scan.
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("labelled_key")).agg(F.max(label).cast("int").alias("grade"))
     marks = stored(marks, "labels")
     sizes = marks.agg(F.count_if(F.col("grade") > 0).alias("p"), F.count_if(F.col("grade") <= 0).alias("q")).first()
     share = F.when(F.col("grade") > 0, F.lit(per_class / max(1, sizes.p))).otherwise(F.lit(per_class / max(1, sizes.q)))
     sample = stored(marks.where(F.pmod(F.xxhash64("labelled_key"), F.lit(1 << 30)) < share * float(1 << 30)), "sampled-labels")
-    return docs.select(F.col(key).alias("own_key"), "text").join(F.broadcast(sample), F.col("own_key") == F.col("labelled_key")).select("text", "grade")
+    found = docs.select(F.col(key).alias("own_key"), F.col("text").alias("labelled_text")).join(F.broadcast(sample), F.col("own_key") == F.col("labelled_key"))
+    return found.groupBy("own_key").agg(F.min("labelled_text").alias("text"), F.first("grade").alias("grade")).select("text", "grade")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

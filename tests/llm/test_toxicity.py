@@ -37,6 +37,43 @@ def test_cumulative_link_recovers_order():
     assert w[0] > 1.0 > 0 > w[1] and abs(w[2]) < 0.15 and thetas[0] < thetas[1]
 
 
+def test_fit_is_the_least_of_its_penalised_likelihood():
+    """Against the likelihood written out row by row: no step of a weight or threshold lowers it."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (120, 4)).astype(float)
+    grades = np.clip((x @ np.array([1.0, 0.5, 0.0, -1.0]) + rng.logistic(size=120)).round().astype(int), 0, 2)
+    r, c = np.nonzero(x)
+    w, thetas = toxicity.fit_cumulative(r, c, x[r, c], grades, 4, np.ones(120), steps=20_000, penalty=1e-3)
+    scale = np.maximum(0.02, np.sqrt((x**2).mean(axis=0)))
+
+    def loss(w, thetas):
+        total = 0.0
+        for row, g in zip(x, grades, strict=True):
+            above = [1.0, *[1 / (1 + np.exp(t - row @ w)) for t in thetas], 0.0]
+            total -= np.log(above[g] - above[g + 1]) / len(x)
+        return total + 1e-3 * np.abs(w * scale).sum()
+
+    best = loss(w, thetas)
+    for step in (1e-2, -1e-2, 1e-3, -1e-3):
+        for i in range(4):
+            assert loss(w + step * np.eye(4)[i], thetas) > best - 1e-7
+        for k in range(2):
+            assert loss(w, thetas + step * np.eye(2)[k]) > best - 1e-7
+
+
+def test_rows_of_one_labelled_key_count_once(spark):
+    docs = spark.createDataFrame([(1, "a b")] * 500 + [(2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.labelled_texts(docs, labels).collect())) == [("a b", 1), ("c", 0)]
+
+
+def test_grades_are_those_of_the_labels(spark):
+    texts = [(text(i, 0) + " vile" * (4 * (i % 3)), 2 * (i % 3)) for i in range(900)]
+    model = toxicity.fit(spark.createDataFrame(texts, "text string, grade int"))
+    assert len(model.thetas) == 4 and (np.diff(model.thetas) >= 0).all() and model.thetas[0] == model.thetas[1] < model.thetas[2]
+    assert np.mean([int((model.above(t) >= 0.5).sum()) == g for t, g in texts]) > 0.8
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "vile"), (3, "vile " * 50_000), (3, "x"), (3, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
