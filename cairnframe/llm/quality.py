@@ -236,10 +236,10 @@ def judged(measured: DataFrame, labelled: DataFrame, stratum: str, alpha: float
 
 
 def labelled_rows(measured: DataFrame, labels: DataFrame, stratum: str, key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """stratum, measured and good, of the rows whose key is labelled. Null keys match none; a key that is labelled twice counts as good only if all its labels are."""
+    """stratum, measured and good, of the rows whose key is labelled. Null keys match none; a key that is labelled twice counts as good only if all its labels are. Of rows that share a key one counts, as they are no independent trials: the first by stratum, then measures."""
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("labelled_key")).agg((F.min(F.col(label)) > 0).alias("good"))
     own = F.coalesce(F.col("row")[stratum].cast("string"), F.lit(""))
-    return measured.select(own.alias("stratum"), "measured", F.col("row")[key].alias("own_key")).join(marks, F.col("own_key") == F.col("labelled_key")).select("stratum", "measured", "good")
+    return measured.select(own.alias("stratum"), "measured", F.col("row")[key].alias("own_key")).join(marks, F.col("own_key") == F.col("labelled_key")).groupBy("own_key").agg(F.min(F.struct("stratum", "measured")).alias("row"), F.first("good").alias("good")).select("row.*", "good")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
