@@ -189,37 +189,41 @@ STATS = ("weight", "distinct", "common", "shared", "most", "top", "lacking")
 
 
 def judged(met: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """met (node, centre) with ``alike``, whether the texts are similar enough, and STATS of the node."""
+    """met (node, centre) with ``alike``, whether the texts are similar enough, STATS of the node, and its shingles that the centre lacks with their counts, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike, stats = [], []
+            alike, stats, beside, times = [], [], [], []
             for (a, x), (b, y) in zip(_of(batch, "node"), _of(batch, "centre"), strict=True):
                 alike.append(similarity(a, x, b, y) >= least - 1e-12)
                 count = np.ones(len(a), np.int64) if x is None else x.astype(np.int64)
                 there = np.isin(a, b, assume_unique=True)
                 most = count.max()
                 stats.append((count.sum(), len(a), count[there].sum(), there.sum(), most, count[there & (count == most)].sum(), count[~there].max(initial=0)))
+                beside.append(a[~there].tobytes())
+                times.append(_packed(count[~there]))
             found = np.array(stats, dtype=np.int64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre"), pa.array(alike, pa.bool_()), *[pa.array(found[:, i]) for i in range(len(STATS))]], names=["node", "centre", "alike", *STATS])
+            columns = [batch.column("node"), batch.column("centre"), pa.array(alike, pa.bool_()), *[pa.array(found[:, i]) for i in range(len(STATS))], pa.array(beside, pa.binary()), pa.array(times, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "centre", "alike", *STATS, *LACKED])
 
-    return _pairs(met, texts, "node", "centre").mapInArrow(run, "node long, centre long, alike boolean, " + ", ".join(f"{s} long" for s in STATS))
+    return _pairs(met, texts, "node", "centre").mapInArrow(run, "node long, centre long, alike boolean, " + ", ".join([f"{s} long" for s in STATS] + [f"{c} binary" for c in LACKED]))
 
 
-def lacked(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, centre, shingle and count: a row per shingle of the node that its centre lacks."""
+LACKED = ("beside", "times")
+
+
+def lacked(open_: DataFrame) -> DataFrame:
+    """node, centre, label, shingle and count: a row per shingle of the node that its centre lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            elements, counts = [np.zeros(0, _U)], [np.zeros(0, np.int32)]
-            for (a, x), (b, _) in zip(_of(batch, "node"), _of(batch, "centre"), strict=True):
-                there = np.isin(a, b, assume_unique=True)
-                elements.append(a[~there])
-                counts.append(np.ones(len(elements[-1]), np.int32) if x is None else x[~there])
-            which = np.repeat(np.arange(len(batch)), [len(e) for e in elements[1:]])
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(which), batch.column("centre").take(which), pa.array(np.concatenate(elements).view(np.int64)), pa.array(np.concatenate(counts))], names=["node", "centre", "shingle", "count"])
+            elements = [np.frombuffer(e, np.int64) for e in batch.column("beside").to_pylist()]
+            counts = [np.frombuffer(c, np.int32) if c else np.ones(len(e), np.int32) for c, e in zip(batch.column("times").to_pylist(), elements, strict=True)]
+            which = pa.array(np.repeat(np.arange(len(batch)), [len(e) for e in elements]))
+            flat = [pa.array(np.concatenate([np.zeros(0, t), *x])) for t, x in ((np.int64, elements), (np.int32, counts))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(which) for c in ("node", "centre", "label")], *flat], names=["node", "centre", "label", "shingle", "count"])
 
-    return _pairs(met, texts, "node", "centre").mapInArrow(run, "node long, centre long, shingle long, count int")
+    return open_.select("node", "centre", "label", *LACKED).mapInArrow(run, "node long, centre long, label long, shingle long, count int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -257,7 +261,7 @@ def _open(table: DataFrame, labels: DataFrame) -> DataFrame:
     of = lambda c: labels.select(F.col("node").alias(f"{c}_of"), F.col("label").alias(f"{c}_label"))
     named = table.join(of("node").hint("merge"), F.col("node") == F.col("node_of"), "left").join(of("centre").hint("merge"), F.col("centre") == F.col("centre_of"), "left")
     named = named.withColumn("label", F.coalesce("node_label", "node")).withColumn("outside", F.col("label") != F.coalesce("centre_label", "centre"))
-    named = stored(named.select("node", "centre", "label", "outside", *STATS), "labelled")
+    named = stored(named.select("node", "centre", "label", "outside", *STATS, *LACKED), "labelled")
     ends = named.groupBy(F.col("centre").alias("of")).agg(F.min("distinct").alias("fewest"), F.max("most").alias("largest"), F.max("outside").alias("any"), F.count("*").alias("n")).where(F.col("any") & (F.col("n") > 1))
     return stored(named.join(ends.hint("merge"), F.col("centre") == F.col("of")).drop("of", "any", "n"), "open")
 
@@ -270,17 +274,17 @@ def _apart(rows: DataFrame, on: list[str], extra: Column, least: float) -> DataF
     return both.where((F.col("a_label") != F.col("b_label")) & once & (_pair_bound(extra) >= least - 1e-9)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
 
 
-def cross_pairs(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def cross_pairs(open_: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of nodes of open_ that may be alike although their centre did not unite them."""
     rest = F.col("fewest") - F.col("shared")
     by_size = open_.where(_most_alike("", F.col("fewest"), F.col("largest"), F.col("shared"), F.lit(0)) >= least - 1e-9)
     by_size = _apart(by_size.select("centre", "node", "label", "outside", *STATS), ["centre"], F.lit(0), least)
 
     # Shingles beside the centre's that two classes or more have.
-    beside = stored(lacked(open_, texts).join(open_.select(F.col("node").alias("n_"), F.col("centre").alias("c_"), "label").hint("merge"), (F.col("node") == F.col("n_")) & (F.col("centre") == F.col("c_"))).drop("n_", "c_"), "beside")
+    beside = lacked(open_)
     known = beside.groupBy(F.col("centre").alias("of"), F.col("shingle").alias("s")).agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").drop("x", "y")
     lists = beside.join(known.hint("merge"), (F.col("centre") == F.col("of")) & (F.col("shingle") == F.col("s"))).groupBy(F.col("node").alias("n_"), F.col("centre").alias("c_")).agg(F.array_sort(F.collect_list(F.struct("n", "shingle", "count"))).alias("list"))
-    some = open_.join(lists.hint("merge"), (F.col("node") == F.col("n_")) & (F.col("centre") == F.col("c_"))).drop("n_", "c_")
+    some = open_.drop(*LACKED).join(lists.hint("merge"), (F.col("node") == F.col("n_")) & (F.col("centre") == F.col("c_"))).drop("n_", "c_")
     # A link needs so much weight of them; a pair is met at the first that both have, which has that much from it on.
     need = (least * (F.col("weight") + rest / F.col("largest")) - F.col("common")) / (1 + least / F.col("largest"))
     step = lambda acc, x: F.struct((acc["left"] - x["count"]).alias("left"), F.when(acc["left"] >= F.col("need"), acc["keep"] + 1).otherwise(acc["keep"]).alias("keep"))
@@ -291,7 +295,7 @@ def cross_pairs(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = F.array_intersect("a_others", "b_others")
     by_shingle = _apart(some.withColumn("first", F.col("shingle")), ["centre", "shingle"], F.when(both[0] == F.col("a_first"), F.size(both)), least)
     found = stored(by_size.unionByName(by_shingle).distinct(), "cross")
-    discard(beside, some)
+    discard(some)
     return found
 
 
@@ -323,7 +327,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     links = tried.where("alike").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     labels = components(links)
     open_ = _open(tried, labels)
-    more = stored(verified(cross_pairs(open_, texts, least), texts, least), "more-links")
+    more = stored(verified(cross_pairs(open_, least), texts, least), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
