@@ -45,9 +45,9 @@ def floor_of(names: DataFrame, floors: DataFrame) -> DataFrame:
     return hits.groupBy("name").agg(F.max_by("floor", F.length("floor")).alias("floor"))
 
 
-def verdict(records: DataFrame) -> DataFrame:
-    """One row of records (name, passed or null): passed is true if some ran and all those passed; not_run lists the rest."""
-    return records.agg(
+def verdict(records: DataFrame, *by: str) -> DataFrame:
+    """A row per group of records (name, passed or null): passed is true if some ran and all those passed; not_run lists the rest."""
+    return records.groupBy(*by).agg(
         (F.coalesce(F.every("passed"), F.lit(False)) & (F.count("passed") > 0)).alias("passed"),
         F.count("passed").alias("ran"),
         F.count_if(F.col("passed") == F.lit(False)).alias("failed"),

@@ -5,44 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tolerance by kind of evidence, that of other kinds, kinds that count as strong, and the anisotropy allowed.
-TOLERANCE = {"dim": 0.03, "bar": 0.02, "bar_box": 0.02, "area": 0.05}
-OTHER_TOLERANCE, ANISOTROPY = 0.08, 0.04
-STRONG = ("bar", "bar_box", "dim", "area", "pt")
+#: Tolerance by kind of evidence, the anisotropy allowed, pixels by which a length may be off, kinds that are conventions rather than measures, and kinds that are lengths.
+TOLERANCE = {"bar": 0.02, "bar_box": 0.02, "dim": 0.03, "area": 0.05, "pt": 0.01, "fixture": 0.15}
+ANISOTROPY, PIXELS_OFF = 0.04, 2.0
+WEAK = ("fixture",)
+LENGTHS = ("bar", "bar_box", "dim", "fixture")
 
 
 def scale_estimate(items: DataFrame) -> DataFrame:
     """Metres per pixel of each case, from items (case, kind, axis, px, m_per_px, tol or null).
 
-    The scale is the median of strong items; axes that both have two or more items and differ by
-    over 4 % make it anisotropic, and items are then held against their axis. An outlier is
-    off by more than its tolerance, which for lengths is 2 / px at least unless the item has its
-    own. A case passes with no outliers, two strong kinds, and no anisotropy. Items without a
-    finite positive m_per_px have no say.
+    The scale is the median of the strong items, or of all where none is strong; axes that both have two or more strong items and differ by
+    over 4 % make it anisotropic, and an item along one is then held against its axis. An outlier is off by more than its
+    tolerance (both to four places). A case passes with no outliers, two strong kinds, and no anisotropy. Items without a
+    finite positive m_per_px have no say; an unknown kind is an error. max_deviation is that from the scale itself.
     """
-    ok = items.where(F.col("m_per_px").isNotNull() & ~F.isnan("m_per_px") & (F.col("m_per_px") > 0))
-    strong = F.col("kind").isin(*STRONG)
-    on = lambda a: F.when(strong & (F.col("axis") == a), F.col("m_per_px"))
+    ok = items.where(F.col("m_per_px").isNotNull() & ~F.isnan("m_per_px") & (F.col("m_per_px") > 0) & (F.col("m_per_px") < float("inf")))
+    strong = ~F.col("kind").isin(*WEAK)
+    of = lambda c: F.when(c, F.col("m_per_px"))
+    on = lambda a: of(strong & (F.col("axis") == a))
+    kind = F.when(F.col("kind") == "bar_box", "bar").otherwise(F.col("kind"))
     case = ok.groupBy("case").agg(
-        F.median(F.when(strong, F.col("m_per_px"))).alias("m_per_px_all"),
-        F.median(on("x")).alias("mx"), F.count(on("x")).alias("nx"),
-        F.median(on("y")).alias("my"), F.count(on("y")).alias("ny"),
-        F.count_distinct(F.when(strong, F.when(F.col("kind") == "bar_box", "bar").otherwise(F.col("kind")))).alias("strong_kinds"),
+        F.coalesce(F.median(of(strong)), F.median("m_per_px")).alias("m_per_px_all"),
+        F.median(on("x")).alias("mx"), F.count(on("x")).alias("nx"), F.median(on("y")).alias("my"), F.count(on("y")).alias("ny"),
+        F.count_distinct(F.when(strong, kind)).alias("strong_kinds"),
     )
-    case = case.withColumn("anisotropic", (F.col("nx") >= 2) & (F.col("ny") >= 2) & (F.abs(F.col("mx") / F.col("my") - 1) > ANISOTROPY))
+    both = (F.col("nx") >= 2) & (F.col("ny") >= 2)
+    case = case.withColumn("x_over_y", F.when(both, F.col("mx") / F.col("my"))).withColumn("anisotropic", both & (F.abs(F.col("mx") / F.col("my") - 1) > ANISOTROPY))
     own = F.when(F.col("anisotropic") & (F.col("axis") == "x"), F.col("mx")).when(F.col("anisotropic") & (F.col("axis") == "y"), F.col("my")).otherwise(F.col("m_per_px_all"))
-    judged = ok.join(case, "case").withColumn("deviation", F.col("m_per_px") / own - 1).withColumn("outlier", F.abs(F.col("m_per_px") / own - 1) > tolerance())
-    verdict = judged.groupBy("case").agg(F.count("*").alias("items"), F.count_if("outlier").alias("outliers"), F.max(F.abs("deviation")).alias("max_deviation"))
-    joined = verdict.join(case, "case")
+    judged = ok.join(case, "case").withColumn("deviation", F.bround(F.col("m_per_px") / own - 1, 4)).withColumn("whole", F.abs(F.col("m_per_px") / F.col("m_per_px_all") - 1))
+    # What a case has is the same in all its rows, so it is grouped by in the shuffle that brought it there.
+    outlier = F.abs("deviation") > tolerance()
+    verdict = judged.groupBy("case", "m_per_px_all", "strong_kinds", "x_over_y", "anisotropic").agg(F.count("*").alias("items"), F.count_if(outlier).alias("outliers"), F.bround(F.max("whole"), 4).alias("max_deviation"))
     passed = (F.col("outliers") == 0) & (F.col("strong_kinds") >= 2) & ~F.col("anisotropic")
-    return joined.select("case", "items", F.col("m_per_px_all").alias("m_per_px"), "strong_kinds", "anisotropic", "outliers", "max_deviation", passed.alias("passed"))
+    return verdict.select("case", "items", F.col("m_per_px_all").alias("m_per_px"), "strong_kinds", "x_over_y", "anisotropic", "outliers", "max_deviation", passed.alias("passed"))
 
 
 def tolerance() -> Column:
-    """Of an item (kind, px, tol)."""
-    by_kind = F.coalesce(F.create_map(*[F.lit(x) for kv in TOLERANCE.items() for x in kv])[F.col("kind")], F.lit(OTHER_TOLERANCE))
-    length = ~F.col("kind").isin("area")
-    return F.coalesce(F.col("tol"), F.when(length, F.greatest(by_kind, 2.0 / F.col("px"))).otherwise(by_kind))
+    """Of an item (kind, px, tol): its own, or that of its kind, which for a length is what two pixels make of it at least."""
+    by_kind = F.create_map(*[F.lit(x) for kv in TOLERANCE.items() for x in kv])[F.col("kind")]
+    by_kind = F.coalesce(by_kind, F.raise_error(F.concat(F.lit("unknown kind of evidence: "), F.coalesce("kind", F.lit("null")))).cast("double"))
+    floor = F.when(F.col("kind").isin(*LENGTHS) & (F.col("px") > 0), F.bround(F.greatest(by_kind, PIXELS_OFF / F.col("px")), 4))
+    return F.coalesce("tol", floor, by_kind)
+
+
+def suite(verdicts: DataFrame, expected: DataFrame) -> DataFrame:
+    """Cases of expected (case, passed_expected, and the render settings page, dpi, width, height, drop_text, clip of now and, prefixed with was_, of the trace) with ok: the settings are the same and the verdict is the expected one. A case without a verdict is null."""
+    same = F.lit(True)
+    for c in ("page", "dpi", "width", "height", "drop_text"):
+        same &= F.col(c).eqNullSafe(F.col(f"was_{c}"))
+    places = lambda c: F.transform(c, lambda x: F.bround(x, 3))
+    same &= places("clip").eqNullSafe(places("was_clip"))
+    found = expected.join(verdicts.select("case", "passed"), "case", "left")
+    return found.select("case", same.alias("same_render"), "passed", (same & (F.col("passed") == F.col("passed_expected"))).alias("ok"))
 
 
 def alignment(pairs: DataFrame) -> DataFrame:

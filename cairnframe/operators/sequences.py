@@ -92,3 +92,8 @@ def turns(points: DataFrame, by: str, ord: str) -> DataFrame:
         p = p.withColumn(f"{c}_prev", step(c, F.lag, F.last)).withColumn(f"{c}_next", step(c, F.lead, F.first))
     into, out = F.atan2(F.expr("y - y_prev"), F.expr("x - x_prev")), F.atan2(F.expr("y_next - y"), F.expr("x_next - x"))
     return p.withColumn("turn", F.pmod(F.degrees(out - into) + 180.0, F.lit(360.0)) - 180.0).drop("x_prev", "x_next", "y_prev", "y_next")
+
+
+def angle_steps(rows: DataFrame, by: str, ord: str, angle: str) -> DataFrame:
+    """rows with step, the angle less that before it; null for the first."""
+    return rows.withColumn("step", F.col(angle) - F.lag(angle).over(Window.partitionBy(by).orderBy(ord)))

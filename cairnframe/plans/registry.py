@@ -5,44 +5,29 @@ ids in the comments are those of the operator inventory.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnframe.functions import measures
 from cairnframe.operators import mesh, predicates, raster, scale, sequences, spatial, walk
 
-from .views import view, with_views
-
-FLAGSHIP = "scale_estimate"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+from . import doors_queries, level_queries, shape_queries, text_queries  # noqa: F401
+from .catalog import ORACLE_SQL, QUERIES, add as _add, rounded as _rounded
 
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
-def _add(name: str, sql: str | None, *views: str):
-    def keep(f):
-        QUERIES[name] = lambda spark, d: _rounded(f(*[view(spark, d, v) for v in views]))
-        if sql is not None:
-            ORACLE_SQL[name] = with_views(sql, *views)
-        return f
-
-    return keep
+FLAGSHIP = "scale_estimate"
 
 
-# The scale of each case, and whether its evidence agrees.
+# The scale of each case, and whether its evidence agrees.
 _add(
     "scale_estimate",
-    """WITH ok AS (SELECT * FROM evidence WHERE m_per_px > 0),
-    c AS (SELECT "case", median(m_per_px) AS m, median(m_per_px) FILTER (axis = 'x') AS mx, median(m_per_px) FILTER (axis = 'y') AS my,
-      count(*) FILTER (axis = 'x') AS nx, count(*) FILTER (axis = 'y') AS ny, count(DISTINCT kind) AS kinds FROM ok GROUP BY 1),
-    a AS (SELECT *, nx >= 2 AND ny >= 2 AND abs(mx / my - 1) > 0.04 AS anisotropic FROM c),
-    d AS (SELECT ok."case", m_per_px / CASE WHEN anisotropic AND axis = 'x' THEN mx WHEN anisotropic THEN my ELSE m END - 1 AS dev,
-      CASE kind WHEN 'dim' THEN greatest(0.03, 2 / px) WHEN 'bar' THEN greatest(0.02, 2 / px) ELSE 0.05 END AS tol FROM ok JOIN a USING ("case")),
-    v AS (SELECT "case", count(*) AS items, count(*) FILTER (abs(dev) > tol) AS outliers, max(abs(dev)) AS max_deviation FROM d GROUP BY 1)
-    SELECT "case", items, round(m, 6) AS m_per_px, kinds AS strong_kinds, anisotropic, outliers, round(max_deviation, 6) AS max_deviation,
+    """WITH ok AS (SELECT *, kind <> 'fixture' AS strong FROM evidence WHERE m_per_px > 0),
+    c AS (SELECT "case", coalesce(median(m_per_px) FILTER (strong), median(m_per_px)) AS m, median(m_per_px) FILTER (strong AND axis = 'x') AS mx, median(m_per_px) FILTER (strong AND axis = 'y') AS my,
+      count(*) FILTER (strong AND axis = 'x') AS nx, count(*) FILTER (strong AND axis = 'y') AS ny, count(DISTINCT CASE WHEN kind = 'bar_box' THEN 'bar' ELSE kind END) FILTER (strong) AS kinds FROM ok GROUP BY 1),
+    a AS (SELECT *, CASE WHEN nx >= 2 AND ny >= 2 THEN mx / my END AS ratio, nx >= 2 AND ny >= 2 AND abs(mx / my - 1) > 0.04 AS anisotropic FROM c),
+    d AS (SELECT ok."case", m, round_even(m_per_px / CASE WHEN anisotropic AND axis = 'x' THEN mx WHEN anisotropic AND axis = 'y' THEN my ELSE m END - 1, 4) AS dev, abs(m_per_px / m - 1) AS whole,
+      CASE kind WHEN 'dim' THEN 0.03 WHEN 'bar' THEN 0.02 WHEN 'bar_box' THEN 0.02 WHEN 'area' THEN 0.05 WHEN 'pt' THEN 0.01 ELSE 0.15 END AS k, kind NOT IN ('area', 'pt') AS length, px, tol FROM ok JOIN a USING ("case")),
+    v AS (SELECT "case", count(*) AS items, count(*) FILTER (abs(dev) > coalesce(tol, CASE WHEN length THEN round_even(greatest(k, 2 / px), 4) END, k)) AS outliers, round_even(max(whole), 4) AS max_deviation FROM d GROUP BY 1)
+    SELECT "case", items, round(m, 6) AS m_per_px, kinds AS strong_kinds, round(ratio, 6) AS x_over_y, anisotropic, outliers, max_deviation,
       outliers = 0 AND kinds >= 2 AND NOT anisotropic AS passed FROM v JOIN a USING ("case")""",
     "evidence",
 )(scale.scale_estimate)
@@ -130,7 +115,7 @@ _add(
     "solid",
 )(lambda t: sequences.clusters(t, "col", "lo", 100))
 _add("storey_elevations", "SELECT *, coalesce(sum(wall + slab) OVER (PARTITION BY building ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM storey", "storey")(lambda t: sequences.elevations(t, "building", "ord", "wall", "slab"))
-# Turns at corners.
+# Turns at corners.
 _add(
     "corner_turns",
     """WITH p AS (SELECT "case", ord, min(x) AS x, min(y) AS y FROM polygon GROUP BY 1, 2),
@@ -199,12 +184,12 @@ _add(
     "tri", "vertex",
 )(lambda t, v: _rounded(mesh.area_stats(mesh.corners(v, t)), 4))
 _add("mesh_bounds", "SELECT mesh, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM vertex GROUP BY 1", "vertex")(mesh.bounds)
-# Islands, their class, and those that float.
+# Islands.
 _add(
     "mesh_islands",
-    f"""WITH {_CORNERS}, small AS (SELECT * FROM s WHERE a % 5 = 0), un AS (SELECT DISTINCT mesh, p, q FROM (SELECT t.mesh, unnest([t.a, t.b, t.b, t.c]) AS p, unnest([t.b, t.a, t.c, t.b]) AS q FROM tri t WHERE t.a % 24 = t.b % 24 AND t.b % 24 = t.c % 24)),
-    reach AS (SELECT mesh, vid AS root, vid FROM vertex UNION SELECT r.mesh, r.root, un.q FROM reach r JOIN un ON un.mesh = r.mesh AND un.p = r.vid), i AS (SELECT mesh, vid, min(root) AS island FROM reach GROUP BY 1, 2)
-    SELECT mesh, island, count(*) AS vertices FROM i GROUP BY 1, 2""",
+    """WITH un AS (SELECT DISTINCT mesh, p, q FROM (SELECT t.mesh, unnest([t.a, t.b, t.b, t.c]) AS p, unnest([t.b, t.a, t.c, t.b]) AS q FROM tri t)),
+    node AS (SELECT mesh, vid FROM vertex UNION SELECT mesh, p FROM un), reach AS (SELECT mesh, vid AS root, vid FROM node UNION SELECT r.mesh, r.root, un.q FROM reach r JOIN un ON un.mesh = r.mesh AND un.p = r.vid), i AS (SELECT mesh, vid, min(root) AS island FROM reach GROUP BY 1, 2)
+    SELECT mesh, island, count(*) AS vertices FROM i JOIN vertex USING (mesh, vid) GROUP BY 1, 2""",
     "tri", "vertex",
 )(lambda t, v: mesh.islands(v, t).groupBy("mesh", "island").agg(F.count("*").alias("vertices")))
 # Welding at a tolerance.
@@ -218,15 +203,14 @@ _add(
 # A plane section.
 _add(
     "plane_section",
-    """WITH t AS (SELECT mesh, tid, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c FROM tri GROUP BY 1, 2 HAVING count(*) = 1),
-    e AS (SELECT mesh, tid, least(p, q) AS u, greatest(p, q) AS v FROM (SELECT mesh, tid, unnest([a, b, c]) AS p, unnest([b, c, a]) AS q FROM t)),
+    """WITH e AS (SELECT mesh, tid, least(p, q) AS u, greatest(p, q) AS v FROM (SELECT mesh, tid, unnest([a, b, c]) AS p, unnest([b, c, a]) AS q FROM tri)),
     h AS (SELECT e.mesh, e.tid, u.x + (9.5 - u.z) / (v.z - u.z) * (v.x - u.x) AS x, u.y + (9.5 - u.z) / (v.z - u.z) * (v.y - u.y) AS y FROM e JOIN vertex u ON u.mesh = e.mesh AND u.vid = e.u JOIN vertex v ON v.mesh = e.mesh AND v.vid = e.v WHERE (u.z < 9.5) <> (v.z < 9.5)),
     p AS (SELECT mesh, tid, min((x, y)) AS p, max((x, y)) AS q FROM h GROUP BY 1, 2 HAVING count(*) = 2)
     SELECT mesh, count(*) AS segments, round(sum(sqrt((q[1] - p[1]) ** 2 + (q[2] - p[2]) ** 2)), 4) AS length FROM p WHERE sqrt((q[1] - p[1]) ** 2 + (q[2] - p[2]) ** 2) >= 1e-9 GROUP BY 1""",
     "tri", "vertex",
-)(lambda t, v: _rounded(mesh.plane_section(v, t.join(t.groupBy("mesh", "tid").count().where("count = 1"), ["mesh", "tid"], "left_semi"), 9.5).groupBy("mesh").agg(F.count("*").alias("segments"), F.sum(F.expr("sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))")).alias("length")), 4))
+)(lambda t, v: _rounded(mesh.plane_section(v, t, 9.5).groupBy("mesh").agg(F.count("*").alias("segments"), F.sum(F.expr("sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))")).alias("length")), 4))
 
-# Boxes that meet; J01, O02: comparison by key; J02: semi and anti; J09, J24, T11: nearest; J22, J23: interval lookup; A26: union of rectangles.
+# Boxes that meet; J01, O02: comparison by key; J24, T11: nearest; J22, J23: interval lookup; A26: union of rectangles.
 _add(
     "box_overlaps",
     "SELECT a.id AS a_id, b.id AS b_id FROM box a JOIN box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1",
@@ -252,7 +236,7 @@ _add(
 )(lambda p, o: spatial.nearest(p, o, 200.0, 8))
 _add(
     "interval_lookup",
-    "SELECT p.id, p.x AS at, min(i.id) AS ord FROM customer_at p LEFT JOIN box i ON p.x BETWEEN i.x0 AND i.x1 AND i.id % 40 = 0 GROUP BY 1, 2",
+    "SELECT p.id, p.x AS at, min(i.id) AS ord FROM customer_at p LEFT JOIN box i ON p.x BETWEEN i.x0 AND i.x1 GROUP BY 1, 2",
     "customer_at", "box",
 )(lambda p, i: spatial.interval_lookup(p.select("id", F.col("x").alias("at")), i.select(F.col("id").alias("ord"), F.col("x0").alias("lo"), F.col("x1").alias("hi")), 50.0))
 _add(
@@ -263,7 +247,7 @@ _add(
     "box",
 )(lambda t: spatial.rectangle_union_area(t, "brand"))
 
-# Cells under triangles, and the lowest above each.
+# Cells under triangles, and the lowest above each.
 _add(
     "cells_under_triangles",
     """WITH g AS (SELECT id, i, j, (i + 0.5) * 2 AS px, (j + 0.5) * 2 AS py, ax, ay, az, bx, "by", bz, cx, cy, cz, (bx - ax) * (cy - ay) - ("by" - ay) * (cx - ax) AS d FROM facet, range(0, 110) a(i), range(0, 110) b(j) WHERE i BETWEEN floor(ax / 2) - 1 AND ceil(bx / 2) + 1 AND j BETWEEN floor(ay / 2) - 1 AND ceil(cy / 2) + 1),
@@ -272,7 +256,7 @@ _add(
     "facet",
 )(lambda t: spatial.cells_under(t, 2.0).groupBy("i", "j").agg(F.count("*").alias("hits"), F.min("z").alias("lowest")))
 
-# Where one can stand, walk, and how far it leads.
+# Where one can stand, walk, and how far it leads.
 _STAND = """e AS (SELECT i, j, lo AS z, 1 AS s FROM slab UNION ALL SELECT i, j, hi, -1 FROM slab), d AS (SELECT *, sum(s) OVER (PARTITION BY i, j ORDER BY z, s DESC ROWS UNBOUNDED PRECEDING) AS depth FROM e),
     st AS (SELECT i, j, z AS lo, row_number() OVER (PARTITION BY i, j ORDER BY z) AS k FROM d WHERE s = 1 AND depth = 1), sp AS (SELECT i, j, z AS hi, row_number() OVER (PARTITION BY i, j ORDER BY z) AS k FROM d WHERE s = -1 AND depth = 0),
     h AS (SELECT i, j, hi AS z, coalesce(CAST(lead(lo) OVER (PARTITION BY i, j ORDER BY lo) - hi AS DOUBLE), 1e300) AS free FROM st JOIN sp USING (i, j, k)),
@@ -291,22 +275,14 @@ _add(
     "slab",
 )(lambda t: walk.clear(walk.standing(t, 4), t.where("lo % 10 = 0").select("i", "j").distinct(), 2).select("i", "j", "rank", "z"))
 
-# Verdicts.
+# Verdicts.
 _add(
     "verdicts",
-    """SELECT priority, coalesce(bool_and(passed), FALSE) AND count(passed) > 0 AS passed, count(passed) AS ran, count(*) FILTER (passed = FALSE) AS failed, count(*) FILTER (passed IS NULL) AS not_run FROM record GROUP BY 1""",
+    """SELECT priority, coalesce(bool_and(passed), FALSE) AND count(passed) > 0 AS passed, count(passed) AS ran, count(*) FILTER (passed = FALSE) AS failed, coalesce(string_agg(name, ',' ORDER BY name) FILTER (passed IS NULL), '') AS not_run FROM record GROUP BY 1""",
     "record",
-)(lambda t: t.groupBy("priority").agg((F.coalesce(F.every("passed"), F.lit(False)) & (F.count("passed") > 0)).alias("passed"), F.count("passed").alias("ran"), F.count_if(F.col("passed") == F.lit(False)).alias("failed"), F.count_if(F.col("passed").isNull()).alias("not_run")))
-
-# lengths as written.
-_add(
-    "parsed_lengths",
-    """SELECT id, text, round(CASE id % 6 WHEN 0 THEN CAST(regexp_extract(text, '^(\\d+)''', 1) AS DOUBLE) * 0.3048 + (id % 12) * 0.0254 WHEN 1 THEN CAST(regexp_extract(text, '^(\\d+)', 1) AS DOUBLE) * 0.3048 WHEN 2 THEN CAST(regexp_extract(text, '^([0-9.]+)', 1) AS DOUBLE)
-    WHEN 3 THEN CAST(regexp_extract(text, '^(\\d+)', 1) AS DOUBLE) / 1000 WHEN 4 THEN CAST(regexp_extract(text, '^(\\d+)', 1) AS DOUBLE) * 0.0254 END, 6) AS metres FROM lengths""",
-    "lengths",
-)(lambda t: t.withColumn("metres", measures.length_m(F.col("text"))))
+)(lambda t: predicates.verdict(t, "priority"))
 
-# Selections and top k.
+# Selections and top k.
 _add(
     "top_boxes",
     "SELECT * FROM (SELECT brand, id, (x1 - x0) * (y1 - y0) AS area, row_number() OVER (PARTITION BY brand ORDER BY (x1 - x0) * (y1 - y0) DESC, id) AS rank FROM box) WHERE rank <= 3",
