@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairnframe.operators import level, predicates, sequences
 
+from . import checks
 from .catalog import add
 
 # What each mesh is for.
@@ -98,3 +99,15 @@ add("closure", "WITH e AS (SELECT col, lo AS z, 1 AS s FROM half_open WHERE lo I
 add("angle_steps", "SELECT user_id, pos, round(a - lag(a) OVER (PARTITION BY user_id ORDER BY pos), 6) AS step FROM (SELECT user_id, pos, pos * pos % 180 + 0.5e0 AS a FROM mask)", "mask")(
     lambda t: sequences.angle_steps(t.withColumn("a", F.col("pos") * F.col("pos") % 180 + 0.5), "user_id", "pos", "a").select("user_id", "pos", "step")
 )
+# Heights of ceilings over markers.
+add(
+    "ceiling_heights",
+    """WITH r AS (SELECT id AS name, id * 37 % 200 + 0.25e0 AS x, id * 91 % 200 + 0.125e0 AS y, id % 30 + 0e0 AS z FROM marker), h AS (SELECT name, r.z, az AS up FROM r JOIN facet f ON ((x - ax) * (cy - ay) - (y - ay) * (cx - ax)) / ((bx - ax) * (cy - ay) - ("by" - ay) * (cx - ax)) >= 0
+      AND ((bx - ax) * (y - ay) - ("by" - ay) * (x - ax)) / ((bx - ax) * (cy - ay) - ("by" - ay) * (cx - ax)) >= 0 AND ((x - ax) * (cy - ay) - (y - ay) * (cx - ax) + (bx - ax) * (y - ay) - ("by" - ay) * (x - ax)) / ((bx - ax) * (cy - ay) - ("by" - ay) * (cx - ax)) <= 1 AND az - r.z BETWEEN 0.01 AND 100.01)
+    SELECT r.name, min(h.up) - any_value(r.z) AS height FROM r LEFT JOIN h USING (name) GROUP BY 1""",
+    "marker", "facet",
+)(lambda m, t: checks.ceilings(
+    t.select(F.lit(0).alias("mesh"), F.inline(F.array(*[F.struct((F.col("id") * 3 + i).alias("vid"), *[F.col(f"{k}{c}").alias(c) for c in "xyz"]) for i, k in enumerate("abc")]))),
+    t.select(F.lit(0).alias("mesh"), F.col("id").alias("tid"), *[(F.col("id") * 3 + i).alias(k) for i, k in enumerate("abc")]),
+    m.select(F.col("id").alias("name"), F.expr("id * 37 % 200 + 0.25D").alias("x"), F.expr("id * 91 % 200 + 0.125D").alias("y"), F.expr("id % 30 + 0D").alias("z")), cell=4.0,
+))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnframe.functions.measures import area_m2, axis_class, length_m
@@ -41,3 +41,65 @@ def read_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     both = read_json(spark, path, PAIRS)
     one = lambda axis: both.select(F.col("source").alias("case"), F.lit(axis).alias("axis"), F.explode(axis).alias("p"))
     return one("x").unionByName(one("y")).select("case", "axis", F.col("p")[0].alias("a"), F.col("p")[1].alias("b"))
+
+
+def first_there(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first of the paths that exists, in any file system Spark reads."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return p
+    return None
+
+
+def read_profile(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """The profile of that name: the path as given, with .json, or either in ``folder``; the first that exists. No such profile is an error."""
+    found = first_there(spark, [name, f"{name}.json", f"{folder}/{name}", f"{folder}/{name}.json"])
+    if found is None:
+        raise FileNotFoundError(f"no profile {name}")
+    return read_json(spark, found, PROFILE)
+
+
+def with_sidecars(images: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """images (path) with what the sidecar <path>.json says, nulls where there is none. sidecars: of read_json(.., SIDECAR)."""
+    return images.join(sidecars.withColumn("path", F.regexp_replace("source", r"\.json$", "")).drop("source"), "path", "left")
+
+
+SOURCE = "family STRING, image STRING, scale STRING, render STRUCT<page: INT, dpi: DOUBLE, clip: ARRAY<DOUBLE>, drop_text: STRING>, expect STRUCT<scale_passed: BOOLEAN>"
+
+
+def read_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The cases of a suite, a folder each that holds a source.json: folder and what is in it."""
+    found = read_json(spark, f"{folder}/*/source.json", SOURCE)
+    return found.withColumn("folder", F.element_at(F.split("source", "/"), -2)).drop("source").orderBy("folder")
+
+
+def bar_extents(boxes: DataFrame, mask: DataFrame) -> DataFrame:
+    """px of each bar box (case, ord, x0, y0, x1, y1; ends exclusive): columns from the first to the last that holds a set pixel of mask (case, y, x). Null where none does."""
+    inside = boxes.join(mask, "case").where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
+    spans = inside.groupBy("case", "ord").agg((F.max("x") - F.min("x") + 1).cast("double").alias("px"))
+    return boxes.join(spans, ["case", "ord"], "left").select("case", "ord", "px")
+
+
+def without_text(spans: DataFrame, pattern: str) -> DataFrame:
+    """Text spans (text) that don't match the pattern anywhere; null texts stay."""
+    return spans.where(~F.coalesce(F.col("text").rlike(pattern), F.lit(False)))
+
+
+def trace_rows(own: DataFrame, reference: DataFrame) -> DataFrame:
+    """Rows of a trace table in its floor's frame, then those given on the reference drawing, with frame floor or reference. Columns that only one has are null in the other."""
+    return own.withColumn("frame", F.lit("floor")).unionByName(reference.withColumn("frame", F.lit("reference")), allowMissingColumns=True)
+
+
+def points_of(json_text: Column) -> Column:
+    """An array of points from a JSON property such as hinges or slide offsets; null where it is none."""
+    return F.from_json(json_text, "array<array<double>>")
+
+
+def wall_rule(profile_rgb: Column, profile_tol: Column, profile_dark: Column, rgb: Column, tol: Column, dark: Column) -> Column:
+    """The rule for walls of a profile (colours, tolerance, dark sum), over which values given by hand go: colours by hand take the profile's dark sum away. Colours without a tolerance have 24; without any rule, sums under 300 are walls."""
+    colours = F.coalesce(rgb, profile_rgb)
+    tolerance = F.coalesce(tol, profile_tol)
+    sum_ = F.coalesce(dark, F.when(rgb.isNull(), profile_dark))
+    nothing = colours.isNull() & tolerance.isNull() & sum_.isNull()
+    return F.struct(colours.alias("rgb"), F.when(colours.isNotNull(), F.coalesce(tolerance, F.lit(24))).otherwise(tolerance).alias("tol"), F.when(nothing, 300).otherwise(sum_).alias("dark_sum"))
