@@ -11,7 +11,8 @@ from cairnframe.storage import discard, stored
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     """Edges (a, b), a > b, with each node's larger (or, one way, all smaller) neighbours tied to its smallest one."""
     flat = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both_ways else edges
-    least = flat.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
+    # Written first, both sides of the join are plain shuffles, so that Spark can split the edges of a hub among tasks.
+    least = stored(flat.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m")), "least")
     joined = flat.join(least, F.col("a") == F.col("of"))
     if both_ways:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -101,11 +101,11 @@ def coplanar(faces: DataFrame, gap: float = 0.002, least: float = 1e-4, cell: fl
         F.struct("plane_key", F.least("a_id.mesh", "b_id.mesh").alias("a"), F.greatest("a_id.mesh", "b_id.mesh").alias("b")).alias("of"),
         F.greatest("a_id.u0", "b_id.u0").alias("x0"), F.least("a_id.u1", "b_id.u1").alias("x1"), F.greatest("a_id.v0", "b_id.v0").alias("y0"), F.least("a_id.v1", "b_id.v1").alias("y1"),
     ).where("x0 < x1 AND y0 < y1")
-    between = spatial.rectangle_union_area(over.where("of.a <> of.b"), "of").select("of.*", "area")
+    between = spatial.rectangle_union_area(over.where("of.a <> of.b"), "of", 16 * cell).select("of.*", "area")
     own = over.where("of.a = of.b").select("of.plane_key", F.col("of.a").alias("a")).distinct()
     mine = boxes.select("plane_key", F.col("id.mesh").alias("a"), "x0", "x1", "y0", "y1").join(own, ["plane_key", "a"], "left_semi").withColumn("of", F.struct("plane_key", "a"))
     sums = mine.groupBy("of").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("sum"))
-    within = sums.join(spatial.rectangle_union_area(mine.select("of", "x0", "x1", "y0", "y1"), "of"), "of").select("of.plane_key", "of.a", F.col("of.a").alias("b"), (F.col("sum") - F.col("area")).alias("area"))
+    within = sums.join(spatial.rectangle_union_area(mine.select("of", "x0", "x1", "y0", "y1"), "of", 16 * cell), "of").select("of.plane_key", "of.a", F.col("of.a").alias("b"), (F.col("sum") - F.col("area")).alias("area"))
     parts = F.split("plane_key", "/")
     found = between.unionByName(within).where(F.col("area") > least)
     return found.select(parts[0].alias("axis"), parts[1].cast("int").alias("facing"), parts[2].cast("long").alias("plane"), "a", "b", "area")

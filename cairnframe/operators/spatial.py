@@ -14,26 +14,31 @@ def _cells(lo: str, hi: str, cell: float) -> Column:
 def box_pairs(a: DataFrame, b: DataFrame, axes: str = "xy", cell: float = 1.0, slack: float = 0.0, by: list[str] | None = None) -> DataFrame:
     """Pairs of boxes (id, x0, x1, y0, y1 ...) of a and b that come within ``slack`` of one another on all axes: a_id, b_id, and the columns ``by`` that they share.
 
-    Each box goes to the cells of x and y that it covers; a pair is reported in the cell of its overlap's lower corner alone.
+    Boxes meet in grids of x and y. A box's own grid has cells of ``cell`` doubled until it covers four at most, and it goes to that and to all
+    coarser ones in use, so that large boxes don't fill a fine grid; a pair is reported in the grid of its larger box, in the cell of its overlap's lower corner alone.
     """
     by = by or []
     grid = axes[:2]
+    # A box without extent has no logarithm, and the finest grid.
+    own = F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(F.nullif(F.greatest(*[F.col(f"{x}1") - F.col(f"{x}0") + slack for x in grid]), F.lit(0)) / cell)).cast("int"), F.lit(0)))
+    top = a.select(own.alias("g")).unionByName(b.select(own.alias("g"))).agg(F.max("g").alias("top")).first().top or 0
 
     def spread(t: DataFrame, p: str) -> DataFrame:
-        t = t.select(*[F.col(c).alias(f"{p}_{c}") for c in by], F.col("id").alias(f"{p}_id"), *[(F.col(f"{x}{e}") + s).alias(f"{p}_{x}{e}") for x in axes for e, s in (("0", -slack / 2), ("1", slack / 2))])
+        t = t.select(*[F.col(c).alias(f"{p}_{c}") for c in by], F.col("id").alias(f"{p}_id"), own.alias(f"{p}_own"), *[(F.col(f"{x}{e}") + s).alias(f"{p}_{x}{e}") for x in axes for e, s in (("0", -slack / 2), ("1", slack / 2))])
+        t = t.withColumn(f"{p}_grid", F.explode(F.sequence(F.col(f"{p}_own"), F.lit(top)))).withColumn(f"{p}_cell", F.lit(float(cell)) * F.pow(F.lit(2.0), F.col(f"{p}_grid")))
         for x in grid:
-            t = t.withColumn(f"{p}_c{x}", F.explode(_cells(f"{p}_{x}0", f"{p}_{x}1", cell)))
+            t = t.withColumn(f"{p}_c{x}", F.explode(F.sequence(F.floor(F.col(f"{p}_{x}0") / F.col(f"{p}_cell")), F.floor(F.col(f"{p}_{x}1") / F.col(f"{p}_cell")))))
         return t
 
     left, right = spread(a, "a"), spread(b, "b")
     same = F.lit(True)
-    for c in [*[f"c{x}" for x in grid], *by]:
+    for c in ["grid", *[f"c{x}" for x in grid], *by]:
         same &= F.col(f"a_{c}") == F.col(f"b_{c}")
-    meet = same
+    meet = same & (F.greatest("a_own", "b_own") == F.col("a_grid"))
     for x in axes:
         meet &= (F.col(f"a_{x}0") <= F.col(f"b_{x}1")) & (F.col(f"b_{x}0") <= F.col(f"a_{x}1"))
     for x in grid:
-        meet &= F.col(f"a_c{x}") == F.floor(F.greatest(f"a_{x}0", f"b_{x}0") / cell)
+        meet &= F.col(f"a_c{x}") == F.floor(F.greatest(f"a_{x}0", f"b_{x}0") / F.col("a_cell"))
     return left.join(right, meet).select(*[F.col(f"a_{c}").alias(c) for c in by], "a_id", "b_id")
 
 
@@ -85,13 +90,21 @@ def cells_under(tri: DataFrame, cell: float) -> DataFrame:
     return grid.where("wb >= 0 AND wc >= 0 AND wb + wc <= 1").select("id", "i", "j", F.expr("az + wb * (bz - az) + wc * (cz - az)").alias("z"))
 
 
-def rectangle_union_area(rects: DataFrame, by: str) -> DataFrame:
-    """Area that rectangles (by, x0, x1, y0, y1) cover together, by strips between successive x ends: in each, the merged y intervals of those that span it."""
-    xs = rects.select(by, F.explode(F.array("x0", "x1")).alias("x")).distinct()
-    w = Window.partitionBy(by).orderBy("x")
+def rectangle_union_area(rects: DataFrame, by: str, cell: float | None = None) -> DataFrame:
+    """Area that rectangles (by, x0, x1, y0, y1) cover together, by strips between successive x ends: in each, the merged y intervals of those that span it.
+
+    With ``cell``, rectangles are cut at multiples of it along x first, and strips are those of one cell: then a large group is no single task, nor does each of its strips meet all of its rectangles.
+    """
+    key = [by]
+    if cell is not None:
+        rects = rects.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.greatest(F.floor(F.col("x0") / cell), F.ceil(F.col("x1") / cell) - 1))))
+        rects = rects.withColumns({"x0": F.greatest(F.col("x0"), F.col("cell") * cell), "x1": F.least(F.col("x1"), (F.col("cell") + 1) * cell)})
+        key.append("cell")
+    xs = rects.select(*key, F.explode(F.array("x0", "x1")).alias("x")).distinct()
+    w = Window.partitionBy(*key).orderBy("x")
     strips = xs.withColumn("next", F.lead("x").over(w)).where(F.col("next").isNotNull())
-    spanning = strips.join(rects, by).where((F.col("x0") <= F.col("x")) & (F.col("x1") >= F.col("next")))
-    inside = Window.partitionBy(by, "x").orderBy("y0", "y1")
+    spanning = strips.join(rects, key).where((F.col("x0") <= F.col("x")) & (F.col("x1") >= F.col("next")))
+    inside = Window.partitionBy(*key, "x").orderBy("y0", "y1")
     reach = F.max("y1").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     gained = F.greatest(F.lit(0), F.col("y1") - F.greatest(F.col("y0"), F.coalesce(reach, F.col("y0"))))
     return spanning.withColumn("gained", gained).groupBy(by).agg(F.sum((F.col("next") - F.col("x")) * F.col("gained")).alias("area"))

@@ -245,7 +245,7 @@ _add(
     sp AS (SELECT st.brand, st.x, st.nx, y0, y1, max(y1) OVER (PARTITION BY st.brand, st.x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM st JOIN box b ON b.brand = st.brand AND b.x0 <= st.x AND b.x1 >= st.nx)
     SELECT brand, sum((nx - x) * greatest(0, y1 - greatest(y0, coalesce(reach, y0))))::BIGINT AS area FROM sp GROUP BY 1""",
     "box",
-)(lambda t: spatial.rectangle_union_area(t, "brand"))
+)(lambda t: spatial.rectangle_union_area(t, "brand", 50.0).withColumn("area", F.col("area").cast("long")))
 
 # Cells under triangles, and the lowest above each.
 _add(

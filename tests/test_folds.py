@@ -115,3 +115,26 @@ def test_nulls_and_empty_tables(spark):
     empty = outline(spark, [])
     assert lines.issues(empty, "shape").count() == 0 and lines.segments(outline(spark, [(1, 1)]), "shape").count() == 0
     assert doors.leaves(spark.createDataFrame([(1, None, "x", None, 0.0, 0.0, 1.0, 0.2)], "name long, kind string, axis string, hinge string, ax double, ay double, bx double, by double")).where(F.col("x0").isNotNull()).count() == 0
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    from cairnframe.operators import spatial
+
+    r = random.Random(1)
+    rows = [(i, x := r.uniform(-50, 50), x + s, y := r.uniform(-50, 50), y + r.choice([s, 0.0])) for i in range(120) for s in (r.choice([0.0, 0.3, 1.0, 5.0, 90.0]),)]
+    df = spark.createDataFrame(rows, "id long, x0 double, x1 double, y0 double, y1 double")
+    for slack in (0.0, 0.5):
+        want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] <= b[2] + slack and b[1] <= a[2] + slack and a[3] <= b[4] + slack and b[3] <= a[4] + slack}
+        got = [(p.a_id, p.b_id) for p in spatial.self_pairs(df, cell=1.0, slack=slack).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert spatial.self_pairs(df.where("false"), cell=1.0).count() == 0
+
+
+def test_union_in_cells_is_the_union(spark):
+    from cairnframe.operators import spatial
+
+    r = random.Random(2)
+    rows = [(i % 3, x := r.randrange(-40, 40), x + r.randrange(0, 30), y := r.randrange(20), y + r.randrange(9)) for i in range(90)]
+    df = spark.createDataFrame(rows, "g long, x0 long, x1 long, y0 long, y1 long")
+    want = {g: len({(x, y) for h, a, b, c, d in rows if h == g for x in range(a, b) for y in range(c, d)}) for g in range(3)}
+    assert {x.g: x.area for x in spatial.rectangle_union_area(df, "g", 7.0).collect()} == {x.g: x.area for x in spatial.rectangle_union_area(df, "g").collect()} == want
