@@ -50,10 +50,10 @@ def points(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 
 
 def _octave(vector: str) -> Column:
-    """The power of two at or below the length of a vector that is not zero."""
+    """The power of two nearest to the length of a vector that is not zero, so that lengths about one power stay together."""
     largest = F.array_max(F.transform(vector, F.abs))
     squares = F.aggregate(vector, F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))
-    return F.floor(F.log2(largest) + F.log2(squares) / 2).cast("int")
+    return F.floor(F.log2(largest) + F.log2(squares) / 2 + 0.5).cast("int")
 
 
 def index(found: DataFrame, shard_rows: int = SHARD, m: int = hnsw.M, ef: int = hnsw.EF_BUILD) -> DataFrame:
