@@ -104,13 +104,10 @@ def _paged(copies: DataFrame, limit: int) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    found = shard(docs.select("doc_id", F.octet_length("text").alias("size")), ["doc_id"], F.col("size"), QUERY_LIMIT)
+    found = shard(docs.select("doc_id", F.octet_length("text").alias("size")), ["doc_id"], F.col("size"))
     return found.select("row.doc_id", "bytes", "depth", "shard", "shard_bytes", "shard_rows")
 
 
-#: For tables of test size, whose documents would fit into one shard of production size.
-QUERY_LIMIT = 8 << 20
-
 ORACLE_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS bytes,
@@ -122,7 +119,7 @@ WITH d AS (
 ), fits AS (
   SELECT d.doc_id, d.bytes, d.h, b.bits, b.prefix, b.shard_bytes, b.shard_rows,
     row_number() OVER (PARTITION BY d.doc_id, d.h ORDER BY b.bits) AS n
-  FROM d JOIN b ON d.h >> (48 - b.bits) = b.prefix WHERE b.shard_bytes <= {QUERY_LIMIT}
+  FROM d JOIN b ON d.h >> (48 - b.bits) = b.prefix WHERE b.shard_bytes <= {LIMIT}
 )
 SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, CAST(bits AS INTEGER) AS depth,
   CASE WHEN bits = 0 THEN '' ELSE lpad(bin(prefix), CAST(bits AS INTEGER), '0') END AS shard,
