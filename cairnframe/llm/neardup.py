@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, stored
+from .common import discard, sifted, stored
 from cairnframe.operators.components import components
 
 WORDS, LEAST = 5, 0.8
@@ -142,21 +142,6 @@ def signed(docs: DataFrame, text: str, key: str, n_bands: int, rows: int, width:
     return source.mapInArrow(run, schema)
 
 
-#: Cells of the coarse filter, a bit each: a broadcast of at most CELLS / 64 words, whatever the input's size.
-CELLS = 1 << 22
-
-
-def sifted(rows: DataFrame, value: Column, wanted: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """rows in two parts: those whose ``value`` (long) may be one of wanted's column ``name``, and those where it is none, which need no join."""
-    cell = F.pmod(F.col(name), F.lit(CELLS))
-    words = wanted.select((cell / 64).cast("int").alias("word"), F.pmod(cell, F.lit(64)).cast("int").alias("bit"))
-    words = stored(words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "cells")
-    at = F.pmod(value, F.lit(CELLS))
-    found = rows.withColumn("cell_word", (at / 64).cast("int")).withColumn("cell_bit", F.pmod(at, F.lit(64)).cast("int"))
-    found = found.join(F.broadcast(words), F.col("cell_word") == F.col("word"), "left").withColumn("there", F.coalesce(F.expr("getbit(bits, cell_bit) = 1"), F.lit(False)))
-    return found.where("there").select(rows.columns), found.where("NOT there").select(rows.columns)
-
-
 def _texts(docs: DataFrame, text: str, width: int, nodes: DataFrame) -> DataFrame:
     """node, elements (sorted shingles) and counts, as bytes, of nodes (node, digest, mark), from the documents that have a node's words."""
     source = sifted(docs.select(_mark(text).alias("mark"), F.col(text).alias("text")), F.col("mark"), nodes, "mark")[0].select("text")

@@ -17,6 +17,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 from datetime import UTC, datetime
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sifted, stored
 
 #: Bytes of records in a frame and of frames in a bundle, about; payloads shorter than LEAST are never revisits.
 FRAME, BUNDLE, LEAST, LEVEL = 1 << 18, 1 << 25, 100, 3
@@ -124,7 +125,7 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
 
     Null payloads are empty. Of rows with equal payloads of ``least`` bytes or more, those with the
     smallest key are responses, the rest revisits of it; without any key all are responses. Keys
-    are compared as they are and written as text; a null key is "null".
+    are compared as they are and written as text after "="; a null key is the empty text.
     """
     raw = F.coalesce(F.encode(F.col(payload).cast("string"), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), raw.alias("payload"))
@@ -133,9 +134,11 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     seen = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
     seen = stored(seen.select(F.col("digest").alias("of"), "first"), "repeated")
     revisits = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("key"))
-    ready = rows.join(seen, F.col("digest") == F.col("of"), "left").select(
-        F.coalesce(F.col("key").cast("string"), F.lit("null")).alias("key"), "url", "payload", "digest", F.when(revisits, F.col("first").cast("string")).alias("refers_to")
-    )
+    # Only payloads that may be repeated go through the join.
+    maybe, single = sifted(rows.withColumn("mark", F.xxhash64("digest")), F.col("mark"), seen.withColumn("of_mark", F.xxhash64("of")), "of_mark")
+    joined = maybe.join(seen, F.col("digest") == F.col("of"), "left").withColumn("refers_to", F.when(revisits, F.concat(F.lit("="), F.col("first").cast("string"))))
+    both = joined.drop("of", "first").unionByName(single.withColumn("refers_to", F.lit(None).cast("string")))
+    ready = both.select(F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("")).alias("key"), "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
@@ -179,7 +182,8 @@ def read(bundles: DataFrame) -> DataFrame:
                     is_response = headers["warc-type"] == "response"
                     if headers["x-record-key"] != _line(k) or is_response and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != size):
                         raise ValueError(f"damaged record {k}")
-                    out.append((k, headers["warc-target-uri"], size, digest, headers["warc-type"], headers.get("x-refers-to-key"), payload if is_response else None, batch.column("bundle")[i].as_py(), f))
+                    refers = headers.get("x-refers-to-key")
+                    out.append((k[1:] if k else None, headers["warc-target-uri"], size, digest, headers["warc-type"], refers and unquote(refers)[1:], payload if is_response else None, batch.column("bundle")[i].as_py(), f))
                     if len(out) == 512:
                         yield _records(out)
                         out = []
@@ -199,7 +203,7 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 
 def index(bundles: DataFrame) -> DataFrame:
     """key, bundle, frame, offset and length (in the decompressed frame) of every record."""
-    return bundles.select("bundle", F.explode(F.arrays_zip("keys", "frames", "offsets", "lengths")).alias("r")).select(F.col("r.keys").alias("key"), "bundle", F.col("r.frames").alias("frame"), F.col("r.offsets").alias("offset"), F.col("r.lengths").alias("length"))
+    return bundles.select("bundle", F.explode(F.arrays_zip("keys", "frames", "offsets", "lengths")).alias("r")).select(F.when(F.col("r.keys") != "", F.substring("r.keys", 2, 1 << 30)).alias("key"), "bundle", F.col("r.frames").alias("frame"), F.col("r.offsets").alias("offset"), F.col("r.lengths").alias("length"))
 
 
 def export(bundles: DataFrame, folder: str) -> DataFrame:
@@ -223,7 +227,7 @@ def query(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     page_id = pages.schema["page_id"].dataType
     got = read(write(pages))
-    return got.select(F.when(F.col("key") != "null", F.col("key")).cast(page_id).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(page_id).alias("refers_to"))
+    return got.select(F.col("key").cast(page_id).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(page_id).alias("refers_to"))
 
 
 ORACLE_SQL = """

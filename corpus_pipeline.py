@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnframe.llm import mixing, neardup, packing, secrets, toxicity
-from cairnframe.llm.common import stored, table
+from cairnframe.llm.common import sifted, stored, table
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the model, fitted on those labelled, finds toxic; null and empty texts stay, and repeated rows are judged alike."""
@@ -29,7 +29,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = _placed(docs)
     found = neardup.near_duplicates(placed.select("row.doc_id", "row.text", "place"), place="place")
     gone = stored(found.where(~F.col("kept")).select(F.col("place").alias("gone")), "gone")
-    maybe, not_gone = neardup.sifted(placed, F.col("place"), gone, "gone")
+    maybe, not_gone = sifted(placed, F.col("place"), gone, "gone")
     stay = maybe.join(gone.hint("merge"), F.col("place") == F.col("gone"), "left_anti")
     return stay.unionByName(not_gone).select("row.*")
 

@@ -24,6 +24,16 @@ def test_round_trip(spark):
     assert ("9", "y" * 300_000) in texts and ("2", "") in texts and ("1", BIG) in texts
 
 
+def test_keys_of_any_text(spark):
+    rows = [(k, BIG) for k in ("null", None, "a%b", "=", "", "\nline")] + [("x", "small")]
+    df = spark.createDataFrame([(k, "u", h, 1, 2) for k, h in rows], "page_id string, url string, html string, mark int, first int")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.query(df).collect()}
+    assert got == {k: ("response", None) if k in ("", "x") else ("revisit", "") for k, _ in rows}
+    assert {r.key for r in warc.index(warc.write(df)).collect()} == {k for k, _ in rows}
+    renamed = spark.createDataFrame([(None if k is None else "k%" + k, "u", h) for k, h in rows], "page_id string, url string, html string")
+    assert {r.refers_to for r in warc.query(renamed).collect()} == {None, "k%"}
+
+
 def test_bundles_are_seekable_zstandard(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://h/{i}", f"{i} " * 40_000) for i in range(12)], "page_id long, url string, html string").coalesce(1)
     bundles = warc.write(df)
