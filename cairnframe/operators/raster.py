@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnframe.storage import stored
+
 from .components import components
 
 
@@ -33,29 +35,53 @@ def mirrored(mask: DataFrame, by: str = "img", axis: str = "x") -> DataFrame:
     return mask.join(extent, by).withColumn(axis, F.col("ends") - F.col(axis)).select(by, "y", "x")
 
 
+#: Rounds of erosion or dilation that one shuffle does.
+AT_ONCE = 3
+
+
+def _diamond(r: int) -> list[tuple[int, int]]:
+    """Steps to all pixels that r moves to a neighbour reach."""
+    return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if abs(dy) + abs(dx) <= r]
+
+
+def _around(steps: list[tuple[int, int]]) -> Column:
+    return F.inline(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps]))
+
+
+def _outside(y: Column, x: Column, height: int | None, width: int | None) -> Column:
+    out = F.lit(False)
+    if height is not None:
+        out |= ~y.between(0, height - 1)
+    if width is not None:
+        out |= ~x.between(0, width - 1)
+    return out
+
+
 def eroded(mask: DataFrame, by: str = "img", rounds: int = 1, height: int | None = None, width: int | None = None) -> DataFrame:
-    """Set pixels whose four neighbours are set, ``rounds`` times; neighbours outside an image of height x width (None: without bounds) have no say."""
-    for _ in range(rounds):
-        around = mask.select(by, F.inline(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))])))
-        outside = F.lit(0)
-        if height is not None:
-            outside += F.when(F.col("y").isin(0, height - 1), 1).otherwise(0) + F.when(F.lit(height == 1), 1).otherwise(0)
-        if width is not None:
-            outside += F.when(F.col("x").isin(0, width - 1), 1).otherwise(0) + F.when(F.lit(width == 1), 1).otherwise(0)
-        votes = around.groupBy(by, "y", "x").agg(F.count("*").alias("votes"))
-        mask = votes.join(mask.select(by, "y", "x"), [by, "y", "x"], "left_semi").where(F.col("votes") + outside >= 5).select(by, "y", "x")
+    """Set pixels whose four neighbours are set, ``rounds`` times; neighbours outside an image of height x width (None: without bounds) have no say.
+
+    That is, those whose every pixel within ``rounds`` moves is set or outside, so some rounds are one count.
+    """
+    mask = mask.select(by, "y", "x").distinct()
+    while rounds > 0:
+        steps = _diamond(min(rounds, AT_ONCE))
+        votes = mask.select(by, _around(steps)).groupBy(by, "y", "x").agg(F.count("*").alias("votes"))
+        gone = F.lit(0)
+        if height is not None or width is not None:
+            gone = F.aggregate(F.array(*[_outside(F.col("y") + dy, F.col("x") + dx, height, width).cast("int") for dy, dx in steps]), F.lit(0), lambda n, x: n + x)
+        left = votes.join(mask, [by, "y", "x"], "left_semi").where(F.col("votes") + gone >= len(steps)).select(by, "y", "x")
+        rounds -= AT_ONCE
+        mask = stored(left, "eroded") if rounds > 0 else left
     return mask
 
 
 def dilated(mask: DataFrame, by: str = "img", rounds: int = 1, height: int | None = None, width: int | None = None) -> DataFrame:
-    """Set pixels and their four neighbours within the image, ``rounds`` times."""
-    for _ in range(rounds):
-        around = F.inline(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))]))
-        mask = mask.select(by, around).distinct()
-        if height is not None:
-            mask = mask.where(F.col("y").between(0, height - 1))
-        if width is not None:
-            mask = mask.where(F.col("x").between(0, width - 1))
+    """Set pixels and their four neighbours within the image, ``rounds`` times: all pixels of the image within so many moves of a set one."""
+    mask = mask.select(by, "y", "x")
+    while rounds > 0:
+        grown = mask.select(by, _around(_diamond(min(rounds, AT_ONCE)))).where(~_outside(F.col("y"), F.col("x"), height, width)).distinct()
+        rounds -= AT_ONCE
+        mask = stored(grown, "dilated") if rounds > 0 else grown
     return mask
 
 

@@ -138,3 +138,22 @@ def test_union_in_cells_is_the_union(spark):
     df = spark.createDataFrame(rows, "g long, x0 long, x1 long, y0 long, y1 long")
     want = {g: len({(x, y) for h, a, b, c, d in rows if h == g for x in range(a, b) for y in range(c, d)}) for g in range(3)}
     assert {x.g: x.area for x in spatial.rectangle_union_area(df, "g", 7.0).collect()} == {x.g: x.area for x in spatial.rectangle_union_area(df, "g").collect()} == want
+
+
+def test_rounds_of_erosion_and_dilation_at_once(spark):
+    rng = np.random.default_rng(3)
+    image = rng.random((14, 17)) < 0.9
+    df = spark.createDataFrame([(1, int(y), int(x)) for y, x in zip(*np.nonzero(image), strict=True)] * 2, "img long, y long, x long")
+
+    def step(m, outside, f):
+        p = np.pad(m, 1, constant_values=outside)
+        return f.reduce([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
+
+    for op, outside, f, source in ((raster.eroded, True, np.logical_and, image), (raster.dilated, False, np.logical_or, ~image)):
+        own = df if source is image else spark.createDataFrame([(1, int(y), int(x)) for y, x in zip(*np.nonzero(source), strict=True)], "img long, y long, x long")
+        want = source
+        for rounds in range(1, 6):
+            want = step(want, outside, f)
+            if rounds in (1, 2, 5):
+                got = [(r.y, r.x) for r in op(own, rounds=rounds, height=14, width=17).collect()]
+                assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(want)), strict=True))
