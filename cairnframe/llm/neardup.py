@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, sifted, stored
+from .common import discard, sifted, slices, stored
 from cairnframe.operators.components import components
 
 WORDS, LEAST = 5, 0.8
@@ -177,7 +177,7 @@ def judged(met: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """met (node, centre) with ``alike``, whether the texts are similar enough, STATS of the node, and its shingles that the centre lacks with their counts, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             alike, stats, beside, times = [], [], [], []
             for (a, x), (b, y) in zip(_of(batch, "node"), _of(batch, "centre"), strict=True):
                 alike.append(similarity(a, x, b, y) >= least - 1e-12)
@@ -201,7 +201,7 @@ def lacked(open_: DataFrame) -> DataFrame:
     """node, centre, label, shingle and count: a row per shingle of the node that its centre lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             elements = [np.frombuffer(e, np.int64) for e in batch.column("beside").to_pylist()]
             counts = [np.frombuffer(c, np.int32) if c else np.ones(len(e), np.int32) for c, e in zip(batch.column("times").to_pylist(), elements, strict=True)]
             which = pa.array(np.repeat(np.arange(len(batch)), [len(e) for e in elements]))
@@ -215,7 +215,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose texts are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ok = [similarity(*p, *q) >= least - 1e-12 for p, q in zip(_of(batch, "a"), _of(batch, "b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 

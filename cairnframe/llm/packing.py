@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 SIZE = 2048
 END_ID = 1
 #: Prices in tokens: of any window, and of a cut after a sentence or inside one.
 WINDOW_PRICE, SENTENCE_PRICE, HARD_PRICE = 2, 3, 8
 #: Tokens between two looks for windows to put out, and those held back at most: beyond, the cuts that lead to the last document's end are settled.
-SEGMENT, MOST_OPEN = 1 << 16, 1 << 22
+SEGMENT, MOST_OPEN = 1 << 16, 1 << 20
 DOC, SENTENCE, HARD = 0, 1, 2
 PRICES = (WINDOW_PRICE, WINDOW_PRICE + SENTENCE_PRICE, WINDOW_PRICE + HARD_PRICE)
 
@@ -201,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, ranks)
         open_ = Open(size, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36, with_ids)
-        for batch in batches:
+        for batch in slices(batches):
             row = batch.column("row")
             for i, x in enumerate(batch.column("text").to_pylist()):
                 ids = np.array([*(encode(x) if x else ()), end_id], dtype=np.uint32)

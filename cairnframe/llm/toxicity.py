@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import slices, stored
 
 _WORD = re.compile(r"\w+")
 #: Labelled rows that a fit takes of each class, about, by which all it gathers is bounded; and how many standard errors a feature's share of positive rows must lie above that of others.
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
     fields = [rows.schema["row"], T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             above = np.array([model.above(x) for x in batch.column("text").to_pylist()]).reshape(-1, len(model.thetas))
             over = above >= cutoff
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(above.sum(axis=1)), pa.array(over.sum(axis=1).astype(np.int32)), pa.array(over[:, 0])], names=["row", "severity", "grade", "toxic"])
