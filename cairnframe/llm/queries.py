@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, license_scan, mixing, neardup, packing, quality, secrets, sharding, toxicity, warc
+from . import ann, collocations, license_scan, mixing, neardup, packing, quality, resampling, secrets, sharding, toxicity, warc
 from .common import table
 
 QUERIES: dict = {
@@ -16,10 +16,14 @@ QUERIES: dict = {
     "op8_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
     "op3_packing": lambda spark, d: packing.query(table(spark, d, "documents")),
     "op10_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op11_importance_resampling": resampling.run,
+    "op12_collocations": collocations.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scans": license_scan.ORACLE_SQL,
     "op4_sharding": sharding.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
     "op6_secret_scans": secrets.ORACLE_SQL,
+    "op11_importance_resampling": resampling.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
