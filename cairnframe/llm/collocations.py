@@ -2,8 +2,11 @@
 
 All runs of 1 to ``longest`` words become rows and are counted per language; a piece of text that
 repeats is counted once with its number first, so a group of copies costs one row. A run of two words
-or more that is there ``least`` times is a candidate, and so is every part of it; its score is that of
-its weakest cut, in exact decimals. Candidates that stand mostly within one longer run give way to it.
+or more that is there ``least`` times is a candidate, and so is every part of it, so runs of three
+words or more are rows only where a coarse filter of a fixed number of bits does not say that the run
+without its last or its first word is rarer. The filter loses none: all that pass are counted exactly.
+A candidate's score is that of its weakest cut, in exact decimals. Candidates that stand mostly within
+one longer run give way to it.
 If a run of any length holds a candidate that often, the run one word longer on the way to it does
 too, so one-word extensions are all that is looked at.
 
@@ -12,28 +15,60 @@ Null texts are empty; null languages are ``und``; rows that are equal count each
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import discard, stored, table
 from .resampling import grams, lowered
 
 PIECE_END, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 LONGEST, LEAST, SHARE, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: A language's best are taken from each of so many parts of its candidates first, then together.
 SALTS = 64
+#: Cells of the filter on runs of three words and more: a broadcast of CELLS / 64 rows at most.
+CELLS = 1 << 24
+
+
+def _bits(found: DataFrame) -> DataFrame:
+    """word and bits: a bit for each of CELLS in which a phrase of found lies; CELLS / 64 rows at most."""
+    cell = F.pmod(F.xxhash64("lang", "phrase"), F.lit(CELLS))
+    marks = found.select(F.shiftright(cell, 6).cast("int").alias("word"), F.pmod(cell, F.lit(64)).cast("int").alias("bit"))
+    return stored(marks.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "phrase-bits")
+
+
+def _may_be(rows: DataFrame, phrase: str, bits: DataFrame) -> DataFrame:
+    """The rows whose ``phrase`` may be one of those behind bits."""
+    cell = F.pmod(F.xxhash64("lang", phrase), F.lit(CELLS))
+    at = rows.withColumn("at", cell)
+    met = at.join(F.broadcast(bits), F.shiftright("at", 6).cast("int") == F.col("word"))
+    return met.where(F.expr("getbit(bits, CAST(pmod(at, 64) AS INT)) = 1")).select(rows.columns)
 
 
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """lang, phrase (words joined by a space), words (how many) and f: all runs that are there ``least`` times, and all single words."""
     of = F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")
     pieces = docs.select(of, F.explode(F.split(lowered(F.col(text)), PIECE_END)).alias("piece"))
-    pieces = pieces.where(F.length(F.translate("piece", " \t", "")) > 0).groupBy("lang", "piece").agg(F.count("*").alias("times"))
+    pieces = pieces.where(F.col("piece").rlike(r"[^\x20\x09]")).groupBy("lang", "piece").agg(F.count("*").alias("times"))
+    pieces = stored(pieces, "pieces")
     split = pieces.select("lang", "times", F.filter(F.split("piece", BLANKS), lambda w: w != "").alias("split"))
-    runs = grams(split, "split", longest).groupBy("lang", F.col("gram").alias("phrase")).agg(F.sum("times").alias("f"))
-    n = F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1
-    return runs.withColumn("words", n.cast("int")).where((F.col("f") >= least) | (F.col("words") == 1)).select("lang", "phrase", "words", "f")
+    enough = F.col("f") >= least
+    runs = grams(split, "split", 2).groupBy("lang", F.col("gram").alias("phrase")).agg(F.sum("times").alias("f"))
+    found = [stored(runs.withColumn("words", F.when(F.instr("phrase", " ") > 0, 2).otherwise(1)).where(enough | (F.col("words") == 1)).select("lang", "phrase", "words", "f"), "phrases")]
+    for n in range(3, longest + 1):
+        bits = _bits(found[-1].where(enough & (F.col("words") == n - 1)))
+        names = [f"w{i}" for i in range(n)]
+        each = split.select("lang", "times", F.explode(F.arrays_zip(*[F.slice("split", i + 1, F.size("split")).alias(w) for i, w in enumerate(names)])).alias("at"))
+        each = each.where(F.col("at")[names[-1]].isNotNull()).select("lang", "times", *[F.col("at")[w].alias(w) for w in names])
+        each = _may_be(each.withColumn("start", F.concat_ws(" ", *names[:-1])), "start", bits)
+        each = _may_be(each.withColumn("end", F.concat_ws(" ", *names[1:])), "end", bits)
+        runs = each.groupBy("lang", F.concat_ws(" ", "start", names[-1]).alias("phrase")).agg(F.sum("times").alias("f"))
+        found.append(stored(runs.where(enough).select("lang", "phrase", F.lit(n).alias("words"), "f"), "phrases"))
+        discard(bits)
+    discard(pieces)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _cuts(candidates: DataFrame, longest: int) -> DataFrame:
@@ -44,7 +79,7 @@ def _cuts(candidates: DataFrame, longest: int) -> DataFrame:
 
 
 def collocations(counts: DataFrame, longest: int = LONGEST, least: int = LEAST, share: int = SHARE, top: int = TOP) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n and score of each language's ``top`` candidates that stay. counts: a stored table, from counted()."""
+    """lang, rank, phrase, a, l, r, n and score of each language's ``top`` candidates that stay. counts: stored tables, from counted()."""
     sizes = counts.where(F.col("words") == 1).groupBy(F.col("lang").alias("of")).agg(F.sum("f").alias("n"))
     candidates = counts.where((F.col("words") > 1) & (F.col("f") >= least)).withColumnRenamed("f", "a")
     parts = counts.where((F.col("words") < longest) & (F.col("f") >= least))
@@ -72,7 +107,7 @@ def collocations(counts: DataFrame, longest: int = LONGEST, least: int = LEAST,
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return collocations(stored(counted(docs.select("text", "lang")), "phrases"))
+    return collocations(counted(docs.select("text", "lang")))
 
 
 def run(spark, sf_dir: str) -> DataFrame:
