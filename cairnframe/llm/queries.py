@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, collocations, license_scan, mixing, neardup, packing, quality, resampling, secrets, sharding, toxicity, warc
+from . import ann, collocations, language_model, license_scan, mixing, neardup, packing, quality, resampling, secrets, sharding, toxicity, warc
 from .common import table
 
 QUERIES: dict = {
@@ -18,6 +18,7 @@ QUERIES: dict = {
     "op10_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op11_importance_resampling": resampling.run,
     "op12_collocations": collocations.run,
+    "op13_language_model": language_model.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scans": license_scan.ORACLE_SQL,
