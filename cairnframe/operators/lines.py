@@ -13,8 +13,8 @@ from cairnframe.functions.measures import align_shifts, angle_180, angle_apart
 
 #: Fixed values, in metres and degrees: what counts as short, as a jog, as skew, as a direction, as a sliver, and as a curve.
 SHAPE = {
-    "min_segment": 0.05, "jog_max": 0.05, "jog_gap": 1.2, "skew_min": 0.1, "skew_max": 3.0, "skew_min_len": 0.3, "direction_min_len": 1.0,
-    "min_wall": 0.03, "min_wall_px": 3.0, "curve_min_edges": 4, "curve_max_edge": 10.0, "curve_turn_min": 0.1, "curve_turn_max": 25.0, "curve_min_total": 6.0, "curve_cv": 0.25,
+    "min_segment_m": 0.05, "jog_max_m": 0.05, "jog_gap_m": 1.2, "skew_min_deg": 0.1, "skew_max_deg": 3.0, "skew_min_len_m": 0.3, "direction_min_len_m": 1.0, "min_wall_m": 0.03, "min_wall_px": 3.0,
+    "curve_min_edges": 4, "curve_max_edge_m": 10.0, "curve_turn_deg": (0.1, 25.0), "curve_min_total_deg": 6.0, "curve_cv": 0.25, "curve_fine_edge_m": 0.5,
 }
 
 
@@ -36,7 +36,7 @@ def segments(points: DataFrame, by: str, closed: bool = True) -> DataFrame:
 
 
 def short_segments(lines: DataFrame, o: dict = SHAPE) -> DataFrame:
-    return lines.where(F.col("length") < o["min_segment"])
+    return lines.where(F.col("length") < o["min_segment_m"])
 
 
 def deviation(angle: Column, directions: Column) -> Column:
@@ -46,19 +46,19 @@ def deviation(angle: Column, directions: Column) -> Column:
 
 def skewed(lines: DataFrame, directions: Column, o: dict = SHAPE) -> DataFrame:
     """Lines nearly but not quite along a direction, with how far off."""
-    return lines.withColumn("off", deviation(F.col("angle"), directions)).where((F.col("length") >= o["skew_min_len"]) & (F.col("off") > o["skew_min"]) & (F.col("off") <= o["skew_max"]))
+    return lines.withColumn("off", deviation(F.col("angle"), directions)).where((F.col("length") >= o["skew_min_len_m"]) & (F.col("off") > o["skew_min_deg"]) & (F.col("off") <= o["skew_max_deg"]))
 
 
 def directions(lines: DataFrame, by: str, declared: tuple[float, ...] = (), o: dict = SHAPE) -> DataFrame:
-    """Directions of each group of lines (by, angle, length): 0, 90, those declared, and the length-weighted means of slanted ones.
+    """set_by and directions of each group of lines (by, angle, length): 0, 90, those declared, and the length-weighted means of slanted ones.
 
     Lines from the longest on join the first cluster whose running mean is within the window, or start one; those near a
     known direction, or short, take no part. As each line's choice hangs on those before, it is a fold over a group's sorted
-    lines: those of one outline, not of a table.
+    lines: those of one mesh's sections or one plan, not of a table.
     """
-    window = o["skew_max"]
+    window = o["skew_max_deg"]
     known = F.array(*[F.lit(float(d) % 180.0) for d in (0.0, 90.0, *declared)])
-    far = lines.where((F.col("length") >= o["direction_min_len"]) & (deviation(F.col("angle"), known) > window))
+    far = lines.where((F.col("length") >= o["direction_min_len_m"]) & (deviation(F.col("angle"), known) > window))
     sorted_ = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("l"), F.col("angle").alias("a")))), lambda x: F.struct((-x["l"]).alias("length"), x["a"].alias("angle")))
     kind = "array<struct<ref:double,sum:double,weight:double,mean:double>>"
 
@@ -77,50 +77,71 @@ def directions(lines: DataFrame, by: str, declared: tuple[float, ...] = (), o: d
 
     found = far.groupBy(by).agg(F.aggregate(sorted_, F.array().cast(kind), step).alias("clusters"))
     means = F.transform("clusters", lambda c: F.bround(c["mean"], 4))
-    return lines.select(by).distinct().join(found, by, "left").select(by, F.concat(known, F.coalesce(means, F.array().cast("array<double>"))).alias("directions"))
+    return lines.select(F.col(by).alias("set_by")).distinct().join(found, F.col("set_by").eqNullSafe(F.col(by)), "left").select("set_by", F.concat(known, F.coalesce(means, F.array().cast("array<double>"))).alias("directions"))
 
 
 def chain_jogs(lines: DataFrame, by: str, o: dict = SHAPE) -> DataFrame:
-    """Lines k and k + 2 of an outline that run the same way with a short one between, and lie 2 mm to jog_max apart: by, edge, offset."""
+    """Lines k and k + 2 of an outline that run the same way with a short one between, and lie 2 mm to jog_max_m apart: by, edge, offset."""
     w = Window.partitionBy(by).orderBy("edge")
     there = lambda n: F.lead("edge", n).over(w) == F.col("edge") + n
     after = {c: F.lead(c, 2).over(w) for c in ("angle", "ax", "ay", "bx", "by_")}
     e = lines.withColumns({f"n_{c}": v for c, v in after.items()} | {"between": F.lead("length").over(w), "whole": there(1) & there(2)})
     ux, uy = (F.col("bx") - F.col("ax")) / F.col("length"), (F.col("by_") - F.col("ay")) / F.col("length")
     off = F.abs(-uy * ((F.col("n_ax") + F.col("n_bx")) / 2 - F.col("ax")) + ux * ((F.col("n_ay") + F.col("n_by_")) / 2 - F.col("ay")))
-    jog = e.where(F.col("whole") & (F.col("between") <= o["jog_max"]) & (angle_apart(F.col("angle"), F.col("n_angle")) <= 1.0)).withColumn("offset", off)
-    return jog.where((F.col("offset") > 0.002) & (F.col("offset") <= o["jog_max"])).select(by, "edge", "offset")
+    jog = e.where(F.col("whole") & (F.col("between") <= o["jog_max_m"]) & (angle_apart(F.col("angle"), F.col("n_angle")) <= 1.0)).withColumn("offset", off)
+    return jog.where((F.col("offset") > 0.002) & (F.col("offset") <= o["jog_max_m"])).select(by, "edge", "offset")
 
 
-def pair_jogs(lines: DataFrame, o: dict = SHAPE, cell: float = 2.0) -> DataFrame:
-    """Pairs of lines (id, thickness or null, and of segments()) of about one direction that lie 2 mm to jog_max off one line or face, at most jog_gap apart along it: a, b (ids), offset, gap.
+def pair_jogs(lines: DataFrame, o: dict = SHAPE, by: str | None = None, block: float = 16.0) -> DataFrame:
+    """Pairs of lines (id, thickness or null, and of segments()) of about one direction that lie 2 mm to jog_max_m off one line or face, at most jog_gap_m apart along it: a, b (ids), offset, gap.
 
-    The longer one is the rule. Lines meet by degree of angle and by squares that they come near.
+    The longer one is the rule. ``by``, if given, is a column within whose values pairs are looked for. In a
+    frame turned by whole degrees, a line's middle, moved by none or half of its thickness to either side,
+    is a point; the longer line, moved likewise and drawn out as far as a middle may lie, runs through bands
+    of jog_max_m's width in blocks of ``block`` along it. So lines meet only where centre lines or faces are
+    about in line, and a pair is kept at the first of the three ways in which it is.
     """
-    reach = o["jog_gap"] + o["jog_max"]
-    wide = 0.5  # half the thickness of walls, at most, may lie between centre lines that share a face
-    square = lambda lo, hi: F.sequence(F.floor((lo - reach - wide) / cell), F.floor((hi + reach + wide) / cell))
-    base = lines.where(F.col("length") >= o["min_segment"]).withColumn("degree", F.floor("angle").cast("int"))
-    cols = ("id", "ax", "ay", "bx", "by_", "length", "angle", "thickness")
-    left = base.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.explode(F.array(*[F.pmod(F.col("degree") + d, F.lit(180)) for d in (-1, 0, 1)])).alias("degree"))
-    left = left.withColumn("i", F.explode(square(F.least("a_ax", "a_bx"), F.greatest("a_ax", "a_bx")))).withColumn("j", F.explode(square(F.least("a_ay", "a_by_"), F.greatest("a_ay", "a_by_"))))
-    right = base.select(*[F.col(c).alias(f"b_{c}") for c in cols], "degree", *[F.floor(f(F.col(p), F.col(q)) / cell).alias(n) for f, p, q, n in ((F.least, "ax", "bx", "i0"), (F.greatest, "ax", "bx", "i1"), (F.least, "ay", "by_", "j0"), (F.greatest, "ay", "by_", "j1"))])
-    right = right.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("j", F.explode(F.sequence("j0", "j1")))
-    met = left.join(right, ["degree", "i", "j"]).where((F.col("a_id") != F.col("b_id")) & ((F.col("a_length") > F.col("b_length")) | ((F.col("a_length") == F.col("b_length")) & (F.col("a_id") < F.col("b_id")))))
-    met = met.drop("degree", "i", "j", "i0", "i1", "j0", "j1").distinct().where(angle_apart(F.col("a_angle"), F.col("b_angle")) <= 1.0)
+    most, band = o["jog_max_m"], 2 * o["jog_max_m"]
+    base = lines.where(F.col("length") >= o["min_segment_m"]).withColumns({"degree": F.floor("angle").cast("int"), "half": F.coalesce(F.col("thickness"), F.lit(0.0)) / 2, "of": F.lit(0) if by is None else F.col(by)})
+    turned = F.radians(F.col("degree") + 0.5)
+    across = lambda x, y: -F.sin(turned) * x + F.cos(turned) * y
+    along = lambda x, y: F.cos(turned) * x + F.sin(turned) * y
+    cols = ("id", "ax", "ay", "bx", "by_", "length", "angle", "half")
+    middle = [(F.col(p) + F.col(q)) / 2 for p, q in (("ax", "bx"), ("ay", "by_"))]
+    ways = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(s)).alias("s")) for k, s in ((0, 0), (1, 1), (2, -1))]))
+    right = base.select("of", "degree", *[F.col(c).alias(f"b_{c}") for c in cols], F.floor(along(*middle) / block).alias("at"), across(*middle).alias("off"), ways.alias("way"))
+    right = right.withColumn("k", F.col("way.k")).withColumn("band", F.floor((F.col("off") + F.col("way.s") * F.col("b_half")) / band)).drop("off", "way")
+    there = [r.degree for r in base.select("degree").distinct().collect()]  # 180 at most
+    left = base.withColumn("degree", F.explode(F.array_intersect(F.array(*[F.pmod(F.col("degree") + d, F.lit(180)) for d in (-1, 0, 1)]), F.array(*map(F.lit, there)).cast("array<int>"))))
+    left = left.withColumns({"s0": along(F.col("ax"), F.col("ay")), "s1": along(F.col("bx"), F.col("by_")), "o0": across(F.col("ax"), F.col("ay")), "o1": across(F.col("bx"), F.col("by_"))})
+    reach = o["jog_gap_m"] + F.col("length") / 2 + most  # a shorter line's middle is no farther than half of it beyond the gap
+    left = left.withColumn("slope", (F.col("o1") - F.col("o0")) / (F.col("s1") - F.col("s0"))).withColumns({"from": F.least("s0", "s1") - reach, "until": F.greatest("s0", "s1") + reach})
+    left = left.withColumn("at", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor(F.col("until") / block))))
+    edge = lambda s: F.col("o0") + F.col("slope") * (s - F.col("s0"))
+    ends = [edge(F.greatest(F.col("from"), F.col("at") * block)), edge(F.least(F.col("until"), (F.col("at") + 1) * block))]
+    left = left.withColumns({"low": F.least(*ends) - most * 1.05, "high": F.greatest(*ends) + most * 1.05}).withColumn("way", ways)
+    side = F.col("way.s") * F.col("half")
+    left = left.withColumn("band", F.explode(F.sequence(F.floor((F.col("low") + side) / band), F.floor((F.col("high") + side) / band))))
+    left = left.select("of", "degree", "at", "band", F.col("way.k").alias("k"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    met = left.join(right, ["of", "degree", "at", "band", "k"]).where((F.col("a_length") > F.col("b_length")) | ((F.col("a_length") == F.col("b_length")) & (F.col("a_id") < F.col("b_id"))))
+    met = met.where(angle_apart(F.col("a_angle"), F.col("b_angle")) <= 1.0)
     ux, uy = (F.col("a_bx") - F.col("a_ax")) / F.col("a_length"), (F.col("a_by_") - F.col("a_ay")) / F.col("a_length")
     d = -uy * ((F.col("b_ax") + F.col("b_bx")) / 2 - F.col("a_ax")) + ux * ((F.col("b_ay") + F.col("b_by_")) / 2 - F.col("a_ay"))
-    along = lambda p: ux * F.col(f"{p}x") + uy * F.col(f"{p}y{'_' if p.endswith('b') else ''}")
-    gap = F.greatest(F.least(along("b_a"), along("b_b")) - F.greatest(along("a_a"), along("a_b")), F.least(along("a_a"), along("a_b")) - F.greatest(along("b_a"), along("b_b")))
-    half = lambda p: F.coalesce(F.col(f"{p}_thickness"), F.lit(0.0)) / 2
-    offset = F.array_min(F.transform(align_shifts(d, half("a"), half("b")), F.abs))
-    out = met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), offset.alias("offset"), gap.alias("gap"))
-    return out.where((F.col("offset") > 0.002) & (F.col("offset") <= o["jog_max"]) & (F.col("gap") <= o["jog_gap"]))
+    line = lambda p: ux * F.col(f"{p}x") + uy * F.col(f"{p}y{'_' if p.endswith('b') else ''}")
+    gap = F.greatest(F.least(line("b_a"), line("b_b")) - F.greatest(line("a_a"), line("a_b")), F.least(line("a_a"), line("a_b")) - F.greatest(line("b_a"), line("b_b")))
+    # A plus side of the turned frame is that of the line if they point alike, else its minus side; align_shifts has the minus side first.
+    alike = ux * F.cos(turned) + uy * F.sin(turned) > 0
+    misses = F.transform(align_shifts(d, F.col("a_half"), F.col("b_half")), F.abs)
+    first = F.array_position(F.transform(misses, lambda x: x <= most), F.lit(True)) - 1
+    way = F.when(alike & (F.col("k") > 0), 3 - F.col("k")).otherwise(F.col("k"))
+    out = met.withColumns({"offset": F.array_min(misses), "gap": gap, "first": first, "way": way})
+    out = out.where((F.col("offset") > 0.002) & (F.col("offset") <= most) & (F.col("gap") <= o["jog_gap_m"]) & (F.col("way") == F.col("first")))
+    return out.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "offset", "gap")
 
 
 def slivers(walls: DataFrame, o: dict = SHAPE) -> DataFrame:
     """Walls (thickness in metres, px in pixels or null) too thin to be walls."""
-    return walls.where((F.col("thickness") < o["min_wall"]) | F.coalesce(F.col("px") < o["min_wall_px"], F.lit(False)))
+    return walls.where((F.col("thickness") < o["min_wall_m"]) | F.coalesce(F.col("px") < o["min_wall_px"], F.lit(False)))
 
 
 def variation(values: str) -> Column:
@@ -138,7 +159,7 @@ def run_stats(runs: DataFrame, by: str, o: dict = SHAPE) -> DataFrame:
     p = p.withColumn("turn", turn).withColumn("length", F.hypot("vx", "vy")).withColumn("k", F.row_number().over(w)).withColumn("edges", F.count("vx").over(n)).withColumn("total", F.sum("turn").over(n))
     main = F.when(F.col("total") >= 0, 1).otherwise(-1)
     inner = F.when((F.col("edges") < 4) | ((F.col("k") > 1) & (F.col("k") < F.col("edges"))), F.col("length"))
-    p = p.withColumns({"bent": F.abs("turn"), "inner": inner, "flip": F.coalesce(F.col("turn") * main < -o["curve_turn_min"], F.lit(False))})
+    p = p.withColumns({"bent": F.abs("turn"), "inner": inner, "flip": F.coalesce(F.col("turn") * main < -o["curve_turn_deg"][0], F.lit(False))})
     s = p.groupBy(by).agg(F.first("edges").alias("edges"), F.bround(variation("bent"), 3).alias("turn_cv"), F.bround(variation("inner"), 3).alias("length_cv"), F.count_if("flip").alias("flips"), F.bround(F.coalesce(F.first("total"), F.lit(0.0)), 2).alias("total_turn"), F.median("length").alias("median_edge"))
     return s.withColumn("irregular", (F.col("flips") > 0) | (F.col("turn_cv") > o["curve_cv"]) | (F.col("length_cv") > o["curve_cv"]))
 
@@ -146,8 +167,8 @@ def run_stats(runs: DataFrame, by: str, o: dict = SHAPE) -> DataFrame:
 def curve_runs(points: DataFrame, by: str, closed: bool = True, o: dict = SHAPE) -> DataFrame:
     """Runs of chords that draw a curve on outlines of points (by, ord, x, y): run (its first edge), ord (from 0) and x, y of its points.
 
-    A run is a stretch of edges no longer than curve_max_edge, at whose inner corners the outline turns by more than 0 and at most
-    curve_turn_max, of curve_min_edges or more that turn by curve_min_total together. A closed outline's runs go on over its start; one that is
+    A run is a stretch of edges no longer than curve_max_edge_m, at whose inner corners the outline turns by more than 0 and at most
+    the greater of curve_turn_deg, of curve_min_edges or more that turn by curve_min_total_deg together. A closed outline's runs go on over its start; one that is
     all curve is one run. An outline's points are worked off in one group.
     """
 
@@ -163,10 +184,10 @@ def curve_runs(points: DataFrame, by: str, closed: bool = True, o: dict = SHAPE)
         n = len(e)
         rows = []
         if n:
-            short = np.hypot(e[:, 0], e[:, 1]) <= o["curve_max_edge"]
+            short = np.hypot(e[:, 0], e[:, 1]) <= o["curve_max_edge_m"]
             before = np.roll(e, 1, axis=0)
             turn = np.degrees(np.arctan2(before[:, 0] * e[:, 1] - before[:, 1] * e[:, 0], (before * e).sum(axis=1)))  # at each edge's start
-            goes_on = short & np.roll(short, 1) & (np.abs(turn) <= o["curve_turn_max"])
+            goes_on = short & np.roll(short, 1) & (np.abs(turn) <= o["curve_turn_deg"][1])
             if not closed:
                 goes_on[0] = False
             starts = [0] if goes_on.all() else [i for i in range(n) if short[i] and not goes_on[i]]
@@ -175,7 +196,7 @@ def curve_runs(points: DataFrame, by: str, closed: bool = True, o: dict = SHAPE)
                 while k < n and goes_on[(i + k) % n]:
                     k += 1
                 total = turn[[(i + j) % n for j in range(1, k)]].sum() + (turn[i] if goes_on.all() else 0.0)
-                if k >= o["curve_min_edges"] and abs(total) >= o["curve_min_total"]:
+                if k >= o["curve_min_edges"] and abs(total) >= o["curve_min_total_deg"]:
                     rows += [(key[0], i, j, *p[(i + j) % len(p)]) for j in range(k + 1)]
         return pd.DataFrame(rows, columns=[by, "run", "ord", "x", "y"])
 
@@ -243,9 +264,14 @@ def without_collinear(points: DataFrame, by: str, degrees: float = 0.05) -> Data
     return points.select(by, "ord", *[F.col(c).cast("double").alias(c) for c in "xy"]).groupBy(by).applyInPandas(one, f"{by} {dict(points.dtypes)[by]}, ord long, x double, y double")
 
 
-def issues(points: DataFrame, by: str, given: dict | None = None) -> DataFrame:
-    """What is wrong with the shape of closed outlines (by, ord, x, y), a row each: type (short_segment, near_axis_skew, wall_jog or irregular_curve), edge and value."""
+def issues(points: DataFrame, by: str, given: dict | None = None, scope: str | None = None, declared: tuple[float, ...] = ()) -> DataFrame:
+    """What is wrong with the shape of closed outlines (by, ord, x, y), a row each: type (short_segment, near_axis_skew, wall_jog or irregular_curve), edge and value.
+
+    scope: a column that says which outlines' straight lines set the directions together, a mesh's or a
+    plan's (all heights of it); without it each outline sets its own. ``declared`` are directions that are known.
+    """
     o = options(given)
+    scopes = points.groupBy(by).agg(F.first(scope or by).alias("scope"))
     lines = segments(points, by)
     curves = curve_runs(points, by, o=o)
     name = F.struct(by, "run")
@@ -254,6 +280,7 @@ def issues(points: DataFrame, by: str, given: dict | None = None) -> DataFrame:
     on_curve = curved.join(size, by).select(by, F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.pmod(F.col("run") + i, F.col("of")))).alias("edge")).distinct()
     straight = lines.join(on_curve.withColumn("edge", F.col("edge").cast("int")), [by, "edge"], "left_anti")
     row = lambda df, kind, value: df.select(by, F.lit(kind).alias("type"), F.col("edge").cast("long").alias("edge"), value.alias("value"))
-    skew = straight.join(directions(straight, by, o=o), by)
+    scoped = straight.join(scopes, by)
+    skew = scoped.join(directions(scoped, "scope", declared, o), scoped["scope"].eqNullSafe(F.col("set_by")))
     bent = run_stats(curves.withColumn("of", name).select("of", "ord", "x", "y"), "of", o).where("irregular").select(f"of.{by}", F.col("of.run").alias("edge"), "turn_cv")
     return row(short_segments(straight, o), "short_segment", F.col("length")).unionByName(row(skewed(skew, F.col("directions"), o), "near_axis_skew", F.col("off"))).unionByName(row(chain_jogs(straight, by, o), "wall_jog", F.col("offset"))).unionByName(row(bent, "irregular_curve", F.col("turn_cv")))

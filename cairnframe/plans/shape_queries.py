@@ -15,7 +15,7 @@ _EDGES = """e AS (SELECT shape, row_number() OVER w - 1 AS edge, x AS ax, y AS a
 _APART = lambda a, b: f"least(abs({a} - {b}), 180 - abs({a} - {b}))"
 # edges of outlines; Q09: short ones, and those nearly along an axis.
 add("outline_edges", f"WITH {_EDGES} SELECT shape, edge, round(ax, 6) + 0 AS ax, round(ay, 6) + 0 AS ay, round(bx, 6) + 0 AS bx, round(b_y, 6) + 0 AS by_, round(length, 6) AS length, round(angle, 3) AS angle FROM s", "outline")(lambda t: lines.segments(t, "shape").withColumn("angle", F.round("angle", 3)))
-add("short_segments", f"WITH {_EDGES} SELECT shape, edge, round(length, 6) AS length FROM s WHERE length < 1.2", "outline")(lambda t: lines.short_segments(lines.segments(t, "shape"), lines.options({"min_segment": 1.2})).select("shape", "edge", "length"))
+add("short_segments", f"WITH {_EDGES} SELECT shape, edge, round(length, 6) AS length FROM s WHERE length < 1.2", "outline")(lambda t: lines.short_segments(lines.segments(t, "shape"), lines.options({"min_segment_m": 1.2})).select("shape", "edge", "length"))
 _OFF = f"least({_APART('angle', '0')}, {_APART('angle', '90')}, {_APART('angle', '45')})"
 add("skewed_lines", f"WITH {_EDGES} SELECT shape, edge, round({_OFF}, 4) AS off FROM s WHERE length >= 0.3 AND {_OFF} > 0.1 AND {_OFF} <= 3", "outline")(
     lambda t: lines.skewed(lines.segments(t, "shape"), F.array(*map(F.lit, (0.0, 90.0, 45.0)))).select("shape", "edge", F.round("off", 4).alias("off"))
@@ -26,7 +26,7 @@ add(
     f"""WITH {_EDGES}, n AS (SELECT a.shape, a.edge, abs(-(a.b_y - a.ay) / a.length * ((c.ax + c.bx) / 2 - a.ax) + (a.bx - a.ax) / a.length * ((c.ay + c.b_y) / 2 - a.ay)) AS off FROM s a JOIN s b ON b.shape = a.shape AND b.edge = a.edge + 1 JOIN s c ON c.shape = a.shape AND c.edge = a.edge + 2
       WHERE b.length <= 1.2 AND {_APART('a.angle', 'c.angle')} <= 1) SELECT shape, edge, round(off, 6) AS "offset" FROM n WHERE off > 0.002 AND off <= 1.2""",
     "outline",
-)(lambda t: lines.chain_jogs(lines.segments(t, "shape"), "shape", lines.options({"jog_max": 1.2})))
+)(lambda t: lines.chain_jogs(lines.segments(t, "shape"), "shape", lines.options({"jog_max_m": 1.2})))
 add(
     "pair_jogs",
     """WITH w AS (SELECT id, x0 AS ax, y0 % 20 + (id % 7) / 128e0 AS ay, x1 AS bx, y0 % 20 + (id % 7) / 128e0 AS b_y, x1 - x0 AS length, CASE WHEN id % 2 = 0 THEN (id % 3 + 1) / 16e0 END AS t FROM box), p AS (SELECT a.id AS a, b.id AS b, b.ay - a.ay AS d, coalesce(a.t, 0) / 2 AS h1, coalesce(b.t, 0) / 2 AS h2, greatest(b.ax - a.bx, a.ax - b.bx) AS gap

@@ -1,6 +1,7 @@
 """Geometry-shaped views over the driver's tables: stand-ins for plans and meshes, by fixed arithmetic on their columns.
 
-Each is given twice, for Spark and as DuckDB SQL; the text is the same where both read it alike.
+Each is given twice, for Spark and as DuckDB SQL; the text is the same where both read it alike. What
+lies in space goes on in blocks of rows beside one another, so that pairs grow as the rows do.
 """
 
 from __future__ import annotations
@@ -22,17 +23,17 @@ VIEWS: dict[str, str] = {
     "mask": """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, event_type IN ('view', 'click') AS "on" FROM events""",
     "solid": """SELECT user_id AS col, CAST(floor(value * 10) AS BIGINT) AS lo, CAST(floor(value * 10) AS BIGINT) + 50 AS hi, event_id FROM events""",
     "carve": """SELECT user_id AS col, CAST(floor(value * 10) AS BIGINT) + 20 AS lo, CAST(floor(value * 10) AS BIGINT) + 40 AS hi FROM events WHERE event_id % 3 = 0""",
-    "box": """SELECT p_partkey AS id, p_partkey * 37 % 500 AS x0, p_partkey * 37 % 500 + p_size AS x1, p_partkey * 91 % 500 AS y0, p_partkey * 91 % 500 + p_size AS y1, p_brand AS brand FROM part""",
+    "box": """SELECT p_partkey AS id, p_partkey * 37 % 500 + 600 * CAST(floor(p_partkey / 2000) AS BIGINT) AS x0, p_partkey * 37 % 500 + p_size + 600 * CAST(floor(p_partkey / 2000) AS BIGINT) AS x1, p_partkey * 91 % 500 AS y0, p_partkey * 91 % 500 + p_size AS y1, p_brand AS brand FROM part""",
     "pixel": """SELECT l_linenumber + 10 * CAST(floor(l_orderkey / 32768) AS BIGINT) AS img, l_orderkey % 64 AS y, l_partkey % 64 AS x, max(l_orderkey % 256) AS r, max(l_partkey % 256) AS g, max(l_suppkey * 7 % 256) AS b FROM lineitem GROUP BY l_linenumber + 10 * CAST(floor(l_orderkey / 32768) AS BIGINT), l_orderkey % 64, l_partkey % 64""",
     "tri": """SELECT l_linenumber + 10 * CAST(floor(l_orderkey / 32768) AS BIGINT) AS mesh, l_orderkey * 10 + l_linenumber AS tid, l_orderkey % 97 AS a, l_partkey % 97 AS b, l_suppkey % 97 AS c FROM lineitem""",
     "vertex": """SELECT l_linenumber + 10 * CAST(floor(l_orderkey / 32768) AS BIGINT) AS mesh, l_orderkey % 97 AS vid, CAST(max(l_quantity) AS DOUBLE) AS x, CAST(max(l_partkey % 50) AS DOUBLE) AS y, CAST(max(l_orderkey % 97 * 7 % 20) AS DOUBLE) AS z FROM lineitem GROUP BY l_linenumber + 10 * CAST(floor(l_orderkey / 32768) AS BIGINT), l_orderkey % 97""",
     # Small triangles over a floor, seen from above.
-    "facet": """SELECT p_partkey AS id, CAST(p_partkey * 37 % 200 AS DOUBLE) AS ax, CAST(p_partkey * 91 % 200 AS DOUBLE) AS ay, CAST(p_size AS DOUBLE) AS az,
-        CAST(p_partkey * 37 % 200 + p_size % 7 + 1 AS DOUBLE) AS bx, CAST(p_partkey * 91 % 200 AS DOUBLE) AS "by", CAST(p_size AS DOUBLE) AS bz,
-        CAST(p_partkey * 37 % 200 AS DOUBLE) AS cx, CAST(p_partkey * 91 % 200 + p_size % 5 + 1 AS DOUBLE) AS cy, CAST(p_size AS DOUBLE) AS cz FROM part""",
+    "facet": """SELECT p_partkey AS id, CAST(p_partkey * 37 % 200 + 250 * CAST(floor(p_partkey / 2000) AS BIGINT) AS DOUBLE) AS ax, CAST(p_partkey * 91 % 200 AS DOUBLE) AS ay, CAST(p_size AS DOUBLE) AS az,
+        CAST(p_partkey * 37 % 200 + p_size % 7 + 1 + 250 * CAST(floor(p_partkey / 2000) AS BIGINT) AS DOUBLE) AS bx, CAST(p_partkey * 91 % 200 AS DOUBLE) AS "by", CAST(p_size AS DOUBLE) AS bz,
+        CAST(p_partkey * 37 % 200 + 250 * CAST(floor(p_partkey / 2000) AS BIGINT) AS DOUBLE) AS cx, CAST(p_partkey * 91 % 200 + p_size % 5 + 1 AS DOUBLE) AS cy, CAST(p_size AS DOUBLE) AS cz FROM part""",
     "slab": """SELECT p_partkey * 37 % 40 + 40 * CAST(floor(p_partkey / 2000) AS BIGINT) AS i, p_partkey * 91 % 40 AS j, p_size AS lo, p_size + 3 AS hi FROM part""",
-    "customer_at": """SELECT c_custkey AS id, c_custkey * 37 % 1000 AS x, c_custkey * 91 % 1000 AS y FROM customer""",
-    "supplier_at": """SELECT s_suppkey AS id, s_suppkey * 53 % 1000 AS x, s_suppkey * 71 % 1000 AS y FROM supplier""",
+    "customer_at": """SELECT c_custkey AS id, c_custkey * 37 % 1000 + 1200 * CAST(floor(c_custkey / 1500) AS BIGINT) AS x, c_custkey * 91 % 1000 AS y FROM customer""",
+    "supplier_at": """SELECT s_suppkey AS id, s_suppkey * 53 % 1000 + 1200 * CAST(floor(s_suppkey / 100) AS BIGINT) AS x, s_suppkey * 71 % 1000 AS y FROM supplier""",
     "storey": """SELECT n_regionkey AS building, n_nationkey AS ord, n_nationkey % 3 + 2 AS wall, 1 AS slab FROM nation""",
     "record": """SELECT o_orderpriority AS priority, CAST(o_orderkey AS VARCHAR) AS name, CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN o_orderkey % 50 <> 7 ELSE NULL END AS passed FROM orders""",
     "lengths": """SELECT p_partkey AS id, translate(CASE p_partkey % 17 WHEN 0 THEN concat(p_size, '~', p_partkey % 12, '^') WHEN 1 THEN concat(p_size, ' ft') WHEN 2 THEN concat(p_size, '.5 M') WHEN 3 THEN concat(p_size * 10, 'mm') WHEN 4 THEN concat(p_size, '″')
@@ -47,18 +48,18 @@ VIEWS: dict[str, str] = {
     # Doors and their leaves.
     "door": """SELECT p_partkey AS name, CASE p_partkey % 8 WHEN 0 THEN 'single' WHEN 1 THEN 'double' WHEN 2 THEN 'open' WHEN 3 THEN 'glass' WHEN 4 THEN 'elev' WHEN 5 THEN 'slide' WHEN 6 THEN 'slide_double' ELSE 'slide_glass' END AS kind,
         CASE p_size % 2 WHEN 0 THEN 'x' ELSE 'y' END AS axis, CASE p_partkey % 3 WHEN 0 THEN 'a' ELSE 'b' END AS hinge, CASE p_partkey % 5 WHEN 0 THEN 'N' WHEN 1 THEN 'E' WHEN 2 THEN 'S' WHEN 3 THEN 'W' END AS side, p_size / 16.0 AS width,
-        p_partkey * 37 % 500 + 0.0 AS ax, p_partkey * 91 % 500 + 0.0 AS ay, p_partkey * 37 % 500 + CASE p_size % 2 WHEN 0 THEN p_size / 16.0 ELSE 0.25 END AS bx, p_partkey * 91 % 500 + CASE p_size % 2 WHEN 0 THEN 0.25 ELSE p_size / 16.0 END AS "by" FROM part""",
+        p_partkey * 37 % 500 + 600 * CAST(floor(p_partkey / 2000) AS BIGINT) + 0.0 AS ax, p_partkey * 91 % 500 + 0.0 AS ay, p_partkey * 37 % 500 + 600 * CAST(floor(p_partkey / 2000) AS BIGINT) + CASE p_size % 2 WHEN 0 THEN p_size / 16.0 ELSE 0.25 END AS bx, p_partkey * 91 % 500 + CASE p_size % 2 WHEN 0 THEN 0.25 ELSE p_size / 16.0 END AS "by" FROM part""",
     "opened": """SELECT l_orderkey AS door, 1 + l_orderkey % 7 / 8.0 AS width, CAST(l_quantity AS DOUBLE) / 64 AS length, l_linenumber / 128.0 AS thick, CASE WHEN l_partkey % 11 > 0 THEN CAST(l_suppkey % 91 AS DOUBLE) END AS angle FROM lineitem""",
     # Names, entries and measures of meshes; markers and rooms.
     "mesh_name": """SELECT concat(CASE p_partkey % 3 WHEN 0 THEN 'COL_' ELSE '' END, CASE p_partkey % 5 WHEN 0 THEN 'DoorLeaf' ELSE 'Wall' END, p_partkey) AS name FROM part""",
     "entry": """SELECT concat(CASE p_partkey % 3 WHEN 0 THEN 'COL_' ELSE '' END, CASE p_partkey % 5 WHEN 0 THEN 'DoorLeaf' ELSE 'Wall' END, p_partkey) AS name, CASE p_partkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS collision,
         CASE WHEN p_partkey % 8 = 0 THEN concat(CASE (p_partkey + 1) % 3 WHEN 0 THEN 'COL_' ELSE '' END, CASE (p_partkey + 1) % 5 WHEN 0 THEN 'DoorLeaf' ELSE 'Wall' END, p_partkey + 1) END AS render_mesh FROM part WHERE p_partkey % 7 > 0""",
-    "marker": """SELECT concat(CASE p_partkey % 6 WHEN 0 THEN 'DOOR_' WHEN 1 THEN 'ROOM_' WHEN 2 THEN 'STAIR_A_' WHEN 3 THEN 'OPEN' WHEN 4 THEN 'OPEN_' ELSE '_' END, p_partkey % 900) AS name, p_partkey * 37 % 1000 + 0.0 AS x, p_partkey * 91 % 1000 + 0.0 AS y, p_size % 4 + 0.0 AS z, CASE p_partkey % 9 WHEN 0 THEN 'void' WHEN 1 THEN 'slab' END AS kind, p_partkey AS id FROM part""",
+    "marker": """SELECT concat(CASE p_partkey % 6 WHEN 0 THEN 'DOOR_' WHEN 1 THEN 'ROOM_' WHEN 2 THEN 'STAIR_A_' WHEN 3 THEN 'OPEN' WHEN 4 THEN 'OPEN_' ELSE '_' END, p_partkey % 900) AS name, p_partkey * 37 % 1000 + 1200 * CAST(floor(p_partkey / 2000) AS BIGINT) + 0.0 AS x, p_partkey * 91 % 1000 + 0.0 AS y, p_size % 4 + 0.0 AS z, CASE p_partkey % 9 WHEN 0 THEN 'void' WHEN 1 THEN 'slab' END AS kind, p_partkey AS id FROM part""",
     "measured": """SELECT p_partkey AS name, p_size + 0.0 AS x0, p_size + 1.0 AS x1, 0.0 AS y0, p_partkey % 9 + 1.0 AS y1, 0.0 AS z0, 3.0 AS z1, p_size * 2 AS triangles, p_partkey % 4 AS uv_layers, p_brand AS materials, p_partkey % 3 = 0 AS collision FROM part WHERE p_partkey % 11 > 0""",
     "expected": """SELECT p_partkey AS name, p_size + 0.0 AS x0, p_size + 1.0 AS x1, 0.0 AS y0, p_partkey % 9 + CASE WHEN p_partkey % 17 = 0 THEN 1.25 ELSE 1.00005 END AS y1, 0.0 AS z0, 3.0 AS z1, CASE WHEN p_partkey % 19 > 0 THEN p_size * 2 - CASE WHEN p_partkey % 23 = 0 THEN 1 ELSE 0 END END AS triangles, CASE WHEN p_partkey % 5 = 0 THEN 'other' ELSE p_brand END AS materials FROM part WHERE p_partkey % 13 > 0""",
     # Rectangular faces in planes across the axes.
     "face": """SELECT concat('m', p_partkey % 40) AS mesh, p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE 'z' END AS axis, CASE p_partkey % 2 WHEN 0 THEN 1 ELSE -1 END AS facing, p_partkey * 7 % 20 + p_partkey % 4 / 2048.0 AS "offset",
-        p_partkey * 37 % 60 AS u0, p_partkey * 37 % 60 + p_size % 8 + 1 AS u1, p_partkey * 91 % 60 AS v0, p_partkey * 91 % 60 + p_size % 7 + 1 AS v1 FROM part""",
+        p_partkey * 37 % 60 + 80 * CAST(floor(p_partkey / 2000) AS BIGINT) AS u0, p_partkey * 37 % 60 + p_size % 8 + 1 + 80 * CAST(floor(p_partkey / 2000) AS BIGINT) AS u1, p_partkey * 91 % 60 AS v0, p_partkey * 91 % 60 + p_size % 7 + 1 AS v1 FROM part""",
     # A cube of side 4 for each supplier, and a smaller one in or beside it, turned inside out or not.
     "shell_vertex": """SELECT s_suppkey AS mesh, c.v + 8 * k.k AS vid, CASE WHEN k.k = 0 THEN 4.0 * (c.v % 2) WHEN s_suppkey % 4 = 2 THEN 10 + 2.0 * (c.v % 2) ELSE 1 + 2.0 * (c.v % 2) END AS x, CASE k.k WHEN 0 THEN 4.0 ELSE 2.0 END * (CAST(floor(c.v / 2) AS BIGINT) % 2) + k.k AS y, CASE k.k WHEN 0 THEN 4.0 ELSE 2.0 END * CAST(floor(c.v / 4) AS BIGINT) + k.k AS z
         FROM supplier CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS c(v) CROSS JOIN (VALUES (0), (1)) AS k(k) WHERE k.k = 0 OR s_suppkey % 4 < 3""",

@@ -17,7 +17,7 @@ def apart(a, b):
 def test_directions(spark):
     r = random.Random(5)
     rows = [(s, r.choice([30, 31, 33.5, 60, 61, 0.5, 92, 178, 120]) + r.random(), r.choice([0.5, 1.5, 2.0, 3.0]) + r.random() / 7) for s in range(20) for _ in range(12)]
-    got = {x.shape: x.directions for x in lines.directions(spark.createDataFrame(rows, "shape long, angle double, length double"), "shape").collect()}
+    got = {x.set_by: x.directions for x in lines.directions(spark.createDataFrame(rows, "shape long, angle double, length double"), "shape").collect()}
     for s in range(20):
         clusters = []
         for _, a, n in sorted(((-n, a, n) for t, a, n in rows if t == s)):
@@ -33,6 +33,51 @@ def test_directions(spark):
         assert len(got[s]) == 2 + len(clusters) and all(abs(x - c[0]) < 1e-3 for x, c in zip(got[s][2:], clusters, strict=True))
 
 
+def test_pair_jogs_of_slanted_lines_against_all_pairs(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(260):
+        a, n = r.choice([0, 0, 90, 30, 30.4, 179.6, 0.3, 45]) + r.choice([0, 0, 0.2]), r.choice([0.04, 0.6, 2.0, 2.0, 9.0, 40.0])
+        x, y, turn = r.choice([0, 1, 3, 7]) + r.random() / 20, r.choice([0, 0.5, 2]) + r.random() / 9, r.choice([0, 180])
+        u = (math.cos(math.radians(a + turn)), math.sin(math.radians(a + turn)))
+        rows.append((i, x, y, x + n * u[0], y + n * u[1], n, math.degrees(math.atan2(u[1], u[0])) % 180, r.choice([None, 0.1, 0.2, 0.35]), i % 2))
+    want = {}
+    for p in rows:
+        for q in rows:
+            if p[0] == q[0] or min(p[5], q[5]) < 0.05 or (q[5], -q[0]) > (p[5], -p[0]) or apart(p[6], q[6]) > 1:
+                continue
+            ux, uy = (p[3] - p[1]) / p[5], (p[4] - p[2]) / p[5]
+            d = -uy * ((q[1] + q[3]) / 2 - p[1]) + ux * ((q[2] + q[4]) / 2 - p[2])
+            s, t = (sorted((ux * z[1] + uy * z[2], ux * z[3] + uy * z[4])) for z in (p, q))
+            h1, h2 = (p[7] or 0) / 2, (q[7] or 0) / 2
+            off, gap = min(abs(d), abs(h2 - h1 - d), abs(h1 - h2 - d)), max(t[0] - s[1], s[0] - t[1])
+            if 0.002 < off <= 0.05 and gap <= 1.2:
+                want[p[0], q[0]] = off, gap
+    df = spark.createDataFrame(rows, "id long, ax double, ay double, bx double, by_ double, length double, angle double, thickness double, floor int")
+    for block in (16.0, 1.5):
+        got = lines.pair_jogs(df, block=block).collect()
+        assert len(got) == len({(x.a, x.b) for x in got}) == len(want) > 300
+        assert all(abs(x.offset - want[x.a, x.b][0]) < 1e-9 and abs(x.gap - want[x.a, x.b][1]) < 1e-9 for x in got)
+    apart_ = {(x.a, x.b) for x in lines.pair_jogs(df, by="floor").collect()}
+    assert apart_ == {k for k in want if k[0] % 2 == k[1] % 2}
+
+
+def test_directions_are_those_of_all_outlines_of_a_scope(spark):
+    """A slanted line beside a longer one of the same mesh is off the mean of both, not off its own direction."""
+    def square(turn, size, at):
+        u = (math.cos(math.radians(turn)), math.sin(math.radians(turn)))
+        return [(at, 0), (at + size * u[0], size * u[1]), (at + size * (u[0] - u[1]), size * (u[1] + u[0])), (at - size * u[1], size * u[0])]
+
+    rows = [(shape, i, float(x), float(y), "m") for shape, (turn, size, at) in enumerate([(30, 20, 0), (31, 3, 50)]) for i, (x, y) in enumerate(square(turn, size, at))]
+    df = spark.createDataFrame(rows, "shape long, ord long, x double, y double, mesh string")
+    assert lines.issues(df, "shape").count() == 0
+    got = {(x.shape, x.edge): x.value for x in lines.issues(df, "shape", scope="mesh").collect()}
+    mean = (30 * 20 + 31 * 3) / 23
+    assert {k for k in got} == {(s, e) for s in (0, 1) for e in range(4)}
+    assert all(abs(v - abs((30 + s) - mean)) < 1e-3 for (s, _), v in got.items())
+    assert lines.issues(df, "shape", scope="mesh", declared=(30.0, 120.0)).count() == 4
+
+
 def outline(spark, points, shape=1):
     return spark.createDataFrame([(shape, i, float(x), float(y)) for i, (x, y) in enumerate(points)], "shape long, ord long, x double, y double")
 
