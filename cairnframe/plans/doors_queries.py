@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnframe.operators import doors, frames, level
+from cairnframe.operators import doors, frames, level, swing
 
 from .catalog import add
 
@@ -41,6 +41,29 @@ add(
     r AS (SELECT *, row_number() OVER (PARTITION BY door ORDER BY area DESC, wall) AS n FROM o) SELECT d.door, r.wall, r.area FROM d LEFT JOIN r ON r.door = d.door AND n = 1""",
     "box",
 )(lambda t: doors.hosts(t.select(F.col("id").alias("door"), F.col("brand").alias("floor"), "x0", (F.col("x0") + 4).alias("x1"), "y0", (F.col("y0") + 3).alias("y1")), t.where("id % 3 = 0").select(F.col("id").alias("name"), F.col("brand").alias("floor"), "x0", "x1", "y0", "y1")))
+# How far leaves open before a block stops them; the SQL meets every corner and edge of a block near by, and every corner of it and side of the leaf.
+_SWING = """l AS (SELECT name AS id, ax AS hx, ay AS hy, ax + width AS ex, ay AS ey, CASE WHEN name % 2 = 0 THEN 1.0 ELSE -1.0 END AS sy, 0.02 AS p_in, width - 0.02 AS p1, -0.02 + 0.005 AS q0, 0.02 - 0.005 AS q1, width FROM door WHERE kind IN ('single', 'double', 'glass') AND width > 0.2),
+    f AS (SELECT *, least(0.04 + 0.02 + 0.02, width) AS p0 FROM l), b AS (SELECT id AS obstacle, x0 + 0.25 + id % 5 / 8.0 AS x0, x0 + 0.25 + id % 5 / 8.0 + id % 3 / 16.0 + 0.03125 AS x1, y0 + CASE WHEN id % 4 < 2 THEN 0.25 ELSE -1.0 END + id % 7 / 16.0 AS y0, y0 + CASE WHEN id % 4 < 2 THEN 0.25 ELSE -1.0 END + id % 7 / 16.0 + 0.25 AS y1, CASE WHEN id % 6 = 0 THEN 2.5 ELSE 0.0 END AS z0 FROM box),
+    e AS (SELECT obstacle, z0, x0 AS ax, y0 AS ay, x1 AS bx, y0 AS b_y FROM b UNION ALL SELECT obstacle, z0, x1, y0, x1, y1 FROM b UNION ALL SELECT obstacle, z0, x1, y1, x0, y1 FROM b UNION ALL SELECT obstacle, z0, x0, y1, x0, y0 FROM b),
+    m AS (SELECT id, obstacle, p0, p1, q0, q1, width, ax - hx AS ap, (ay - hy) * sy AS aq, bx - hx AS bp, (b_y - hy) * sy AS bq FROM f JOIN e ON floor(hx / 600) = floor(ax / 600) AND abs(ax - hx) < 5 AND abs(ay - hy) < 5 AND z0 < 1.9),
+    c AS (SELECT *, unnest([p0, p0, p1, p1]) AS p, unnest([q0, q1, q0, q1]) AS q FROM m), k AS (SELECT *, (bp - ap) ** 2 + (bq - aq) ** 2 AS a, ap * (bp - ap) + aq * (bq - aq) AS b, ap ** 2 + aq ** 2 - p ** 2 - q ** 2 AS c FROM c),
+    t AS (SELECT *, unnest([(-b - sqrt(b * b - a * c)) / a, (-b + sqrt(b * b - a * c)) / a]) AS t FROM k WHERE b * b >= a * c),
+    s AS (SELECT *, unnest([p0, p1, q0, q1]) AS fixed, unnest([q0, q0, p0, p0]) AS lo, unnest([q1, q1, p1, p1]) AS hi, unnest([TRUE, TRUE, FALSE, FALSE]) AS side FROM m), r AS (SELECT *, unnest([1.0, -1.0]) * sqrt(ap ** 2 + aq ** 2 - fixed ** 2) AS other FROM s WHERE ap ** 2 + aq ** 2 >= fixed ** 2),
+    h AS (SELECT id, obstacle, atan2(aq + t * (bq - aq), ap + t * (bp - ap)) - atan2(q, p) AS turn FROM t WHERE t BETWEEN 0 AND 1
+      UNION ALL SELECT id, obstacle, atan2(aq, ap) - CASE WHEN side THEN atan2(other, fixed) ELSE atan2(fixed, other) END FROM r WHERE other BETWEEN lo AND hi),
+    g AS (SELECT id, obstacle, degrees(turn - 2 * pi() * floor(turn / (2 * pi()))) AS turn FROM h), n AS (SELECT id, min(turn) AS turn FROM g WHERE turn BETWEEN 1e-7 AND 360 - 1e-7 GROUP BY 1),
+    o AS (SELECT DISTINCT f.id FROM f JOIN b ON floor(hx / 600) = floor(x0 / 600) AND z0 < 1.9 AND x0 < hx + p1 AND x1 > hx + p0 AND CASE WHEN sy > 0 THEN y0 - hy ELSE hy - y1 END < q1 AND CASE WHEN sy > 0 THEN y1 - hy ELSE hy - y0 END > q0)"""
+add(
+    "door_swing",
+    f"WITH {_SWING} SELECT f.id, round(CASE WHEN o.id IS NOT NULL THEN 0 WHEN n.turn < 90 THEN floor(n.turn / 0.1 + 1e-9) * 0.1 ELSE 90 END, 6) AS max_open, o.id IS NOT NULL AS closed, n.turn < 90 IS TRUE AS held FROM f LEFT JOIN n ON n.id = f.id LEFT JOIN o ON o.id = f.id",
+    "door", "box",
+)(
+    lambda d, b: swing.max_open(
+        d.where("kind IN ('single', 'double', 'glass') AND width > 0.2").selectExpr("name AS id", "ax AS hx", "ay AS hy", "ax + width AS ex", "ay AS ey", "0D AS sx", "CASE WHEN name % 2 = 0 THEN 1D ELSE -1D END AS sy", "-0.02D AS near", "0.02D AS far", "0D AS z0", "2D AS z1"),
+        b.selectExpr("id AS obstacle", "x0 + 0.25D + id % 5 / 8D AS x0", "x0 + 0.25D + id % 5 / 8D + id % 3 / 16D + 0.03125D AS x1", "y0 + CASE WHEN id % 4 < 2 THEN 0.25D ELSE -1D END + id % 7 / 16D AS y0", "y0 + CASE WHEN id % 4 < 2 THEN 0.25D ELSE -1D END + id % 7 / 16D + 0.25D AS y1", "CASE WHEN id % 6 = 0 THEN 2.5D ELSE 0D END AS z0")
+        .selectExpr("obstacle", "z0", "3D AS z1", "inline(array(struct(x0 AS ax, y0 AS ay, x1 AS bx, y0 AS by_), struct(x1 AS ax, y0 AS ay, x1 AS bx, y1 AS by_), struct(x1 AS ax, y1 AS ay, x0 AS bx, y1 AS by_), struct(x0 AS ax, y1 AS ay, x0 AS bx, y0 AS by_)))"),
+    ).select("id", "max_open", "closed", F.col("blocker").isNotNull().alias("held"))
+)
 # Cells in openings.
 add(
     "cells_in_openings",
