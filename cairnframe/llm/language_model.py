@@ -8,7 +8,7 @@ block, and the step up that gradient is taken once for all. Each training text i
 large as the weights, whatever it reads, and there are as many tasks as the cluster runs at once.
 
 Texts are then scored in batches of sparse rows. A word of a rare class is as likely within it as
-its count, for which the words that are not broadcast with their counts are joined; a word never seen in
+its count, for which the words are joined that are not among COMMON ones sent with their counts; a word never seen in
 training is one more word of its class, of count 0. So the probabilities of all words, with one unseen
 word for each class, sum to 1 after any history.
 
@@ -87,10 +87,13 @@ def _batched(codes: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndar
 
 
 class Model:
-    """A fitted model: shape, the frequent words in the order of their codes, their counts, what each rare class weighs, all tokens and distinct words of the training texts, and the weights."""
+    """A fitted model: shape, the frequent and the common words in the order of their codes, with their counts, what each rare class weighs, all tokens and distinct words of the training texts, and the weights."""
 
-    def __init__(self, shape: maxent.Shape, frequent: list[bytes], counts: list[int], mass: list[float], tokens: int, distinct: int):
-        self.shape, self.frequent, self.counts, self.mass, self.tokens, self.distinct = shape, frequent, counts, mass, tokens, distinct
+    def __init__(self, shape: maxent.Shape, frequent: list[tuple[bytes, int]], common: list[tuple[bytes, int]], mass: list[float], tokens: int, distinct: int):
+        self.shape, self.mass, self.tokens, self.distinct = shape, mass, tokens, distinct
+        self.frequent, counts = (list(x) for x in zip(*frequent, strict=True))
+        self.common, self.common_counts = [w for w, _ in common], [c for _, c in common]
+        self.counts = counts
         self.weights = maxent.start(shape, np.array(counts) + 0.5, np.array(mass))
 
     def base(self, count: Column) -> Column:
@@ -98,35 +101,36 @@ class Model:
 
 
 def counted(counts: DataFrame, shape: maxent.Shape) -> tuple[Model, DataFrame]:
-    """A model that knows counts (stored; word and c) and no history yet, and counts without its frequent words."""
+    """A model that knows counts (stored; word and c) and no history yet, and counts without its frequent and common words."""
     spark = counts.sparkSession
-    top = counts.where(F.col("word") != "").orderBy(F.desc("c"), "word").limit(shape.frequent - 1).collect()  # of a fixed number
+    top = [(r.word.encode(), r.c) for r in counts.where(F.col("word") != "").orderBy(F.desc("c"), "word").limit(shape.frequent - 1 + COMMON).collect()]  # of a fixed number
     all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("c"))), F.lit(0)).alias("ends")).collect()[0]
-    frequent = sorted([(all_.ends, END), *((r.c, r.word.encode()) for r in top)], key=lambda x: (-x[0], x[1]))
-    own = spark.createDataFrame([(w.decode(),) for _, w in frequent], "word string")
-    rest = counts.join(F.broadcast(own), "word", "left_anti")
+    frequent = sorted([(END, all_.ends), *top[: shape.frequent - 1]], key=lambda x: (-x[1], x[0]))
+    common = top[shape.frequent - 1 :]
+    first = spark.createDataFrame([(w.decode(),) for w, _ in frequent], "word string")
     mass = dict.fromkeys(range(shape.rare), 0.5)  # an unseen word's
-    for r in rest.groupBy(rare_class(F.col("word"), shape.rare).alias("of")).agg(F.sum(F.col("c") + 0.5).alias("mass")).collect():
+    for r in counts.join(F.broadcast(first), "word", "left_anti").groupBy(rare_class(F.col("word"), shape.rare).alias("of")).agg(F.sum(F.col("c") + 0.5).alias("mass")).collect():
         mass[r.of] += r.mass
-    return Model(shape, [w for _, w in frequent], [c for c, _ in frequent], [mass[i] for i in range(shape.rare)], all_.n, all_.v), rest
+    own = spark.createDataFrame([(w.decode(),) for w, _ in frequent + common], "word string")
+    return Model(shape, frequent, common, [mass[i] for i in range(shape.rare)], all_.n, all_.v), counts.join(F.broadcast(own), "word", "left_anti")
 
 
 def _summed(texts: DataFrame, model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
     """What was seen and what was expected in texts (text), for the class rows and the word rows."""
     context = texts.sparkSession.sparkContext
     sent = context.broadcast(model.weights)  # of a size that the shape sets
-    shape, frequent = model.shape, model.frequent
+    shape, frequent, common = model.shape, model.frequent, model.common
     tables = (model.weights.class_rows.shape, model.weights.word_rows.shape)
     blocks = [(t, half, start) for t, (rows, _) in enumerate(tables) for half in (0, 1) for start in range(0, rows, BLOCK)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = sent.value
-        sums, codes, waiting, n = maxent.Sums(weights), maxent.Codes(shape, frequent), [], 0
+        sums, codes, waiting, n = maxent.Sums(weights), maxent.Codes(shape, frequent, common), [], 0
 
         def take() -> None:
             all_codes, at = _batched([c for c, _ in waiting], [p for _, p in waiting])
             for i in range(0, len(at), BATCH):
-                sums.add(maxent.batch(all_codes, at[i : i + BATCH], weights, shape)[1])
+                sums.add(maxent.batch(all_codes, at[i : i + BATCH], weights, shape, True)[1])
 
         for _, _, _, own, at in _tokens(batches, codes):
             waiting.append((own, at))
@@ -137,23 +141,24 @@ def _summed(texts: DataFrame, model: Model) -> list[tuple[np.ndarray, np.ndarray
         if waiting:
             take()
         if sums.tokens:
+            halves = sums.seen, sums.expected
             for i, (t, half, start) in enumerate(blocks):
-                part = (sums.seen, sums.expected)[half][t][start : start + BLOCK]
+                part = halves[half][t][start : start + BLOCK].astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "sums"])
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, of = None, None
         for batch in parts:
             for block, part in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
-                x = np.frombuffer(part.as_buffer())
-                total, of = x.copy() if total is None else total + x, block
-        yield pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "sums"])
+                x = np.frombuffer(part.as_buffer(), np.float32).astype(float)
+                total, of = x if total is None else total + x, block
+        yield pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
 
     found = texts.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary")
     halves = [tuple(np.zeros(s) for _ in range(2)) for s in tables]
     for r in found.toLocalIterator():
         t, half, start = blocks[r.block]
-        halves[t][half][start : start + BLOCK] = np.frombuffer(r.sums).reshape(-1, tables[t][1])
+        halves[t][half][start : start + BLOCK] = np.frombuffer(r.sums, np.float32).reshape(-1, tables[t][1])
     sent.destroy()
     return halves
 
@@ -170,28 +175,34 @@ def fit(training: DataFrame, model: Model, key: str = "key", steps: tuple[float,
 
 
 def _by_history(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each part of each text of docs (key, held_out, place, text): n_tokens; n_known, base and score as far as they are those of frequent words and of classes; and the words of rare classes."""
+    """A row for each part of each text of docs (key, held_out, place, text): n_tokens; n_known, base and score, but for what words that are not common say of themselves within their class; and the words that are neither frequent nor common."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = [("place", pa.int64()), ("key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        shape, codes = m.shape, maxent.Codes(m.shape, m.frequent)
-        counts = np.array(m.counts, float)
+        shape, codes = m.shape, maxent.Codes(m.shape, m.frequent, m.common)
+        counts = np.array(m.counts + m.common_counts, float)
         base = np.log10((counts + 0.5) / (m.tokens + 0.5 * (m.distinct + 1)))
+        within = np.log10((counts[len(m.counts) :] + 0.5) / np.array([m.mass[maxent.rare_class(w, shape.rare)] for w in m.common] or [1.0])[: len(m.common)])
 
         def take(waiting: list) -> pa.RecordBatch:
             all_codes, at = _batched([w[3] for w in waiting], [w[4] for w in waiting])
             log = np.concatenate([maxent.batch(all_codes, at[i : i + BATCH], m.weights, shape)[0] for i in range(0, len(at), BATCH)] or [np.zeros(0)]) / math.log(10)
             sizes = np.array([len(w[4]) for w in waiting])
             of, code = np.repeat(np.arange(len(waiting)), sizes), all_codes[at]
-            own = code < shape.frequent
+            # The place among frequent and common words, in the order of counts.
+            place = np.where(code < shape.frequent, code, len(m.counts) + maxent.place_of(code, shape))
+            mine, common = place < len(counts), (code >= shape.frequent) & (place < len(counts))
+            log[common] += within[place[common] - len(m.counts)]
             add = lambda values, where=slice(None): np.bincount(of[where], values, len(waiting))
-            known = add((counts[code[own]] > 0).astype(float), own).astype(np.int64)
-            ends = np.cumsum(np.concatenate([[0], np.bincount(of[~own], minlength=len(waiting))])).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(ends), pa.array([w for x in waiting for w, k in zip(x[2], x[3][maxent.BACK :].tolist(), strict=True) if k >= shape.frequent], pa.binary()))
+            known = add((counts[place[mine]] > 0).astype(float), mine).astype(np.int64)
+            ends = np.cumsum(np.concatenate([[0], np.bincount(of[~mine], minlength=len(waiting))])).astype(np.int32)
+            starts = np.cumsum(sizes) - sizes
+            others = [waiting[k][2][i] for k, i in zip(of[~mine].tolist(), (np.flatnonzero(~mine) - starts[of[~mine]]).tolist(), strict=True)]
+            rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(others, pa.binary()))
             columns = {c: pa.array([w[0].column(c)[w[1]].as_py() for w in waiting], t) for c, t in fields[:3]}
-            columns |= {"n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known), "base": pa.array(add(base[code[own]], own)), "score": pa.array(add(log)), "rare": rare}
+            columns |= {"n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(known), "base": pa.array(add(base[place[mine]], mine)), "score": pa.array(add(log)), "rare": rare}
             return pa.RecordBatch.from_arrays([columns[c] for c, _ in fields], names=[c for c, _ in fields])
 
         waiting, n = [], 0
@@ -208,19 +219,17 @@ def _by_history(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def scored(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
-    """key, held_out, n_tokens, n_known, base_score and score of each row of docs (key, held_out, text). rest: words and counts of the training texts that are not among the model's frequent."""
+    """key, held_out, n_tokens, n_known, base_score and score of each row of docs (key, held_out, text). rest: words and counts of the training texts that are neither frequent nor common in the model."""
     mass = F.array(*map(F.lit, model.mass))
     parts = stored(_by_history(docs.withColumn("place", F.monotonically_increasing_id()), model), "by-history")
-    common = stored(rest.orderBy(F.desc("c"), "word").limit(COMMON), "common-words")
     words = parts.select("place", F.explode("rare").alias("rare")).select("place", F.col("rare").cast("string").alias("word"))
-    met = words.join(F.broadcast(common), "word", "left")
-    others = met.where(F.col("c").isNull()).drop("c").join(rest, "word", "left").withColumn("c", F.coalesce(F.col("c"), F.lit(0)))
+    others = words.join(rest, "word", "left").withColumn("c", F.coalesce(F.col("c"), F.lit(0)))
 
     def sums(of: DataFrame) -> DataFrame:
         within = F.log10((F.col("c") + 0.5) / F.element_at(mass, rare_class(F.col("word"), model.shape.rare) + 1))
         return of.groupBy("place").agg(F.count(F.when(F.col("c") > 0, 1)).alias("n_known"), F.sum(model.base(F.col("c"))).alias("base"), F.sum(within).alias("score"))
 
-    every = [parts.drop("rare"), sums(met.where(F.col("c").isNotNull())), sums(others)]
+    every = [parts.drop("rare"), sums(others)]
     whole = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), every).groupBy("place")
     found = whole.agg(F.max("key").alias("key"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return found.drop("place")

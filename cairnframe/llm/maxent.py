@@ -42,20 +42,26 @@ class Shape:
 
 
 class Codes(dict):
-    """Codes by word (bytes), those of words that are not frequent made as they come and kept, at most a million."""
+    """Codes by word (bytes): of the frequent words, of common ones (their place above that of all frequent, see place_of), and of others, made as they come and kept, at most a million."""
 
-    def __init__(self, shape: Shape, frequent: list[bytes]):
+    def __init__(self, shape: Shape, frequent: list[bytes], common: list[bytes]):
         super().__init__(zip(frequent, range(len(frequent)), strict=True))
-        self.shape, self.own = shape, dict(self)
+        self.update((w, shape.frequent + rare_class(w, shape.rare) + shape.rare * i) for i, w in enumerate(common))
+        self.shape, self.own, self.first = shape, dict(self), len(common)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 1_000_000:
             self.clear()
             self.update(self.own)
-        code = self[word] = self.shape.frequent + rare_class(word, self.shape.rare) + self.shape.rare * (1 + zlib.crc32(word))
+        code = self[word] = self.shape.frequent + rare_class(word, self.shape.rare) + self.shape.rare * (self.first + zlib.crc32(word))
         return code
 
 
+def place_of(codes: np.ndarray, shape: Shape) -> np.ndarray:
+    """Of codes of words that are not frequent: the place among the common words; beyond their number for others."""
+    return (codes - shape.frequent) // shape.rare
+
+
 def rare_class(word: bytes, rare: int) -> int:
     return zlib.crc32(word[-2:]) % rare
 
@@ -95,13 +101,14 @@ def rows_of(codes: np.ndarray, at: np.ndarray, back: tuple[int, ...], tag: int,
     return ((x * _SPREAD[1]) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
 
 
-def _softmax(scores: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """Natural log of the hits' probability; scores become the probabilities."""
+def _softmax(scores: np.ndarray, hit: np.ndarray, parts: bool) -> np.ndarray:
+    """Natural log of the hits' probability; scores become the probabilities if ``parts``."""
     scores -= scores.max(1, keepdims=True)
     of = scores[np.arange(len(hit)), hit]
     np.exp(scores, out=scores)
-    total = scores.sum(1)
-    scores /= total[:, None]
+    total = scores @ np.ones(scores.shape[1], scores.dtype)
+    if parts:
+        scores /= total[:, None]
     return of - np.log(total)
 
 
@@ -113,8 +120,8 @@ def _scores(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.n
     return out
 
 
-def batch(codes: np.ndarray, at: np.ndarray, w: Weights, shape: Shape) -> tuple[np.ndarray, list]:
-    """Natural log of each token's probability, given its history, but for which of the words of a rare class it is; and the parts that Sums.add() needs.
+def batch(codes: np.ndarray, at: np.ndarray, w: Weights, shape: Shape, parts: bool = False) -> tuple[np.ndarray, list]:
+    """Natural log of each token's probability, given its history, but for which of the words of a rare class it is; and, if asked for, the parts that Sums.add() needs.
 
     codes: int64, with BACK codes before a text; at: places of the tokens.
     """
@@ -122,12 +129,12 @@ def batch(codes: np.ndarray, at: np.ndarray, w: Weights, shape: Shape) -> tuple[
     cls = classes_of(of, shape)
     rows = [rows_of(codes, at, back, i, shape.class_bits) for i, back in enumerate(CLASS_FEATURES)]
     p = _scores(w.class_rows, w.class_bias, rows)
-    log = _softmax(p, cls).astype(float)
+    log = _softmax(p, cls, parts).astype(float)
     own = np.flatnonzero(of < shape.frequent)
     in_class = of[own] % shape.width
     word_rows = [rows_of(codes, at[own], back, i, shape.word_bits, cls[own]) for i, back in enumerate(WORD_FEATURES)]
     q = _scores(w.word_rows, w.word_bias[cls[own]], word_rows)
-    log[own] += _softmax(q, in_class)
+    log[own] += _softmax(q, in_class, parts)
     return log, [(rows, p, cls), (word_rows, q, in_class)]
 
 
@@ -136,22 +143,24 @@ class Sums:
 
     def __init__(self, w: Weights):
         self.seen = [np.zeros(t.shape) for t in (w.class_rows, w.word_rows)]
-        self.expected = [np.zeros(t.shape) for t in (w.class_rows, w.word_rows)]
+        self._expected = [np.zeros(t.shape[::-1]) for t in (w.class_rows, w.word_rows)]
         self.tokens = 0
 
+    @property
+    def expected(self) -> list[np.ndarray]:
+        return [np.ascontiguousarray(t.T) for t in self._expected]
+
     def add(self, parts: list) -> None:
         self.tokens += len(parts[0][2])
-        for (rows, p, hit), seen, expected in zip(parts, self.seen, self.expected, strict=True):
+        for (rows, p, hit), seen, expected in zip(parts, self.seen, self._expected, strict=True):
             if not len(hit):
                 continue
-            every = np.concatenate(rows)
-            order = np.argsort(every, kind="stable")
-            every = every[order]
-            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            # Sums of runs are fastest along the last axis.
-            expected[every[first]] += np.add.reduceat(np.take(np.ascontiguousarray(p.T), order % len(hit), axis=1), first, axis=1).T
+            outcomes = np.ascontiguousarray(p.T, float)
             for r in rows:
                 np.add.at(seen.reshape(-1), r.astype(np.int64) * p.shape[1] + hit, 1.0)
+                at = r.astype(np.intp)
+                for one, total in zip(outcomes, expected, strict=True):
+                    total += np.bincount(at, one, len(total))
 
 
 def moved(table: np.ndarray, seen: np.ndarray, expected: np.ndarray, rate: float, prior: float) -> np.ndarray:

@@ -34,7 +34,9 @@ def documents(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, key string, place int").repartition(3)
 
 
-def test_counts_and_base_scores(spark):
+@pytest.mark.parametrize("common", [language_model.COMMON, 30, 0])
+def test_counts_and_base_scores(spark, monkeypatch, common):
+    monkeypatch.setattr(language_model, "COMMON", common)
     rows = texts()
     c = Counter(w for k, t in rows if not held(k) for w in lowered(t))
     n, v = sum(c.values()), len(c)
@@ -49,7 +51,9 @@ def test_counts_and_base_scores(spark):
     assert len(alike) == 1
 
 
-def test_scores_are_log_probabilities_of_one_distribution(spark):
+@pytest.mark.parametrize("common", [language_model.COMMON, 20])
+def test_scores_are_log_probabilities_of_one_distribution(spark, monkeypatch, common):
+    monkeypatch.setattr(language_model, "COMMON", common)
     rows = [r for r in texts() if r[0] is not None and r[0] < 300]
     docs = documents(spark, rows).selectExpr("doc_id AS key", "false AS held_out", "text")
     fitted, rest = language_model.model(docs, SMALL)
@@ -62,7 +66,7 @@ def test_scores_are_log_probabilities_of_one_distribution(spark):
     vocabulary = [w for w in c if w] + list(unseen.values())
     asked = spark.createDataFrame([(i, False, f"ba da {w}") for i, w in enumerate(vocabulary)] + [(-1, False, "ba da")], "key long, held_out boolean, text string")
     base = {r.key: r.score for r in language_model.scored(asked, fitted, rest).collect()}
-    codes = maxent.Codes(SMALL, fitted.frequent)
+    codes = maxent.Codes(SMALL, fitted.frequent, fitted.common)
     own = lambda words: np.array([-1] * 3 + [codes[w.encode()] for w in words])
     ends = lambda words: maxent.batch(own([*words, ""]), np.array([len(words) + 3]), fitted.weights, SMALL)[0][0] / math.log(10)
     start = base[-1] - ends(["ba", "da"])
@@ -78,7 +82,7 @@ def test_seen_less_expected_is_the_gradient():
     codes = np.concatenate([[-1] * 3, r.integers(0, 200, 500)])
     at = np.arange(3, len(codes))
     sums = maxent.Sums(w)
-    sums.add(maxent.batch(codes, at, w, SMALL)[1])
+    sums.add(maxent.batch(codes, at, w, SMALL, True)[1])
     for table, seen, expected in zip((w.class_rows, w.word_rows), sums.seen, sums.expected, strict=True):
         gradient = seen - expected
         assert abs(gradient.sum()) < 1e-2
