@@ -3,7 +3,8 @@
 Equal vectors are one point of a graph, so that a vector that many rows share neither breaks the
 graph apart nor fills one shard; a point carries the smallest ids of its rows, as many as a result can
 hold. A shard holds vectors of lengths within a factor of two, so that in none a long vector
-swamps the others; its graph is one row of a stored index. Queries meet the shards in blocks. What a graph
+swamps the others; its graph is one row of a stored index. Queries meet the shards in large blocks, for each of
+which a shard is read and lifted once. What a graph
 finds is ranked by inner products in double precision of the original vectors.
 """
 
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window
 from . import hnsw
 from .common import stored
 
-#: Points of a shard, about: a part of its table in MOST_SHARDS, within these bounds; queries of a block, about; and the breadth of a search.
-SHARD, LARGEST_SHARD, MOST_SHARDS, BLOCK, EF = 8192, 131_072, 64, 1024, 128
+#: Points of a shard, about: a part of its table in MOST_SHARDS, within these bounds; queries of a block, about, of which so many are searched for together; and the breadth of a search.
+SHARD, LARGEST_SHARD, MOST_SHARDS, BLOCK, TOGETHER, EF = 8192, 131_072, 64, 32_768, 1024, 128
 SALTS = 32
 
 
@@ -104,19 +105,21 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 20, ef: int = EF) ->
                 links = [np.frombuffer(x, np.int32).reshape(-1, w) for x, w in zip(row["links"].as_py(), row["widths"].as_py(), strict=True)]
                 ends, members = np.frombuffer(row["ends"].as_buffer(), np.int32), np.frombuffer(row["members"].as_buffer(), np.int64)
                 ends = ends - ends[0]
-                ids = row["queries"].values.field("id").to_numpy()
-                wanted = _matrix(row["queries"].values.field("vector"))
-                found = hnsw.search(hnsw.Graph(hnsw.lifted(vectors), links), wanted, min(n, max(ef, k + 1)))
-                which, col = np.nonzero(found >= 0)
-                point = found[which, col]
-                score = np.einsum("ij,ij->i", wanted[which], vectors[point])
-                order = np.lexsort((members[ends[point]], -score, which))
-                which, point, score = which[order], point[order], score[order]
-                first = np.searchsorted(which, which)  # the place of a query's best
-                near = np.arange(len(which)) - first <= k
-                which, point, score = which[near], point[near], score[near]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ends[point + 1] - ends[point])]).astype(np.int32)), pa.array(np.concatenate([members[ends[p] : ends[p + 1]] for p in point] or [members[:0]])))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(score), lists], names=["query_id", "score", "members"])
+                all_ids = row["queries"].values.field("id").to_numpy()
+                graph, every = hnsw.Graph(hnsw.lifted(vectors), links), _matrix(row["queries"].values.field("vector"))
+                for start in range(0, len(all_ids), TOGETHER):
+                    ids, wanted = all_ids[start : start + TOGETHER], every[start : start + TOGETHER]
+                    found = hnsw.search(graph, wanted, min(n, max(ef, k + 1)))
+                    which, col = np.nonzero(found >= 0)
+                    point = found[which, col]
+                    score = np.einsum("ij,ij->i", wanted[which], vectors[point])
+                    order = np.lexsort((members[ends[point]], -score, which))
+                    which, point, score = which[order], point[order], score[order]
+                    first = np.searchsorted(which, which)  # the place of a query's best
+                    near = np.arange(len(which)) - first <= k
+                    which, point, score = which[near], point[near], score[near]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ends[point + 1] - ends[point])]).astype(np.int32)), pa.array(np.concatenate([members[ends[p] : ends[p + 1]] for p in point] or [members[:0]])))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(score), lists], names=["query_id", "score", "members"])
 
     hits = met.mapInArrow(run, "query_id long, score double, members array<long>")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("members")[0])

@@ -83,3 +83,12 @@ def test_recall_of_a_graph():
     true = np.argsort(-(v[:200] @ v.T), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, true, strict=True)]) > 0.95
     assert all(x.dtype == np.int32 for x in graph.links)
+
+
+def test_blocks_of_queries_do_not_change_what_is_found(spark, monkeypatch):
+    vectors = np.random.default_rng(9).normal(size=(300, 6))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann.query(df).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 6)
+    monkeypatch.setattr(ann, "TOGETHER", 4)
+    assert sorted(map(tuple, ann.query(df).collect())) == whole and len(whole) == 15 * 20
