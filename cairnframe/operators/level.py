@@ -85,15 +85,35 @@ def stacked(faces: DataFrame, pitch: float, copies: int = 2, axis: str = "z") ->
     return k.withColumns(moved).withColumn("mesh", F.when(F.col("k") == 0, F.col("mesh")).otherwise(F.concat("mesh", F.lit("(+"), F.col("k"), F.lit(")")))).drop("k")
 
 
+#: Metres of offsets that are numbered together.
+OFFSETS = 1.0
+
+
+def with_planes(faces: DataFrame, gap: float) -> DataFrame:
+    """faces (axis, facing, offset ...) with plane: which of the planes of their direction, in the order of offsets, that lie more than ``gap`` apart.
+
+    Offsets are numbered in blocks; whether a block's first plane is the last of the block before is read
+    off the blocks' ends, a row for each block.
+    """
+    key = ["axis", "facing"]
+    f = faces.withColumn("block", F.floor(F.col("offset") / OFFSETS))
+    w = Window.partitionBy(*key, "block").orderBy("offset")
+    cut = F.when(F.col("offset") - F.lag("offset").over(w) > gap, 1).otherwise(0)
+    f = f.withColumn("cut", cut).withColumn("plane", F.sum("cut").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    ends = f.groupBy(*key, "block").agg(F.min("offset").alias("first"), F.max("offset").alias("last"), F.sum("cut").alias("cuts"))
+    along = Window.partitionBy(*key).orderBy("block")
+    ends = ends.withColumn("new", F.col("cuts") + F.when(F.col("first") - F.lag("last").over(along) > gap, 1).otherwise(0))
+    ends = ends.withColumn("before", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cuts")).select(*key, "block", "before")
+    return f.join(ends, [*key, "block"]).withColumn("plane", F.col("plane") + F.col("before")).drop("cut", "block", "before")
+
+
 def coplanar(faces: DataFrame, gap: float = 0.002, least: float = 1e-4, cell: float = 1.0) -> DataFrame:
     """Overlaps of rectangular faces that look the same way in one plane: axis, facing, plane (its number), a, b (mesh names, a <= b) and area over ``least``.
 
     faces: mesh, id (unique), axis, facing, offset, u0, u1, v0, v1. Offsets further apart than ``gap`` part planes. Two meshes' area is that of
     the union of their faces' overlaps; a mesh with itself has what its faces cover more than once.
     """
-    w = Window.partitionBy("axis", "facing").orderBy("offset")
-    cut = F.when(F.col("offset") - F.lag("offset").over(w) > gap, 1).otherwise(0)
-    placed = faces.withColumn("cut", cut).withColumn("plane", F.sum("cut").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("cut", "offset")
+    placed = with_planes(faces, gap).drop("offset")
     key = F.concat_ws("/", "axis", F.col("facing").cast("string"), F.col("plane").cast("string"))
     boxes = placed.select(key.alias("plane_key"), F.struct("mesh", "id", "u0", "u1", "v0", "v1").alias("id"), F.col("u0").alias("x0"), F.col("u1").alias("x1"), F.col("v0").alias("y0"), F.col("v1").alias("y1"))
     met = spatial.box_pairs(boxes, boxes, cell=cell, by=["plane_key"]).where(F.col("a_id") < F.col("b_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnframe.operators import level, predicates, sequences
+from cairnframe.operators import level, planes, predicates, sequences
 
 from . import checks
 from .catalog import add
@@ -57,6 +57,21 @@ add(
     f"WITH {_COVER.format(face='face')} SELECT axis, facing, CAST(plane AS BIGINT) AS plane, a, b, area, (SELECT count(*) FROM found) AS pairs, (SELECT CAST(sum(area) AS BIGINT) FROM found) AS total_area FROM found ORDER BY area DESC, axis, facing, plane, a, b LIMIT 50",
     "face",
 )(lambda t: level.coplanar_summary(level.coplanar(t, cell=8.0)).withColumn("total_area", F.col("total_area").cast("long")))
+# Faces of roofs, that rise as they go, which lie on one another.
+add(
+    "tilted_overlaps",
+    """WITH o AS (SELECT least(a.mesh, b.mesh) AS a, greatest(a.mesh, b.mesh) AS b, sqrt(2) * (least(a.u1, b.u1) - greatest(a.u0, b.u0)) * (least(a.v1, b.v1) - greatest(a.v0, b.v0)) AS area
+      FROM face a JOIN face b ON a.axis = b.axis AND a.facing = b.facing AND floor(a."offset") = floor(b."offset") AND (a.mesh, a.id) < (b.mesh, b.id) AND least(a.u1, b.u1) > greatest(a.u0, b.u0) AND least(a.v1, b.v1) > greatest(a.v0, b.v0))
+    SELECT a, b, round(sum(area), 6) AS area FROM o GROUP BY 1, 2""",
+    "face",
+)(
+    lambda t: planes.tilted_pairs(
+        t.selectExpr(
+            "mesh", "id", "facing", "inline(array(struct(0 AS half, u0 AS p0, v0 AS q0, CASE facing WHEN 1 THEN u1 ELSE u1 END AS p1, CASE facing WHEN 1 THEN v0 ELSE v1 END AS q1, u1 AS p2, CASE facing WHEN 1 THEN v1 ELSE v0 END AS q2), struct(1 AS half, u0 AS p0, v0 AS q0, CASE facing WHEN 1 THEN u1 ELSE u0 END AS p1, v1 AS q1, CASE facing WHEN 1 THEN u0 ELSE u1 END AS p2, v1 AS q2)))", "axis", "offset + CASE axis WHEN 'x' THEN 1000 WHEN 'y' THEN 2000 ELSE 3000 END AS up"
+        ).selectExpr("mesh", "id * 2 + half AS id", *[f"{e} AS {c}{x}" for c, k in zip("abc", "012", strict=True) for x, e in (("x", f"CAST(p{k} AS DOUBLE)"), ("y", f"CAST(q{k} AS DOUBLE)"), ("z", f"p{k} + up"))]),
+        cell=8.0,
+    )
+)
 _STACK = """stack AS (SELECT CASE k WHEN 0 THEN mesh ELSE mesh || '(+1)' END AS mesh, id, axis, facing, CASE axis WHEN 'z' THEN "offset" + k * 5 ELSE "offset" END AS "offset", u0, u1, CASE axis WHEN 'z' THEN v0 ELSE v0 + k * 5 END AS v0, CASE axis WHEN 'z' THEN v1 ELSE v1 + k * 5 END AS v1 FROM face, (VALUES (0), (1)) c(k))"""
 add("stacked_overlaps", f"WITH {_STACK}, {_COVER.format(face='stack')} SELECT axis, facing, CAST(plane AS BIGINT) AS plane, a, b, area FROM found WHERE (a LIKE '%(+1)') <> (b LIKE '%(+1)')", "face")(
     lambda t: level.coplanar(level.stacked(t, 5).withColumns({c: F.col(c).cast("long") for c in ("v0", "v1")}), cell=8.0).where("endswith(a, '(+1)') <> endswith(b, '(+1)')")
