@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .spatial import box_pairs
 
 #: Thickness of leaves by kind, the gap between the leaves of a pair, and kinds of two leaves or that slide.
 THIN, LIFT_THICKNESS, HALF_GAP = 0.012, 0.03, 0.002
@@ -67,14 +68,16 @@ def limited(opened: DataFrame, least: float, k: int = 20) -> DataFrame:
     return clear_widths(opened).where(F.col("max_open") < least).orderBy("max_open", "door").limit(k)
 
 
-def hosts(doors: DataFrame, walls: DataFrame) -> DataFrame:
-    """The wall (by name, rectangle x0, y0, x1, y1, of a floor) that each door (door, floor, rectangle) overlaps most; ties to the first name; null where it meets none."""
-    w = walls.select("floor", F.col("name").alias("wall"), *[F.col(c).alias(f"w_{c}") for c in ("x0", "y0", "x1", "y1")])
-    both = doors.join(w, "floor")
-    width = F.least("x1", "w_x1") - F.greatest("x0", "w_x0")
-    height = F.least("y1", "w_y1") - F.greatest("y0", "w_y0")
-    met = both.where((width > 0) & (height > 0)).withColumn("area", width * height).groupBy("door").agg(F.max(F.struct("area", F.lit(0).alias("z"))).alias("top"), F.min_by("wall", F.struct(-F.col("area"), "wall")).alias("wall"))
-    return doors.select("door").join(met.select("door", "wall", F.col("top.area").alias("area")), "door", "left")
+def hosts(doors: DataFrame, walls: DataFrame, cell: float = 4.0) -> DataFrame:
+    """The wall (by name, rectangle x0, y0, x1, y1, of a floor) that each door (door, floor, rectangle) overlaps most; ties to the first name; null where it meets none. They meet by their boxes."""
+    sides = ["x0", "y0", "x1", "y1"]
+    boxes = lambda t, name: t.select("floor", F.struct(name, *sides).alias("id"), *sides)
+    both = box_pairs(boxes(doors, "door"), boxes(walls, "name"), cell=cell, by=["floor"])
+    width = F.least("a_id.x1", "b_id.x1") - F.greatest("a_id.x0", "b_id.x0")
+    height = F.least("a_id.y1", "b_id.y1") - F.greatest("a_id.y0", "b_id.y0")
+    met = both.where((width > 0) & (height > 0)).select("a_id.door", F.col("b_id.name").alias("wall"), (width * height).alias("area"))
+    met = met.groupBy("door").agg(F.max("area").alias("area"), F.min_by("wall", F.struct(-F.col("area"), "wall")).alias("wall"))
+    return doors.select("door").join(met, "door", "left").select("door", "wall", "area")
 
 
 def leaf_of_hinge(hinges: DataFrame, leaves_: DataFrame, by: str, reach: float = 0.10, pivot: float = 0.002) -> DataFrame:

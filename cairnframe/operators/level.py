@@ -217,13 +217,6 @@ def reachability(rooms: DataFrame, doors: DataFrame, unbalanced: Column) -> Data
     return r.join(d).withColumn("passed", (F.col("unreachable") == 0) & (F.col("blocked") == 0) & ~unbalanced)
 
 
-def closure(intervals: DataFrame, by: str) -> DataFrame:
-    """One row: columns whose starts and ends differ in number, and columns whose depth doesn't come back to 0. An interval may lack an end."""
-    ends = intervals.select(by, F.inline(F.array(F.struct(F.col("lo").alias("z"), F.lit(1).alias("s")), F.struct(F.col("hi").alias("z"), F.lit(-1).alias("s"))))).where("z IS NOT NULL")
-    per = ends.groupBy(by).agg(F.sum("s").alias("s"), F.max_by("s", F.struct("z", -F.col("s"))).alias("last"))
-    return per.agg(F.count_if(F.col("s") != 0).alias("unbalanced"), F.count_if(F.col("last") == 1).alias("ending_inside"))
-
-
 def storeys(floors: DataFrame) -> DataFrame:
     """floors (building, ord, wall, slab) with z, and height, wall and slab together."""
     return sequences.elevations(floors, "building", "ord", "wall", "slab").withColumn("height", F.col("wall") + F.col("slab"))

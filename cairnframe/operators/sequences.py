@@ -29,14 +29,26 @@ def edge_points(pixels: DataFrame, step: int = 1) -> DataFrame:
     return on.join(lo, "img").where(F.pmod(F.col("x") - F.col("x0"), F.lit(step)) == 0).groupBy("img", "x").agg(F.min("y").alias("first"), F.max("y").alias("last"))
 
 
-def sweep(intervals: DataFrame, by: str) -> DataFrame:
-    """Solid stretches of each column from intervals (by, lo, hi): sorted ends with starts first, the depth running; a stretch lasts while the depth is above 0."""
-    ends = intervals.select(by, F.inline(F.array(F.struct(F.col("lo").alias("z"), F.lit(1).alias("s")), F.struct(F.col("hi").alias("z"), F.lit(-1).alias("s")))))
+def _depths(intervals: DataFrame, by: str) -> DataFrame:
+    """Ends of intervals (by, lo, hi; either may be null, and has no say then) in order, starts first where they meet: z, the depth after each, and whether a solid stretch starts or ends there."""
+    ends = intervals.select(by, F.inline(F.array(F.struct(F.col("lo").alias("z"), F.lit(1).alias("s")), F.struct(F.col("hi").alias("z"), F.lit(-1).alias("s"))))).where("z IS NOT NULL")
     w = Window.partitionBy(by).orderBy("z", F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     depth = ends.withColumn("depth", F.sum("s").over(w))
-    starts = depth.where("s = 1 AND depth = 1").select(by, F.col("z").alias("lo"), F.row_number().over(Window.partitionBy(by).orderBy("z")).alias("k"))
-    stops = depth.where("s = -1 AND depth = 0").select(by, F.col("z").alias("hi"), F.row_number().over(Window.partitionBy(by).orderBy("z")).alias("k"))
-    return starts.join(stops, [by, "k"]).select(by, "lo", "hi")
+    return depth.withColumns({"start": F.expr("depth - s <= 0 AND depth > 0"), "end": F.expr("depth - s > 0 AND depth <= 0")})
+
+
+def sweep(intervals: DataFrame, by: str) -> DataFrame:
+    """Solid stretches of each column from intervals (by, lo, hi): sorted ends with starts first, the depth running; a stretch lasts while the depth is above 0. Columns in which one does not end are left out, see closure()."""
+    turns = _depths(intervals, by).where("start OR end")
+    w = Window.partitionBy(by)
+    found = turns.withColumns({"hi": F.lead("z").over(w.orderBy("z", F.desc("s"))), "even": F.count("*").over(w) % 2 == 0})
+    return found.where("start AND even").select(by, F.col("z").alias("lo"), "hi")
+
+
+def closure(intervals: DataFrame, by: str) -> DataFrame:
+    """One row: unbalanced, columns in which not as many solid stretches end as start, and ending_inside, those whose depth does not come back to 0."""
+    per = _depths(intervals, by).groupBy(by).agg((F.count_if("start") != F.count_if("end")).alias("uneven"), F.sum("s").alias("left"))
+    return per.agg(F.count_if("uneven").alias("unbalanced"), F.count_if(F.col("left") != 0).alias("ending_inside"))
 
 
 def merged(intervals: DataFrame, by: str, slack: float = 1e-4) -> DataFrame:

@@ -109,7 +109,11 @@ add("reachability", f"WITH {_REACH} SELECT count(*) FILTER (NOT reachable) AS un
 )
 add("outside_rectangle", "SELECT id, x, y FROM customer_at WHERE NOT (x BETWEEN 100 AND 400 AND y BETWEEN 50 AND 700)", "customer_at")(lambda t: level.without_rect(t, 400, 50, 100, 700))
 # Columns that don't close.
-add("closure", "WITH e AS (SELECT col, lo AS z, 1 AS s FROM half_open WHERE lo IS NOT NULL UNION ALL SELECT col, hi, -1 FROM half_open WHERE hi IS NOT NULL), c AS (SELECT col, sum(s) AS s, arg_max(s, (z, -s)) AS last FROM e GROUP BY 1) SELECT count(*) FILTER (s <> 0) AS unbalanced, count(*) FILTER (last = 1) AS ending_inside FROM c", "half_open")(lambda t: level.closure(t, "col"))
+_HALF = """e AS (SELECT col, lo AS z, 1 AS s FROM half_open WHERE lo IS NOT NULL UNION ALL SELECT col, hi, -1 FROM half_open WHERE hi IS NOT NULL), d AS (SELECT *, sum(s) OVER (PARTITION BY col ORDER BY z, s DESC ROWS UNBOUNDED PRECEDING) AS depth FROM e),
+    st AS (SELECT col, z, row_number() OVER (PARTITION BY col ORDER BY z) AS k FROM d WHERE depth > 0 AND depth - s <= 0), en AS (SELECT col, z, row_number() OVER (PARTITION BY col ORDER BY z) AS k FROM d WHERE depth <= 0 AND depth - s > 0),
+    n AS (SELECT col, (SELECT count(*) FROM st WHERE st.col = c.col) = (SELECT count(*) FROM en WHERE en.col = c.col) AS even FROM (SELECT DISTINCT col FROM e) c)"""
+add("closure", f"WITH {_HALF} SELECT (SELECT count(*) FROM n WHERE NOT even) AS unbalanced, (SELECT count(*) FROM (SELECT col FROM e GROUP BY 1 HAVING sum(s) <> 0)) AS ending_inside", "half_open")(lambda t: sequences.closure(t, "col"))
+add("balanced_stretches", f"WITH {_HALF} SELECT col, st.z AS lo, en.z AS hi FROM st JOIN en USING (col, k) JOIN n USING (col) WHERE even", "half_open")(lambda t: sequences.sweep(t, "col"))
 # Successive differences of angles.
 add("angle_steps", "SELECT user_id, pos, round(a - lag(a) OVER (PARTITION BY user_id ORDER BY pos), 6) AS step FROM (SELECT user_id, pos, pos * pos % 180 + 0.5e0 AS a FROM mask)", "mask")(
     lambda t: sequences.angle_steps(t.withColumn("a", F.col("pos") * F.col("pos") % 180 + 0.5), "user_id", "pos", "a").select("user_id", "pos", "step")

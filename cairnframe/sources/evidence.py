@@ -76,8 +76,13 @@ def read_cases(spark: SparkSession, folder: str) -> DataFrame:
 
 def bar_extents(boxes: DataFrame, mask: DataFrame) -> DataFrame:
     """px of each bar box (case, ord, x0, y0, x1, y1; ends exclusive): columns from the first to the last that holds a set pixel of mask (case, y, x). Null where none does."""
-    inside = boxes.join(mask, "case").where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
-    spans = inside.groupBy("case", "ord").agg((F.max("x") - F.min("x") + 1).cast("double").alias("px"))
+    from cairnframe.operators.spatial import box_pairs
+
+    sides = ["x0", "y0", "x1", "y1"]
+    own = boxes.select("case", F.struct("ord", *sides).alias("id"), *sides)
+    pixels = mask.select("case", F.struct("x", "y").alias("id"), F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))
+    inside = box_pairs(own, pixels, cell=16.0, by=["case"]).where((F.col("b_id.x") < F.col("a_id.x1")) & (F.col("b_id.y") < F.col("a_id.y1")))
+    spans = inside.groupBy("case", F.col("a_id.ord").alias("ord")).agg((F.max("b_id.x") - F.min("b_id.x") + 1).cast("double").alias("px"))
     return boxes.join(spans, ["case", "ord"], "left").select("case", "ord", "px")
 
 
