@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairnframe.operators import level, planes, predicates, sequences
+from cairnframe.operators import level, mesh, planes, predicates, sections, sequences
 
 from . import checks
 from .catalog import add
@@ -108,6 +108,20 @@ add("reachability", f"WITH {_REACH} SELECT count(*) FILTER (NOT reachable) AS un
     lambda m, c, s: level.reachability(_reached(m, c), s.select((F.col("id") % 2 == 0).alias("required"), (F.col("id") % 5).alias("reachable")), F.lit(False))
 )
 add("outside_rectangle", "SELECT id, x, y FROM customer_at WHERE NOT (x BETWEEN 100 AND 400 AND y BETWEEN 50 AND 700)", "customer_at")(lambda t: level.without_rect(t, 400, 50, 100, 700))
+# Sections of islands by several planes, and what slabs of them cover.
+_SHELLS = "b AS (SELECT DISTINCT s.mesh, k, CASE k WHEN 0 THEN 0e0 ELSE 1e0 END AS lo, CASE k WHEN 0 THEN 4e0 ELSE 3e0 END AS hi, CASE WHEN k = 0 THEN 16e0 WHEN s.mesh % 4 = 1 THEN 4e0 ELSE -4e0 END AS area, CASE k WHEN 0 THEN 16e0 ELSE 8e0 END AS length FROM shell_vertex s, (VALUES (0), (1)) t(k) WHERE k = 0 OR s.mesh % 4 < 3)"
+
+
+def _islands(v, t):
+    return mesh.corners(v, t).withColumn("island", F.expr("tid div 12"))
+
+
+add("island_sections", f"WITH {_SHELLS} SELECT mesh, CAST(k AS BIGINT) AS island, z, area, length FROM b, (VALUES (0.5e0), (1.5e0), (2e0), (3e0), (3.5e0)) p(z) WHERE z > lo AND z <= hi", "shell_vertex", "shell_tri")(
+    lambda v, t: sections.section_areas(sections.sections(c := _islands(v, t), c.select("mesh", "island", F.explode(F.array(*map(F.lit, (0.5, 1.5, 2.0, 3.0, 3.5)))).alias("z")).distinct())).withColumn("island", F.col("island").cast("long"))
+)
+add("slab_footprints", f"WITH {_SHELLS} SELECT mesh, CAST(k AS BIGINT) AS island, greatest(lo, 0.25e0) AS z0, least(hi, 3.5e0) AS z1, area * (least(hi, 3.5e0) - greatest(lo, 0.25e0)) AS volume FROM b", "shell_vertex", "shell_tri")(
+    lambda v, t: sections.footprints(_islands(v, t), 0.25, 3.5).groupBy("obstacle.mesh", F.col("obstacle.island").cast("long").alias("island"), "z0", "z1").agg((F.sum(F.expr("ax * by_ - bx * ay")) / 2).alias("area")).select("mesh", "island", "z0", "z1", F.expr("area * (z1 - z0)").alias("volume"))
+)
 # Columns that don't close.
 _HALF = """e AS (SELECT col, lo AS z, 1 AS s FROM half_open WHERE lo IS NOT NULL UNION ALL SELECT col, hi, -1 FROM half_open WHERE hi IS NOT NULL), d AS (SELECT *, sum(s) OVER (PARTITION BY col ORDER BY z, s DESC ROWS UNBOUNDED PRECEDING) AS depth FROM e),
     st AS (SELECT col, z, row_number() OVER (PARTITION BY col ORDER BY z) AS k FROM d WHERE depth > 0 AND depth - s <= 0), en AS (SELECT col, z, row_number() OVER (PARTITION BY col ORDER BY z) AS k FROM d WHERE depth <= 0 AND depth - s > 0),
