@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import maxent
 from .common import slices, stored, table
@@ -101,9 +102,14 @@ class Model:
 
 
 def counted(counts: DataFrame, shape: maxent.Shape) -> tuple[Model, DataFrame]:
-    """A model that knows counts (stored; word and c) and no history yet, and counts without its frequent and common words."""
+    """A model that knows counts (stored; word and c) and no history yet, and counts without its frequent and common words. Words that share the count at which these end are neither."""
     spark = counts.sparkSession
-    top = [(r.word.encode(), r.c) for r in counts.where(F.col("word") != "").orderBy(F.desc("c"), "word").limit(shape.frequent - 1 + COMMON).collect()]  # of a fixed number
+    words, most = counts.where(F.col("word") != ""), shape.frequent - 1 + COMMON
+    # The least count that no more words reach: a row for each count there is is looked at, not each word.
+    upto = F.sum("n").over(Window.orderBy(F.desc("c")))
+    least = words.groupBy("c").agg(F.count("*").alias("n")).withColumn("upto", upto).where(F.col("upto") <= most).agg(F.min("c").alias("c")).collect()[0].c
+    reached = words.where(F.col("c") >= least).collect() if least is not None else []  # ``most`` words at most
+    top = sorted(((r.word.encode(), r.c) for r in reached), key=lambda x: (-x[1], x[0]))
     all_ = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("c"))), F.lit(0)).alias("ends")).collect()[0]
     frequent = sorted([(END, all_.ends), *top[: shape.frequent - 1]], key=lambda x: (-x[1], x[0]))
     common = top[shape.frequent - 1 :]
