@@ -73,3 +73,34 @@ def containing(points: DataFrame, rings: DataFrame, by: str, cell: float = 1.0)
     bands = e.where("ay <> by_").withColumn("band", F.explode(F.sequence(F.floor(F.least("ay", "by_") / cell), F.floor(F.greatest("ay", "by_") / cell))))
     right: Column = (F.least("ay", "by_") <= F.col("y")) & (F.greatest("ay", "by_") > F.col("y")) & (F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by_") - F.col("ay")) > F.col("x"))
     return near.join(bands, [by, "band"]).where(right).groupBy("id", by).agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", by)
+
+
+def arc_by_step(cx: Column, cy: Column, r: Column, a0: Column, a1: Column, step: float = 6.0) -> Column:
+    """Points of an arc from a0 to a1 (degrees) in even pieces of ``step`` degrees at most."""
+    from cairnframe.functions.measures import arc_points
+
+    return arc_points(cx, cy, r, a0, a1, F.greatest(F.lit(1), F.ceil(F.abs(a1 - a0) / step - 1e-9)))
+
+
+def sector(cx: Column, cy: Column, r0: Column, r1: Column, a0: Column, a1: Column, step: float = 6.0) -> Column:
+    """Corners of a piece of a ring: along its outer arc, and back along its inner one."""
+    return F.concat(arc_by_step(cx, cy, r1, a0, a1, step), arc_by_step(cx, cy, r0, a1, a0, step))
+
+
+def disk(cx: Column, cy: Column, r: Column, corners: int) -> Column:
+    """Corners of a regular polygon in a circle."""
+    from cairnframe.functions.measures import arc_points
+
+    return F.slice(arc_points(cx, cy, r, F.lit(0.0), F.lit(360.0), F.lit(corners)), 1, corners)
+
+
+def octagon(x0: Column, y0: Column, x1: Column, y1: Column, c: Column) -> Column:
+    """Corners of a rectangle whose own are cut off by c."""
+    points = [(x0 + c, y0), (x1 - c, y0), (x1, y0 + c), (x1, y1 - c), (x1 - c, y1), (x0 + c, y1), (x0, y1 - c), (x0, y0 + c)]
+    return F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in points])
+
+
+def large_parts(rings: DataFrame, by: str, least: float = 1e-7) -> DataFrame:
+    """Rings of the polygons whose area is over ``least``; those without area, or of null points alone, go."""
+    fit = measures(rings, by).where(F.col("area") > least).select(F.col(by).alias("fit"))
+    return rings.join(fit, F.col(by) == F.col("fit"), "left_semi")

@@ -37,3 +37,25 @@ add(
     f"WITH {_EDGES}, g AS (SELECT *, ax + shape % 40 * 3 AS gx, bx + shape % 40 * 3 AS hx FROM e), p AS (SELECT id, x / 8.0 AS px, y / 125.0 - 2 AS py FROM supplier_at), m AS (SELECT id, shape, count(*) AS n FROM p JOIN g ON ay <> b_y AND least(ay, b_y) <= py AND greatest(ay, b_y) > py AND gx + (py - ay) * (hx - gx) / (b_y - ay) > px WHERE shape <= 400 GROUP BY ALL) SELECT id, shape FROM m WHERE n % 2 = 1",
     "outline", "supplier_at",
 )(lambda t, s: overlay.containing(s.selectExpr("id", "x / 8D AS x", "y / 125D - 2 AS y"), t.where("shape <= 400").selectExpr("shape", "0 AS ring", "ord", "x + shape % 40 * 3 AS x", "y"), "shape"))
+# Pieces of rings, disks of 32 corners and octagons; P20: parts that have area.
+_PIECES = "s AS (SELECT id, id % 5 + 1e0 AS r0, id % 5 + 2.5e0 AS r1, id * 17 % 360 + 0e0 AS a0, id * 29 % 300 + 13e0 AS turn FROM box), n AS (SELECT *, CAST(greatest(1, ceil(turn / 6 - 1e-9)) AS BIGINT) AS n FROM s)"
+add(
+    "ring_pieces",
+    f"WITH {_PIECES}, o AS (SELECT id, r1 AS r, a0 + turn * i / n AS a, i AS ord FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM n) UNION ALL SELECT id, r0, a0 + turn - turn * i / n, n + 1 + i FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM n)) SELECT id, ord, round(r * cos(radians(a)), 6) + 0 AS x, round(1 + r * sin(radians(a)), 6) + 0 AS y FROM o",
+    "box",
+)(
+    lambda t: t.selectExpr("id", "id % 5 + 1D AS r0", "id % 5 + 2.5D AS r1", "id * 17 % 360 + 0D AS a0", "id * 29 % 300 + 13D AS turn")
+    .select("id", F.posexplode(overlay.sector(F.lit(0.0), F.lit(1.0), F.col("r0"), F.col("r1"), F.col("a0"), F.col("a0") + F.col("turn"))).alias("ord", "p")).select("id", F.col("ord").cast("long").alias("ord"), (F.round("p.x", 6) + 0.0).alias("x"), (F.round("p.y", 6) + 0.0).alias("y"))
+)
+add(
+    "shape_areas",
+    "SELECT id, 'disk' AS kind, round(16 * r * r * sin(radians(11.25)), 6) AS area FROM (SELECT id, id % 9 / 4e0 AS r FROM box) WHERE r > 0 UNION ALL SELECT id, 'oct', round((x1 - x0) * (y1 - y0) - 2 * c * c, 6) FROM (SELECT *, id % 3 / 8e0 AS c FROM box)",
+    "box",
+)(
+    lambda t: overlay.measures(
+        overlay.large_parts(
+            t.select(F.struct("id", F.lit("disk").alias("kind")).alias("shape"), overlay.disk(F.lit(1.0), F.lit(2.0), F.expr("id % 9 / 4D"), 32).alias("c"))
+            .unionByName(t.select(F.struct("id", F.lit("oct").alias("kind")).alias("shape"), overlay.octagon(*map(F.col, ("x0", "y0", "x1", "y1")), F.expr("id % 3 / 8D")).alias("c")))
+            .select("shape", F.lit(0).alias("ring"), F.posexplode("c").alias("ord", "p")).select("shape", "ring", "ord", "p.x", "p.y"), "shape"), "shape"
+    ).select("shape.id", "shape.kind", "area")
+)
