@@ -135,8 +135,8 @@ def _summed(texts: DataFrame, model: Model) -> list[tuple[np.ndarray, np.ndarray
 
         def take() -> None:
             all_codes, at = _batched([c for c, _ in waiting], [p for _, p in waiting])
-            for i in range(0, len(at), BATCH):
-                sums.add(maxent.batch(all_codes, at[i : i + BATCH], weights, shape, True)[1])
+            for _, parts in maxent.pieces(all_codes, at, weights, shape, True):
+                sums.add(parts)
 
         for _, _, _, own, at in _tokens(batches, codes):
             waiting.append((own, at))
@@ -194,7 +194,7 @@ def _by_history(docs: DataFrame, model: Model) -> DataFrame:
 
         def take(waiting: list) -> pa.RecordBatch:
             all_codes, at = _batched([w[3] for w in waiting], [w[4] for w in waiting])
-            log = np.concatenate([maxent.batch(all_codes, at[i : i + BATCH], m.weights, shape)[0] for i in range(0, len(at), BATCH)] or [np.zeros(0)]) / math.log(10)
+            log = np.concatenate([log for log, _ in maxent.pieces(all_codes, at, m.weights, shape)] or [np.zeros(0)]) / math.log(10)
             sizes = np.array([len(w[4]) for w in waiting])
             of, code = np.repeat(np.arange(len(waiting)), sizes), all_codes[at]
             # The place among frequent and common words, in the order of counts.

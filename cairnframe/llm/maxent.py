@@ -10,12 +10,14 @@ the rows of a history add up to the scores of the classes, or of the words in a
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-#: Codes before a text's first token.
+#: Codes before a text's first token; tokens whose arrays fit a core's cache; tokens that Sums adds up at once; and how large scores may get before their exponentials leave float32.
 BACK = 3
+PIECE, TOGETHER, LARGEST = 8192, 32_768, 80.0
 #: Features of a history: which codes before the token, by how far back.
 CLASS_FEATURES = ((1,), (1, 2), (2,), (3,))
 WORD_FEATURES = ((1,), (2,))
@@ -75,6 +77,11 @@ class Weights:
     class_bias: np.ndarray
     word_bias: np.ndarray
 
+    def small(self) -> tuple[bool, bool]:
+        """Whether no history's scores of classes, and of words, go so far from 0 that their exponentials leave float32."""
+        far = lambda rows, features, bias: len(features) * np.abs(rows).max() + np.abs(bias[np.isfinite(bias)]).max(initial=0) < LARGEST
+        return far(self.class_rows, CLASS_FEATURES, self.class_bias), far(self.word_rows, WORD_FEATURES, self.word_bias)
+
 
 def start(shape: Shape, counts: np.ndarray, rare_mass: np.ndarray) -> Weights:
     """No feature says anything yet: words are as likely as their counts. counts: of the frequent words, in their order; rare_mass: what the words of each rare class weigh together."""
@@ -101,9 +108,10 @@ def rows_of(codes: np.ndarray, at: np.ndarray, back: tuple[int, ...], tag: int,
     return ((x * _SPREAD[1]) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
 
 
-def _softmax(scores: np.ndarray, hit: np.ndarray, parts: bool) -> np.ndarray:
-    """Natural log of the hits' probability; scores become the probabilities if ``parts``."""
-    scores -= scores.max(1, keepdims=True)
+def _softmax(scores: np.ndarray, hit: np.ndarray, parts: bool, small: bool) -> np.ndarray:
+    """Natural log of the hits' probability; scores become the probabilities if ``parts``. Scores that are not ``small`` are taken from the largest."""
+    if not small:
+        scores -= scores.max(1, keepdims=True)
     of = scores[np.arange(len(hit)), hit]
     np.exp(scores, out=scores)
     total = scores @ np.ones(scores.shape[1], scores.dtype)
@@ -120,47 +128,73 @@ def _scores(table: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.n
     return out
 
 
-def batch(codes: np.ndarray, at: np.ndarray, w: Weights, shape: Shape, parts: bool = False) -> tuple[np.ndarray, list]:
+def pieces(codes: np.ndarray, at: np.ndarray, w: Weights, shape: Shape, parts: bool = False) -> Iterator[tuple[np.ndarray, list]]:
+    """batch() of PIECE places at a time."""
+    small = w.small()
+    for i in range(0, len(at), PIECE):
+        yield batch(codes, at[i : i + PIECE], w, shape, parts, small)
+
+
+def batch(codes: np.ndarray, at: np.ndarray, w: Weights, shape: Shape, parts: bool = False, small: tuple[bool, bool] = (False, False)) -> tuple[np.ndarray, list]:
     """Natural log of each token's probability, given its history, but for which of the words of a rare class it is; and, if asked for, the parts that Sums.add() needs.
 
-    codes: int64, with BACK codes before a text; at: places of the tokens.
+    codes: int64, with BACK codes before a text; at: places of the tokens; small: as the weights say it.
     """
     of = codes[at]
     cls = classes_of(of, shape)
     rows = [rows_of(codes, at, back, i, shape.class_bits) for i, back in enumerate(CLASS_FEATURES)]
     p = _scores(w.class_rows, w.class_bias, rows)
-    log = _softmax(p, cls, parts).astype(float)
+    log = _softmax(p, cls, parts, small[0]).astype(float)
     own = np.flatnonzero(of < shape.frequent)
     in_class = of[own] % shape.width
     word_rows = [rows_of(codes, at[own], back, i, shape.word_bits, cls[own]) for i, back in enumerate(WORD_FEATURES)]
     q = _scores(w.word_rows, w.word_bias[cls[own]], word_rows)
-    log[own] += _softmax(q, in_class, parts)
+    log[own] += _softmax(q, in_class, parts, small[1])
     return log, [(rows, p, cls), (word_rows, q, in_class)]
 
 
 class Sums:
-    """How often each row's outcomes were there, and how often they were expected: the two halves of the gradient."""
+    """How often each row's outcomes were there, and how often they were expected: the two halves of the gradient. Batches of PIECE tokens at most wait until there are about TOGETHER tokens."""
 
     def __init__(self, w: Weights):
-        self.seen = [np.zeros(t.shape) for t in (w.class_rows, w.word_rows)]
-        self._expected = [np.zeros(t.shape[::-1]) for t in (w.class_rows, w.word_rows)]
+        tables = (w.class_rows, w.word_rows)
+        self._seen = [np.zeros(t.shape) for t in tables]
+        self._expected = [np.zeros(t.shape[::-1]) for t in tables]
+        self._outcomes = [np.empty((t.shape[1], TOGETHER + PIECE)) for t in tables]
+        self._waiting: list[list] = [[], []]
+        self._n = [0, 0]
         self.tokens = 0
 
+    @property
+    def seen(self) -> list[np.ndarray]:
+        self._flush()
+        return self._seen
+
     @property
     def expected(self) -> list[np.ndarray]:
+        self._flush()
         return [np.ascontiguousarray(t.T) for t in self._expected]
 
     def add(self, parts: list) -> None:
         self.tokens += len(parts[0][2])
-        for (rows, p, hit), seen, expected in zip(parts, self.seen, self._expected, strict=True):
-            if not len(hit):
-                continue
-            outcomes = np.ascontiguousarray(p.T, float)
-            for r in rows:
-                np.add.at(seen.reshape(-1), r.astype(np.int64) * p.shape[1] + hit, 1.0)
-                at = r.astype(np.intp)
-                for one, total in zip(outcomes, expected, strict=True):
-                    total += np.bincount(at, one, len(total))
+        for i, (rows, p, hit) in enumerate(parts):
+            self._outcomes[i][:, self._n[i] : self._n[i] + len(hit)] = p.T
+            self._waiting[i].append((rows, hit))
+            self._n[i] += len(hit)
+        if max(self._n) >= TOGETHER:
+            self._flush()
+
+    def _flush(self) -> None:
+        for i, waiting in enumerate(self._waiting):
+            n, seen, expected = self._n[i], self._seen[i], self._expected[i]
+            if n:
+                hit = np.concatenate([h for _, h in waiting])
+                for of_feature in zip(*[rows for rows, _ in waiting], strict=True):
+                    at = np.concatenate(of_feature).astype(np.intp)
+                    np.add.at(seen.reshape(-1), at * seen.shape[1] + hit, 1.0)
+                    for one, total in zip(self._outcomes[i], expected, strict=True):
+                        total += np.bincount(at, one[:n], len(total))
+            self._waiting[i], self._n[i] = [], 0
 
 
 def moved(table: np.ndarray, seen: np.ndarray, expected: np.ndarray, rate: float, prior: float) -> np.ndarray:
