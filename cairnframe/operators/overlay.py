@@ -62,17 +62,18 @@ def measures(rings: DataFrame, by: str) -> DataFrame:
     return s.select(by, F.abs("signed").alias("area"), "length", centre("ox", "sx"), centre("oy", "sy"))
 
 
-def containing(points: DataFrame, rings: DataFrame, by: str, cell: float = 1.0) -> DataFrame:
-    """id and by of the polygons (rings: by, ring, ord, x, y) that each point (id, x, y) lies in, by parity; a point on an edge belongs to the polygon on its right or below. They meet by boxes, then by bands across."""
+def containing(points: DataFrame, rings: DataFrame, by: str, cell: float = 1.0, within: list[str] | None = None) -> DataFrame:
+    """id and by (and the columns ``within`` that both share, if given) of the polygons (rings: by, ring, ord, x, y) that each point (id, x, y) lies in, by parity; a point on an edge belongs to the polygon on its right or below. They meet by boxes, then by bands across."""
     from .spatial import box_pairs
 
-    e = _edges(rings, [by])
-    box = e.groupBy(F.col(by).alias("id")).agg(F.min("ax").alias("x0"), F.max("ax").alias("x1"), F.min("ay").alias("y0"), F.max("ay").alias("y1"))
-    spots = points.select(F.struct("id", "x", "y").alias("id"), F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))
-    near = box_pairs(spots, box, cell=cell).select("a_id.id", F.col("a_id.x").alias("x"), F.col("a_id.y").alias("y"), F.col("b_id").alias(by)).withColumn("band", F.floor(F.col("y") / cell))
+    within = within or []
+    e = _edges(rings, [*within, by])
+    box = e.groupBy(*within, F.col(by).alias("id")).agg(F.min("ax").alias("x0"), F.max("ax").alias("x1"), F.min("ay").alias("y0"), F.max("ay").alias("y1"))
+    spots = points.select(*within, F.struct("id", "x", "y").alias("id"), F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))
+    near = box_pairs(spots, box, cell=cell, by=within).select(*within, "a_id.id", F.col("a_id.x").alias("x"), F.col("a_id.y").alias("y"), F.col("b_id").alias(by)).withColumn("band", F.floor(F.col("y") / cell))
     bands = e.where("ay <> by_").withColumn("band", F.explode(F.sequence(F.floor(F.least("ay", "by_") / cell), F.floor(F.greatest("ay", "by_") / cell))))
     right: Column = (F.least("ay", "by_") <= F.col("y")) & (F.greatest("ay", "by_") > F.col("y")) & (F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by_") - F.col("ay")) > F.col("x"))
-    return near.join(bands, [by, "band"]).where(right).groupBy("id", by).agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", by)
+    return near.join(bands, [*within, by, "band"]).where(right).groupBy(*within, "id", by).agg(F.count("*").alias("n")).where("n % 2 = 1").select(*within, "id", by)
 
 
 def arc_by_step(cx: Column, cy: Column, r: Column, a0: Column, a1: Column, step: float = 6.0) -> Column:
