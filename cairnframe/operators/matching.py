@@ -27,7 +27,7 @@ def snapped(rects: DataFrame, below: DataFrame, tol: float, margin: float = 40.0
     both = own.join(moved, "name", "left")
     new = {c: F.coalesce(f"n_{c}", c) for c in ("x0", "y0", "x1", "y1")}
     wide = (new["x1"] - new["x0"] >= least) & (new["y1"] - new["y0"] >= least)
-    return both.select("name", *[F.when(wide, new[c]).otherwise(F.col(c)).alias(c) for c in new], F.coalesce("moved", F.lit(0)).alias("moved"))
+    return both.select("name", *[F.when(wide, new[c]).otherwise(F.col(c)).alias(c) for c in new], F.coalesce(F.when(wide, F.col("moved")), F.lit(0)).alias("moved"))
 
 
 def first_container(points: DataFrame, cells: DataFrame, cell: float) -> DataFrame:

@@ -16,7 +16,7 @@ add(
     f AS (SELECT 'x' AS axis, unnest([x0, x1]) AS to_, y0 AS lo, y1 AS hi FROM b UNION ALL SELECT 'y', unnest([y0, y1]), x0, x1 FROM b),
     m AS (SELECT name, edge, min((abs(to_ - at_), to_)) AS best FROM e JOIN f ON edge[1] = axis AND f.hi >= e.lo - 40 AND f.lo <= e.hi + 40 AND abs(to_ - at_) <= 2 GROUP BY 1, 2), n AS (SELECT name, edge, best[2] AS to_ FROM m WHERE best[1] > 1e-9),
     v AS (SELECT w.name, max(to_) FILTER (edge = 'x0') AS a, max(to_) FILTER (edge = 'y0') AS b, max(to_) FILTER (edge = 'x1') AS c, max(to_) FILTER (edge = 'y1') AS d, count(to_) AS moved FROM w LEFT JOIN n USING (name) GROUP BY 1), k AS (SELECT w.*, v.*, coalesce(c, x1) - coalesce(a, x0) >= 4 AND coalesce(d, y1) - coalesce(b, y0) >= 4 AS wide FROM w JOIN v USING (name))
-    SELECT name, CASE WHEN wide THEN coalesce(a, x0) ELSE x0 END AS x0, CASE WHEN wide THEN coalesce(b, y0) ELSE y0 END AS y0, CASE WHEN wide THEN coalesce(c, x1) ELSE x1 END AS x1, CASE WHEN wide THEN coalesce(d, y1) ELSE y1 END AS y1, moved FROM k""",
+    SELECT name, CASE WHEN wide THEN coalesce(a, x0) ELSE x0 END AS x0, CASE WHEN wide THEN coalesce(b, y0) ELSE y0 END AS y0, CASE WHEN wide THEN coalesce(c, x1) ELSE x1 END AS x1, CASE WHEN wide THEN coalesce(d, y1) ELSE y1 END AS y1, CASE WHEN wide THEN moved ELSE 0 END AS moved FROM k""",
     "box",
 )(lambda t: matching.snapped(t.where("id % 2 = 0").withColumnRenamed("id", "name"), t.where("id % 2 = 1").selectExpr("x0 + 0.5D AS x0", "y0 - 0.25D AS y0", "x1 + 0.75D AS x1", "y1 + 0.5D AS y1"), 2.0))
 # The first cell that holds a point; J07: and how many do.

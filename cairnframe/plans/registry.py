@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnframe.operators import mesh, predicates, raster, scale, sequences, spatial, walk
 
-from . import cell_queries, doors_queries, fill_queries, level_queries, matching_queries, network_queries, overlay_queries, report_queries, shape_queries, text_queries  # noqa: F401
+from . import cell_queries, doors_queries, fill_queries, level_queries, matching_queries, network_queries, overlay_queries, report_queries, scene_queries, shape_queries, text_queries  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES, add as _add, rounded as _rounded
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -66,15 +66,17 @@ add("circle_points", "SELECT id, round(1 + (x - 1) * (sqrt((x - 1) ** 2 + (y - 2
 add("gap_pieces", "SELECT id, round((x1 - x0) * (y1 - y0) / CAST(x1 - x0 + y1 - y0 AS DOUBLE), 6) AS width, CASE WHEN id % 4 >= 2 THEN 'gap' WHEN id % 4 = 1 THEN 'notch' ELSE 'cavity' END AS kind FROM box", "box")(
     lambda t: t.select("id", measures.mean_width(F.expr("(x1 - x0) * (y1 - y0)"), F.expr("2 * (x1 - x0 + y1 - y0)")).alias("width"), measures.gap_kind(F.col("id") % 4).alias("kind"))
 )
-# Fills of a page; J20, W10, J28, C05, T02: its scale bars, merged step by step, for which there is no SQL.
+# Fills of a page; J20, W10, J28, C05, T02: its scale bars, merged step by step, for which there is no SQL; pages of forty rectangles.
 _FILLS = """f AS (SELECT brand AS page, id % 7 AS rgb, count(*) AS paths, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS area FROM box GROUP BY 1, 2)"""
 add("page_fills", f"WITH {_FILLS} SELECT page, rgb, paths, area, rank FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY area DESC, rgb) AS rank FROM f) WHERE rank <= 4", "box")(
     lambda t: raster.fills(t.select(F.col("brand").alias("page"), (F.col("id") % 7).alias("rgb"), "x0", "x1", "y0", "y1"), "page", 4)
 )
 add("scale_bars", None, "box")(
     lambda t: bars.scale_bars(
-        t.select("brand", F.expr("cast(x0 AS double)").alias("x0"), F.expr("x0 + (x1 - x0) * 2D").alias("x1"), F.expr("cast(y0 AS double)").alias("y0"), F.expr("y0 + id % 6 + 1D").alias("y1"), (F.col("id") % 3).cast("string").alias("fill")),
-        t.select("brand", F.concat("id", F.lit(" ft")).alias("word"), F.expr("cast(x0 AS double)").alias("x0"), F.expr("x0 + 6D").alias("x1"), F.expr("y0 + 12D").alias("y0"), F.expr("y0 + 20D").alias("y1")), "brand",
+        *[t.select(F.floor(F.col("id") / 40).cast("long").alias("page"), *[F.expr(e).alias(c) for c, e in columns.items()]) for columns in (
+            {"x0": "id * 7 % 20 * 12D", "x1": "id * 7 % 20 * 12D + 12D + id % 3", "y0": "id div 10 % 4 * 2D + id div 20 % 2 * 30D", "y1": "id div 10 % 4 * 2D + id div 20 % 2 * 30D + id % 3 * 0.25D + 2D", "fill": "CAST(id % 3 AS STRING)"},
+            {"word": "concat(id, ' ft')", "x0": "id * 7 % 20 * 12D", "x1": "id * 7 % 20 * 12D + 6D", "y0": "id div 10 % 4 * 2D + id div 20 % 2 * 30D + 6D", "y1": "id div 10 % 4 * 2D + id div 20 % 2 * 30D + 12D"},
+        )], "page",
     )
 )
 # How much of a colour shows; T03: candidates for walls by score.
