@@ -210,13 +210,28 @@ def rooms_reached(rooms: DataFrame, places: DataFrame, step: float, tol: float,
     return rooms.join(near.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("id", "kind", "distance", F.when(F.col("of").isNotNull(), F.col("pid").isNotNull()).alias("reachable"))
 
 
-def reachability(rooms: DataFrame, doors: DataFrame, unbalanced: Column) -> DataFrame:
-    """One row: unreachable rooms, required doors that no reachable cell stands in, and passed. rooms: of rooms_reached(); doors: required, reachable (cells); unbalanced: whether columns of the solid don't close."""
+def reachability(rooms: DataFrame, doors: DataFrame, unbalanced: Column, links: DataFrame | None = None) -> DataFrame:
+    """One row: unreachable rooms, required doors that no reachable cell stands in, and passed. rooms: of rooms_reached(); doors: required, reachable (cells); unbalanced: whether columns of the solid don't close; links: of storey_links(), then with unlinked, how many storeys the main part does not lead to."""
     r = rooms.agg(F.count_if(F.col("reachable") == F.lit(False)).alias("unreachable"), F.count("reachable").alias("checked"))
     d = doors.agg(F.count_if(F.col("required") & (F.col("reachable") == 0)).alias("blocked"))
-    return r.join(d).withColumn("passed", (F.col("unreachable") == 0) & (F.col("blocked") == 0) & ~unbalanced)
+    passed, both = (F.col("unreachable") == 0) & (F.col("blocked") == 0) & ~unbalanced, r.join(d)
+    if links is not None:
+        both, passed = both.join(links.agg(F.count_if(~F.col("linked")).alias("unlinked"))), passed & (F.col("unlinked") == 0)
+    return both.withColumn("passed", passed)
 
 
 def storeys(floors: DataFrame) -> DataFrame:
     """floors (building, ord, wall, slab) with z, and height, wall and slab together."""
     return sequences.elevations(floors, "building", "ord", "wall", "slab").withColumn("height", F.col("wall") + F.col("slab"))
+
+
+def storey_links(cells: DataFrame, floor_z: float, pitch: float, stack: list[int], tol: float = 0.01) -> DataFrame:
+    """A row for each storey of ``stack`` (1 above, -1 below, 0 is left out): storey, and linked: whether a cell (i, j, h, main) of the main part at its floor lies over or under one of the main part at ``floor_z``. Cells of null height or part link nothing."""
+    main = cells.where("main AND h IS NOT NULL").select("i", "j", "h")
+    base = main.where(F.abs(F.col("h") - floor_z) < tol).select("i", "j").distinct()
+    storeys = [k for k in stack if k]
+    # Which storeys a cell is at the floor of; they may be more than one where storeys are lower than tol.
+    at = main.select("i", "j", F.explode(F.array(*[F.when(F.abs(F.col("h") - (floor_z + k * pitch)) < tol, F.lit(k)) for k in storeys] or [F.lit(None).cast("int")])).alias("storey")).where("storey IS NOT NULL")
+    met = at.join(base, ["i", "j"], "left_semi").select("storey").distinct().withColumn("linked", F.lit(True))
+    asked = cells.sparkSession.createDataFrame([(k,) for k in storeys], "storey int")
+    return asked.join(met, "storey", "left").select("storey", F.coalesce("linked", F.lit(False)).alias("linked"))

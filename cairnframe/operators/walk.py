@@ -46,3 +46,31 @@ def clear(places: DataFrame, blocked: DataFrame, radius: int) -> DataFrame:
         return places
     shadow = blocked.select(F.inline(F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a, b in disc]))).distinct()
     return places.join(shadow, ["i", "j"], "left_anti")
+
+
+def heights(places: DataFrame) -> DataFrame:
+    """places with mm: the height in whole millimetres that each is judged at, the highest of those there are that lies within 0.6 mm of it."""
+    own = places.withColumn("mm", F.round(F.col("z") * 1000).cast("long"))
+    above = own.select((F.col("mm") - 1).alias("below")).distinct()
+    near = F.abs(F.col("z") - (F.col("mm") + 1) / 1000.0) < 6e-4
+    return own.join(above, (F.col("mm") == F.col("below")) & near, "left").withColumn("mm", F.col("mm") + F.when(F.col("below").isNotNull(), 1).otherwise(0)).drop("below")
+
+
+def standable(places: DataFrame, intervals: DataFrame, radius: float, height: float, step: float, cell: float) -> DataFrame:
+    """Places (i, j, rank, z ...) around which a body of ``radius`` and ``height`` has room: all cells whose centres are nearer than radius and half a cell hold a place within ``step`` of the height, and no solid interval (i, j, lo, hi) between ``step`` and ``height`` above it.
+
+    Each place looks at the cells of its disc, so the work goes with places times disc. A cell's places and solids are one row. Places of null height have no room; empty tables give none.
+    """
+    reach = (radius + cell / 2) / cell
+    n = int(reach)
+    disc = [(a, b) for a in range(-n, n + 1) for b in range(-n, n + 1) if a * a + b * b < reach * reach]
+    feet = places.groupBy("i", "j").agg(F.collect_set("z").alias("feet"))
+    solids = sweep(intervals.select(F.struct("i", "j").alias("cell"), "lo", "hi"), "cell").groupBy("cell").agg(F.collect_set(F.struct("lo", "hi")).alias("solids")).select("cell.i", "cell.j", "solids")
+    around = feet.join(solids, ["i", "j"], "left").select(F.col("i").alias("c_i"), F.col("j").alias("c_j"), "feet", "solids")
+    at = heights(places.where("z IS NOT NULL"))
+    looks = at.select("i", "j", "mm").distinct().select("i", "j", "mm", F.inline(F.array(*[F.struct((F.col("i") + a).alias("c_i"), (F.col("j") + b).alias("c_j")) for a, b in disc])))
+    h = F.col("mm") / 1000.0
+    footing = F.exists("feet", lambda z: F.abs(z - h) <= step + 1e-6)
+    body = F.exists("solids", lambda s: (s["lo"] < h + height - 1e-6) & (s["hi"] > h + step + 1e-6))
+    short = looks.join(around, ["c_i", "c_j"], "left").where(~F.coalesce(footing, F.lit(False)) | F.coalesce(body, F.lit(False))).select("i", "j", "mm").distinct()
+    return at.join(short, ["i", "j", "mm"], "left_anti").drop("mm")

@@ -107,6 +107,13 @@ add("rooms_reached", f"WITH {_REACH} SELECT * FROM rm", "marker", "customer_at")
 add("reachability", f"WITH {_REACH} SELECT count(*) FILTER (NOT reachable) AS unreachable, count(reachable) AS checked, (SELECT count(*) FROM supplier_at WHERE id % 2 = 0 AND id % 5 = 0) AS blocked, FALSE AS passed FROM rm", "marker", "customer_at", "supplier_at")(
     lambda m, c, s: level.reachability(_reached(m, c), s.select((F.col("id") % 2 == 0).alias("required"), (F.col("id") % 5).alias("reachable")), F.lit(False))
 )
+# Q10: storeys that the main part leads to, at the same place.
+add(
+    "storey_links",
+    """WITH c AS (SELECT id % 200 AS i, x1 % 7 AS j, 1e0 + id % 5 * 3 + CASE WHEN id % 3 = 0 THEN 0.005e0 ELSE 0 END AS h, id % 4 > 0 AS main FROM box)
+    SELECT k AS storey, EXISTS (SELECT 1 FROM c a JOIN c b ON a.i = b.i AND a.j = b.j WHERE a.main AND b.main AND abs(b.h - 7) < 0.01 AND abs(a.h - (7 + 3 * k)) < 0.01) AS linked FROM (VALUES (1), (-1), (2), (3)) t(k)""",
+    "box",
+)(lambda t: level.storey_links(t.selectExpr("id % 200 AS i", "x1 % 7 AS j", "1D + id % 5 * 3 + CASE WHEN id % 3 = 0 THEN 0.005D ELSE 0 END AS h", "id % 4 > 0 AS main"), 7.0, 3.0, [0, 1, -1, 2, 3]))
 add("outside_rectangle", "SELECT id, x, y FROM customer_at WHERE NOT (x BETWEEN 100 AND 400 AND y BETWEEN 50 AND 700)", "customer_at")(lambda t: level.without_rect(t, 400, 50, 100, 700))
 # Sections of islands by several planes, and what slabs of them cover.
 _SHELLS = "b AS (SELECT DISTINCT s.mesh, k, CASE k WHEN 0 THEN 0e0 ELSE 1e0 END AS lo, CASE k WHEN 0 THEN 4e0 ELSE 3e0 END AS hi, CASE WHEN k = 0 THEN 16e0 WHEN s.mesh % 4 = 1 THEN 4e0 ELSE -4e0 END AS area, CASE k WHEN 0 THEN 16e0 ELSE 8e0 END AS length FROM shell_vertex s, (VALUES (0), (1)) t(k) WHERE k = 0 OR s.mesh % 4 < 3)"

@@ -274,6 +274,16 @@ _add(
     f"WITH {_STAND}, b AS (SELECT DISTINCT i, j FROM slab WHERE lo % 10 = 0) SELECT i, j, rank, z FROM place WHERE NOT EXISTS (SELECT 1 FROM b WHERE (b.i - place.i) ** 2 + (b.j - place.j) ** 2 < 4)",
     "slab",
 )(lambda t: walk.clear(walk.standing(t, 4), t.where("lo % 10 = 0").select("i", "j").distinct(), 2).select("i", "j", "rank", "z"))
+# Q18: clearance by height, over a floor with steps, low ceilings and beams.
+_FLOOR = "id % 50 AS i, CAST(floor(id / 50) AS BIGINT) AS j, 1 + id % 3 * 0.125{0} + CASE WHEN id * 7 % 11 = 0 THEN 0.5{0} ELSE 0{0} END AS hi, id % 41 = 0 AS low, id % 53 = 0 AS beam"
+_add(
+    "standable_cells",
+    f"""WITH c AS (SELECT {_FLOOR.format('e0')} FROM box), o AS (SELECT * FROM (VALUES (-1), (0), (1)) a(a), (VALUES (-1), (0), (1)) b(b))
+    SELECT p.i, p.j, p.hi AS z FROM c p CROSS JOIN o LEFT JOIN c ON c.i = p.i + a AND c.j = p.j + b WHERE NOT p.low GROUP BY ALL HAVING bool_and(coalesce(NOT c.low AND abs(c.hi - p.hi) <= 0.3 AND NOT (c.beam AND c.hi + 2.1 < p.hi + 2), FALSE))""",
+    "box",
+)(lambda t: walk.standable(
+    walk.standing(s := t.selectExpr(*_FLOOR.format("D").split(", ")).selectExpr("i", "j", "inline(filter(array(struct(0D AS lo, hi AS hi), struct(hi + CASE WHEN low THEN 1D ELSE 2.1D END AS lo, hi + 2.5D AS hi)), (x, k) -> k = 0 OR k = 1 AND (low OR beam)))"), 2.0), s, 1.2, 2.0, 0.3, 1.0
+).select("i", "j", "z"))
 
 # Verdicts.
 _add(
