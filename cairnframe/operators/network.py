@@ -50,8 +50,8 @@ def _halves(edges: DataFrame, by: str) -> DataFrame:
     return both.select(by, F.col("half").bitwiseXOR(F.lit(1)).alias("half"), F.col("vx").alias("ux"), F.col("vy").alias("uy"), F.col("ux").alias("vx"), F.col("uy").alias("vy"), before.alias("next"))
 
 
-def _ringed(halves: DataFrame, by: str) -> DataFrame:
-    """halves (stored) with ring, its smallest half, and ahead, how many steps that is away. By pointer jumping: each looks at twice as many halves ahead in each round, until none finds a smaller one."""
+def _ringed(halves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """halves (stored) with ring, its smallest half, and ahead, how many steps that is away; and the stored table that this is read from. By pointer jumping: each looks at twice as many halves ahead in each round, until none finds a smaller one."""
     now = stored(halves.select("half", F.col("next").alias("to"), F.col("half").alias("ring"), F.lit(0).cast("long").alias("ahead")), "pointers")
     step = 1
     while True:
@@ -61,17 +61,21 @@ def _ringed(halves: DataFrame, by: str) -> DataFrame:
         then = stored(joined, "pointers")
         discard(now)
         if then.where("NOT same").isEmpty():
-            return halves.join(then.select("half", "ring", "ahead"), "half")
+            return halves.join(then.select("half", "ring", "ahead"), "half"), then
         now, step = then, step * 2
 
 
 def faces(pieces: DataFrame, by: str, cell: float) -> DataFrame:
     """Rings (by, face, ring, ord, x, y; in the pieces' steps) of the bounded faces of a network of noded pieces: outlines turn left, holes right. Pieces with the same face on both sides bound none and are left out. cell: in the pieces' steps, for finding the face that a hole lies in."""
     edges = stored(pieces.select(by, F.monotonically_increasing_id().alias("edge"), *ENDS), "pieces")
-    first = _ringed(stored(_halves(edges, by), "halves"), by)
+    halves = stored(_halves(edges, by), "halves")
+    first, pointers = _ringed(halves)
     bounding = first.groupBy(F.expr("half div 2").alias("edge")).agg((F.min("ring") != F.max("ring")).alias("bounds")).where("bounds").select("edge")
-    kept = edges.join(bounding, "edge", "left_semi").select(by, "edge", *ENDS)
-    rings = stored(_ringed(stored(_halves(kept, by), "halves"), by), "rings")
+    kept = stored(_halves(edges.join(bounding, "edge", "left_semi").select(by, "edge", *ENDS), by), "halves")
+    discard(edges, halves, pointers)
+    second, pointers = _ringed(kept)
+    rings = stored(second, "rings")
+    discard(kept, pointers)
     areas = rings.groupBy("ring").agg(F.sum(F.expr("ux * vy - vx * uy")).alias("area2"), F.count("*").alias("n"))
     rings = rings.join(areas, "ring").select(by, "ring", "area2", F.pmod(F.col("n") - F.col("ahead"), F.col("n")).alias("ord"), F.col("ux").alias("x"), F.col("uy").alias("y"))
     outlines = rings.where("area2 > 0").withColumn("face", F.col("ring"))
