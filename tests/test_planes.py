@@ -88,3 +88,15 @@ def test_planes_part_where_offsets_do(spark):
         plane += i > 0 and o - offsets[i - 1] > 0.002
         want[i] = plane
     assert got == want
+
+
+def test_overlaps_are_clipped_in_batches(spark):
+    """Pairs are not sent to all, and their areas are worked out a batch at a time: the plan has neither a broadcast of triangles nor a column function of polygons."""
+    n = 60
+    rows = [("m", i, float(i), 0.0, float(i), float(i + 2), 0.0, float(i + 2), float(i), 2.0, float(i)) for i in range(n)]
+    found = planes.overlaps(planes.normals(spark.createDataFrame(rows, TRI)), cell=4.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan and "strategy=merge" in plan
+    # A triangle moved by one has a quarter of its area in common with the one before; the plane rises, so areas grow by the root of 2.
+    got = {(r.a, r.b): r.area for r in found.collect() if r.area > 1e-9}
+    assert set(got) == {(i, i + 1) for i in range(n - 1)} and all(a == pytest.approx(math.sqrt(2) / 2) for a in got.values())
