@@ -63,3 +63,16 @@ def test_lengths_and_areas(spark):
         got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", f(F.col("t")).alias("v")).collect()
         for r in got:
             assert (r.v is None) == (texts[r.t] is None) and (r.v is None or abs(r.v - texts[r.t]) < 1e-9), r
+
+
+def test_joins_with_tables_that_grow_are_merged(spark, tmp_path):
+    """Whatever the files' size, none of these tables is sent to the driver and from there to all."""
+    from cairnframe.operators import level
+
+    rooms = spark.createDataFrame([(1, 0.0, 0.0, 0.0, "a"), (2, 9.0, 9.0, 0.0, "void"), (3, 50.0, 0.0, 0.0, None)], "id long, x double, y double, z double, kind string")
+    places = spark.createDataFrame([(7, 1.0, 0.0, 0.0, True), (8, 0.5, 0.0, 0.0, False), (9, -1.0, 0.0, 0.0, True)], "pid long, x double, y double, h double, main boolean")
+    for name, t in (("rooms", rooms), ("places", places)):  # tables of files are small enough to be sent, those of rows are of unknown size
+        t.write.parquet(str(tmp_path / name))
+    found = level.rooms_reached(*[spark.read.parquet(str(tmp_path / name)) for name in ("rooms", "places")], 0.5, 3.0)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.distance, r.reachable) for r in found.collect()} == {(1, 1.0, True), (2, None, None), (3, None, False)}
