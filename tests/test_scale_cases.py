@@ -76,3 +76,15 @@ def test_joins_with_tables_that_grow_are_merged(spark, tmp_path):
     found = level.rooms_reached(*[spark.read.parquet(str(tmp_path / name)) for name in ("rooms", "places")], 0.5, 3.0)
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.id, r.distance, r.reachable) for r in found.collect()} == {(1, 1.0, True), (2, None, None), (3, None, False)}
+
+
+def test_ceilings_are_merged(spark, tmp_path):
+    from cairnframe.plans import checks
+
+    vertex = spark.createDataFrame([(0, k, x, y, 3.0) for k, (x, y) in enumerate([(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)])], "mesh int, vid int, x double, y double, z double")
+    tables = {"vertex": vertex, "tri": spark.createDataFrame([(0, 0, 0, 1, 2)], "mesh int, tid int, a int, b int, c int"), "rooms": spark.createDataFrame([(1, 1.0, 1.0, 0.5), (2, 9.0, 1.0, 0.5)], "name int, x double, y double, z double")}
+    for name, t in tables.items():
+        t.write.parquet(str(tmp_path / name))
+    found = checks.ceilings(*[spark.read.parquet(str(tmp_path / name)) for name in tables])
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.name, r.height) for r in found.collect()} == {(1, 2.5), (2, None)}
