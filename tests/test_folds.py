@@ -202,3 +202,19 @@ def test_rounds_of_erosion_and_dilation_at_once(spark):
             if rounds in (1, 2, 5):
                 got = [(r.y, r.x) for r in op(own, rounds=rounds, height=14, width=17).collect()]
                 assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(want)), strict=True))
+
+
+def test_curve_runs_make_no_python_groups(spark):
+    """A call of Python for each outline took nearly all the time of shape_issues; runs go over the start, and a null corner breaks them."""
+    arc = [(5 * math.cos(math.radians(15 * i)), 5 * math.sin(math.radians(15 * i))) for i in range(-4, 6)]
+    rows = [("a", k, x, y) for k, (x, y) in enumerate([*arc[4:], (-9.0, 9.0), (-9.0, -9.0), *arc[:4]])]
+    rows += [("closed", *r[1:]) for r in rows] + [("closed", 99, *rows[0][2:])]
+    rows += [("broken", k, None if k == 7 else x, y) for k, (x, y) in enumerate(arc)]
+    df = lines.curve_runs(spark.createDataFrame(rows, "shape string, ord long, x double, y double").repartition(3), "shape")
+    assert "Pandas" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in df.orderBy("shape", "run", "ord").collect():
+        got.setdefault((r.shape, r.run), []).append((r.ord, r.x, r.y))
+    assert set(got) == {("a", 8), ("closed", 8), ("broken", 0)}
+    assert got["a", 8] == got["closed", 8] == [(k, *p) for k, p in enumerate(arc)]
+    assert got["broken", 0] == [(k, *p) for k, p in enumerate(arc[:7])]
