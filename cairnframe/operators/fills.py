@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnframe.storage import dealt
+
 
 def crossings(rings: DataFrame, by: list[str]) -> DataFrame:
     """by, y, at and turn (1 down, -1 up): where the middles of rows of pixels cross the closed rings of points (by, ring, ord, x, y)."""
@@ -29,7 +31,7 @@ def crossings(rings: DataFrame, by: list[str]) -> DataFrame:
 def filled(rings: DataFrame, by: list[str], even_odd: Column | bool = True, width: int | None = None, height: int | None = None) -> DataFrame:
     """Runs (by, y, lo, hi) of the pixels within polygons of rings (by, ring, ord, x, y), by parity, or where not ``even_odd`` (constant in a polygon) by winding; clipped to an image of width x height if given."""
     rule = F.lit(even_odd) if isinstance(even_odd, bool) else even_odd
-    kept = rings.withColumn("rule", rule)
+    kept = dealt(rings.withColumn("rule", rule), *by)
     c = crossings(kept, [*by, "rule"])
     w = Window.partitionBy(*by, "y").orderBy("at", "turn")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
