@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnframe.storage import dealt
+
 #: What a stretch must be in to stay.
 OPERATIONS = {"union": "a OR b", "intersection": "a AND b", "difference": "a AND NOT b", "either": "a <> b"}
 
@@ -53,10 +55,11 @@ def _joined(spans: DataFrame, by: list[str], lo: str, hi: str) -> DataFrame:
 
 def measures(rings: DataFrame, by: str) -> DataFrame:
     """Area, length of outline and centroid (cx, cy; null without area) of polygons of rings (by, ring, ord, x, y), outlines and holes turning opposite ways."""
-    e = _edges(rings, [by])
+    # One shuffle by polygon serves its rings, its corner and its sums.
+    e = _edges(dealt(rings, by), [by])
     # About a corner of the polygon, so that far coordinates cost no digits.
-    corner = e.groupBy(F.col(by).alias("of")).agg(F.min("ax").alias("ox"), F.min("ay").alias("oy"))
-    e = e.join(corner, F.col(by).eqNullSafe(F.col("of"))).withColumns({"px": F.expr("ax - ox"), "py": F.expr("ay - oy"), "qx": F.expr("bx - ox"), "qy": F.expr("by_ - oy")}).withColumn("cross", F.expr("px * qy - qx * py"))
+    whole = Window.partitionBy(by)
+    e = e.withColumns({"ox": F.min("ax").over(whole), "oy": F.min("ay").over(whole)}).withColumns({"px": F.expr("ax - ox"), "py": F.expr("ay - oy"), "qx": F.expr("bx - ox"), "qy": F.expr("by_ - oy")}).withColumn("cross", F.expr("px * qy - qx * py"))
     s = e.groupBy(by, "ox", "oy").agg((F.sum("cross") / 2).alias("signed"), F.sum(F.hypot(F.expr("bx - ax"), F.expr("by_ - ay"))).alias("length"), F.sum(F.expr("(px + qx) * cross")).alias("sx"), F.sum(F.expr("(py + qy) * cross")).alias("sy"))
     centre = lambda o, c: (F.col(o) + F.when(F.abs("signed") > 1e-12, F.try_divide(F.col(c), 6 * F.col("signed")))).alias("c" + o[1])
     return s.select(by, F.abs("signed").alias("area"), "length", centre("ox", "sx"), centre("oy", "sy"))

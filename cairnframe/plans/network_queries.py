@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnframe.operators import network, overlay
+from cairnframe.storage import dealt
 
 from .catalog import add
 
@@ -20,7 +21,7 @@ _FIELDS = """wall AS (SELECT DISTINCT CAST(floor(id / 12) AS BIGINT) AS plan, id
 
 
 def _faces(t):
-    lines = t.select(F.floor(F.col("id") / 12).cast("long").alias("plan"), F.inline(F.array(*[F.struct(*[F.expr(e).cast("double").alias(c) for e, c in zip(s, network.ENDS, strict=True)]) for s in _STRUCTS])))
+    lines = dealt(t.select("id"), "id", rows=50_000).select(F.floor(F.col("id") / 12).cast("long").alias("plan"), F.inline(F.array(*[F.struct(*[F.expr(e).cast("double").alias(c) for e, c in zip(s, network.ENDS, strict=True)]) for s in _STRUCTS])))
     return network.faces(network.noded(lines, "plan", 0.125, 16.0), "plan", 128.0).withColumns({c: F.col(c) * 0.125 for c in "xy"})
 
 

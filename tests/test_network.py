@@ -75,3 +75,27 @@ def test_seeds(spark):
     seeds = spark.createDataFrame([("a", "hall", 1, 1.0, 1.0), ("a", "twice", 2, 0.5, 0.5), ("a", "out", 3, 9.0, 9.0), ("a", "bath", 4, 2.5, 1.0), ("b", "other", 5, 1.0, 1.0)], "plan string, name string, ord long, x double, y double")
     got = {(x.plan, x.name, x.hits, x.error, x.face is not None) for x in network.seeded(rings, seeds, "plan", 1.0).collect()}
     assert got == {("a", "hall", 1, None, True), ("a", "twice", 1, "taken", False), ("a", "out", 0, "no face", False), ("a", "bath", 1, None, True), ("b", "other", 0, "no face", False), ("a", None, None, None, True)}
+
+
+def test_rings_in_tasks_and_by_joins(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(f"p{k}" if k else None, *(float(r.randrange(14)) for _ in range(4))) for k in range(6) for _ in range(20)] + [("far", *(1e6 + 8.0 * c for c in x)) for x in ((0, 0, 9, 0), (9, 0, 9, 9), (9, 9, 0, 9), (0, 9, 0, 0), (2, 2, 4, 2), (4, 2, 2, 5), (2, 5, 2, 2))]
+    pieces = network.stored(network.noded(spark.createDataFrame(rows, LINE), "plan", GRID, 4.0), "test")
+    assert pieces.count() > 300
+
+    def shapes(in_task):
+        rings = {}
+        for x in network.faces(pieces, "plan", 4.0 / GRID, in_task).collect():
+            rings.setdefault((x.plan, x.face, x.ring), []).append((x.ord, x.x, x.y))
+        turned = {k: [p[1:] for p in sorted(v)] for k, v in rings.items()}
+        assert all([p[0] for p in sorted(v)] == list(range(len(v))) for v in rings.values())
+        turned = {k: min(v[i:] + v[:i] for i in range(len(v))) for k, v in turned.items()}  # from the smallest corner on
+        faces = {}
+        for (plan, face, _), v in turned.items():
+            faces.setdefault((plan, face), []).append(tuple(v))
+        return sorted((str(plan), sorted(v)) for (plan, _), v in faces.items())
+
+    by_joins, some = shapes(0), shapes(60)
+    monkeypatch.setattr(network, "_ringed", None)  # plans that fit a task take no rounds of joins
+    assert shapes(network.IN_TASK) == by_joins == some and len(by_joins) > 50
+    assert any(plan == "far" and len(v) == 2 for plan, v in by_joins)
