@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnframe.operators import overlay
+from cairnframe.storage import dealt
 
 from .catalog import add
 
@@ -44,8 +45,9 @@ add(
     f"WITH {_PIECES}, o AS (SELECT id, r1 AS r, a0 + turn * i / n AS a, i AS ord FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM n) UNION ALL SELECT id, r0, a0 + turn - turn * i / n, n + 1 + i FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM n)) SELECT id, ord, round(r * cos(radians(a)), 6) + 0 AS x, round(1 + r * sin(radians(a)), 6) + 0 AS y FROM o",
     "box",
 )(
-    lambda t: t.selectExpr("id", "id % 5 + 1D AS r0", "id % 5 + 2.5D AS r1", "id * 17 % 360 + 0D AS a0", "id * 29 % 300 + 13D AS turn")
-    .select("id", F.posexplode(overlay.sector(F.lit(0.0), F.lit(1.0), F.col("r0"), F.col("r1"), F.col("a0"), F.col("a0") + F.col("turn"))).alias("ord", "p")).select("id", F.col("ord").cast("long").alias("ord"), (F.round("p.x", 6) + 0.0).alias("x"), (F.round("p.y", 6) + 0.0).alias("y"))
+    # Dealt by rows, as one small file of boxes makes many corners; rounded once, in add().
+    lambda t: dealt(t.select("id"), "id", rows=20_000).selectExpr("id", "id % 5 + 1D AS r0", "id % 5 + 2.5D AS r1", "id * 17 % 360 + 0D AS a0", "id * 29 % 300 + 13D AS turn")
+    .select("id", F.posexplode(overlay.sector(F.lit(0.0), F.lit(1.0), F.col("r0"), F.col("r1"), F.col("a0"), F.col("a0") + F.col("turn"))).alias("ord", "p")).select("id", F.col("ord").cast("long").alias("ord"), "p.x", "p.y")
 )
 add(
     "shape_areas",
