@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cairnframe.operators import fills
+from cairnframe.plans import registry
 from cairnframe.storage import dealt
 
 
@@ -24,3 +25,18 @@ def test_runs_keep_to_small_parts(spark):
     rings = squares(spark, 300_000)  # 1.2 million points, a few MB as written
     runs = fills.filled(rings, ["shape"])
     assert runs.count() == 900_000 and max(shares(runs)) < 120_000
+
+
+def parts_of(spark, tmp_path, n=400):
+    spark.range(1, n + 1).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size", "'b' AS p_brand").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def test_corners_of_one_small_file_go_to_all_cores(spark, tmp_path):
+    pieces = registry.QUERIES["ring_pieces"](spark, parts_of(spark, tmp_path))
+    assert len(shares(pieces)) >= 4 and pieces.select("id").distinct().count() == 400
+
+
+def test_doors_and_obstacles_are_not_broadcast(spark, tmp_path):
+    swing = registry.QUERIES["door_swing"](spark, parts_of(spark, tmp_path))
+    assert swing.count() > 100 and "Broadcast" not in swing._jdf.queryExecution().executedPlan().toString()
