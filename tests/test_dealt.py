@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairnframe.operators import fills
+from cairnframe.operators import fills, mesh
 from cairnframe.plans import registry
 from cairnframe.storage import dealt
 
@@ -40,3 +40,14 @@ def test_corners_of_one_small_file_go_to_all_cores(spark, tmp_path):
 def test_doors_and_obstacles_are_not_broadcast(spark, tmp_path):
     swing = registry.QUERIES["door_swing"](spark, parts_of(spark, tmp_path))
     assert swing.count() > 100 and "Broadcast" not in swing._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_meshes_are_dealt_before_they_are_counted(spark):
+    tri = spark.range(60_000).selectExpr("id % 3 AS mesh", "id AS tid", "id % 97 AS a", "id * 7 % 89 AS b", "id * 5 % 83 AS c")
+    vertex = spark.range(300).selectExpr("id % 3 AS mesh", "id div 3 AS vid", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 11 AS DOUBLE) AS y", "CAST(id % 20 AS DOUBLE) AS z")
+    for got in (mesh.edge_stats(tri), mesh.plane_section(vertex, tri, 9.5)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "SortAggregate" not in plan and "Broadcast" not in plan
+    corners = spark.createDataFrame([("m", 0, 1.0, 5.0, 0.0), ("m", 1, 1.0, 2.0, 2.0), ("m", 2, 1.0, 9.0, 2.0)], "mesh string, vid long, x double, y double, z double")
+    one = spark.createDataFrame([("m", 7, 0, 1, 2)], "mesh string, tid long, a long, b long, c long")
+    assert [tuple(r) for r in mesh.plane_section(corners, one, 1.0).collect()] == [("m", 7, 1.0, 3.5, 1.0, 7.0)]  # an upright segment, from its lower end
