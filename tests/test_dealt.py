@@ -40,3 +40,11 @@ def test_corners_of_one_small_file_go_to_all_cores(spark, tmp_path):
 def test_doors_and_obstacles_are_not_broadcast(spark, tmp_path):
     swing = registry.QUERIES["door_swing"](spark, parts_of(spark, tmp_path))
     assert swing.count() > 100 and "Broadcast" not in swing._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_one_small_file_go_to_all_cores_and_are_not_broadcast(spark, tmp_path):
+    jogs = registry.QUERIES["pair_jogs"](spark, parts_of(spark, tmp_path))
+    plan = jogs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "hashpartitioning(id" in plan and "SortMergeJoin" in plan
+    assert len(plan.split("SortMergeJoin")[1].split("\n")[0]) < 250  # only which line is longer is asked within the join
+    assert jogs.count() == jogs.select("a", "b").distinct().count() > 100

@@ -62,6 +62,18 @@ def test_pair_jogs_of_slanted_lines_against_all_pairs(spark):
     assert apart_ == {k for k in want if k[0] % 2 == k[1] % 2}
 
 
+def test_pair_jogs_of_lines_one_degree_apart(spark):
+    """Rounding takes a difference of a hair over one degree for one; such lines lie in frames two degrees apart."""
+    rows = []
+    for i, (a, b) in enumerate([(0.4999999999999997, 1.5), (0.9999999999999996, 2.0), (0.0, 179.0), (89.49999999999999, 90.5), (89.99999999999999, 91.0)]):
+        for k, (angle, n) in enumerate([(a, 8.0), (b, 1.0)]):
+            ux, uy = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+            x, y = 100.0 * i - k * 0.02 * math.sin(math.radians(a)), k * 0.02 * math.cos(math.radians(a))
+            rows.append((2 * i + k, x - ux * n / 2, y - uy * n / 2, x + ux * n / 2, y + uy * n / 2, n, angle, None))
+    df = spark.createDataFrame(rows, "id long, ax double, ay double, bx double, by_ double, length double, angle double, thickness double")
+    assert {(x.a, x.b, round(x.offset, 6)) for x in lines.pair_jogs(df).collect()} == {(2 * i, 2 * i + 1, 0.02) for i in range(5)}
+
+
 def test_directions_are_those_of_all_outlines_of_a_scope(spark):
     """A slanted line beside a longer one of the same mesh is off the mean of both, not off its own direction."""
     def square(turn, size, at):
